@@ -157,14 +157,14 @@ def dedup_per_batch(spark, sf_dir):
     return dd.distinct_per_batch(parsed, "batch", ["username", "msg"])
 
 
-@query("unseen_payloads", f"""{PLAIN}, p AS (SELECT event_type, {group(2, R3)} AS msg
- FROM l JOIN events USING (event_id)), q AS (SELECT DISTINCT event_type, substr(msg, strpos(msg, ' ')+1) AS body FROM p)
+@query("unseen_payloads", f"""{PLAIN}, p AS (SELECT event_type, user_id, {group(2, R3)} AS msg FROM l JOIN events USING (event_id)),
+ q AS (SELECT DISTINCT event_type, user_id||' '||substr(msg, strpos(msg, ' ') + 1) AS body FROM p)
 SELECT DISTINCT body FROM q WHERE event_type <> 'error' AND body NOT IN (SELECT body FROM q WHERE event_type = 'error')""")
 def unseen_payloads(spark, sf_dir):
-    """Payload bodies that no error event has shown."""
-    parsed = parse_payload(L.events(spark, sf_dir, L.EVENT_TEXT, "event_type"), anchored=True)
-    bodies = parsed.select("event_type", F.substring_index("msg", " ", -3).alias("tail"),
-                           F.expr("substr(msg, instr(msg, ' ') + 1)").alias("body"))
+    """What users did that they did not also do in an error event."""
+    parsed = parse_payload(L.events(spark, sf_dir, L.EVENT_TEXT, "event_type", "user_id"), anchored=True)
+    body = F.expr("concat(user_id, ' ', substr(msg, instr(msg, ' ') + 1))").alias("body")
+    bodies = parsed.select("event_type", body)
     is_error = F.col("event_type") == "error"
     seen = bodies.where(is_error).select("body").distinct()
     return dd.unseen(bodies.where(~is_error).select("body").distinct(), seen, "body")

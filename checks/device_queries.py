@@ -8,10 +8,11 @@ from logweir.functions.columns import member_name
 from logweir.operators import dedup as dd, devices as dv, links as lk
 from logweir.session import fresh_folder
 from logweir.sinks.keyed import KeyedTable
-from logweir.sources.archives import pack_records, unpack_records
+from logweir.sources.archives import unpack_records
 from logweir.sources.files import read_table
 
 from . import lines as L
+from .archives import pack_records
 from .registry import query
 
 PATTERN = "/[A-Za-z]"

@@ -50,16 +50,19 @@ DUCK_THROUGHPUT_TEXT = """'['||strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M:%S'
  ||'] [incoming_throughput] [info] '||cast(user_id*17+40000 as varchar)||' req in '
  ||cast(1000000+event_id%5000 as varchar)||'us. total: 2068663 req'"""
 
+# sizes are whole tenths of a GB, so that no mean lies on a rounding edge
 HARDWARE_TEXT = """concat('[', date_format(date_trunc('minute', ts), 'yyyy-MM-dd HH:mm:ss'), '.',
  lpad(cast(event_id % 1000 as string), 3, '0'), '] [hardware_usage_monitor] [info] cpu 1min: ', cast(user_id % 3 as string), '.',
  cast(event_id % 10 as string), ', cpu 5min: 1.', cast(user_id % 10 as string), ', cpu 15min: 0.10, total mem: ',
- cast(28 + user_id % 4 as string), '.453 GB, free mem: ',
- case when event_id % 2 = 0 then '23.505 GB' else concat(cast(800 + user_id as string), '.824 MB') end,
+ cast(28 + user_id % 4 as string), '.4 GB, free mem: ',
+ case when event_id % 2 = 0 then concat(cast(20 + user_id % 5 as string), '.5 GB')
+ else concat(cast(102 * (1 + user_id % 4) + (4 * (1 + user_id % 4)) div 10 as string), '.', cast(4 * (1 + user_id % 4) % 10 as string), ' MB') end,
  ', shared mem: 0.001 KB, buffer mem: 71.824 MB, total swap: 30.000 GB, free swap: 30.000 GB, # procs: 293')"""
 DUCK_HARDWARE_TEXT = """'['||strftime(date_trunc('minute',ts),'%Y-%m-%d %H:%M:%S')||'.'||lpad(cast(event_id%1000 as varchar),3,'0')
  ||'] [hardware_usage_monitor] [info] cpu 1min: '||cast(user_id%3 as varchar)||'.'||cast(event_id%10 as varchar)
  ||', cpu 5min: 1.'||cast(user_id%10 as varchar)||', cpu 15min: 0.10, total mem: '||cast(28+user_id%4 as varchar)
- ||'.453 GB, free mem: '||case when event_id%2=0 then '23.505 GB' else cast(800+user_id as varchar)||'.824 MB' end
+ ||'.4 GB, free mem: '||case when event_id%2=0 then cast(20+user_id%5 as varchar)||'.5 GB'
+ else cast(102*(1+user_id%4)+(4*(1+user_id%4))//10 as varchar)||'.'||cast(4*(1+user_id%4)%10 as varchar)||' MB' end
  ||', shared mem: 0.001 KB, buffer mem: 71.824 MB, total swap: 30.000 GB, free swap: 30.000 GB, # procs: 293'"""
 
 PATH_TEXT = """concat('/data/', date_format(ts, 'yyyy-MM-dd'), '/10.0.0.', cast(user_id % 8 as string),

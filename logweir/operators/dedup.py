@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.patterns import PAYLOAD
 from .parsing import parse_payload
 
 
@@ -25,6 +26,7 @@ def dedup_lines(df: DataFrame, order: list[str], line: str = "line", ordered: bo
 
     The time comes out of the line itself, so only the arrival is carried.
     """
+    df = df.where(F.col(line).startswith(PAYLOAD.starts_with))  # spare the shuffle what cannot parse
     if len(order) == 1:  # one fixed-width minimum: hash aggregation throughout
         firsts = df.groupBy(line).agg(F.min(order[0]).alias(order[0]))
     else:

@@ -262,8 +262,12 @@ def distinct_over_panes(
     return unrolled.groupBy("window_id", *keys).agg(*aggs)
 
 
-def emit_windows(windows: DataFrame, window: str, keys: list[str] = ()) -> DataFrame:
-    """Closed windows as messages: the window as key, the rest as JSON value."""
+def emit_windows(
+    windows: DataFrame, window: str, keys: list[str] = (), value: Column | None = None
+) -> DataFrame:
+    """Closed windows as messages: the window (and keys) as key, and ``value``,
+    by default the rest as JSON."""
     rest = [c for c in windows.columns if c != window]
     key = F.concat_ws("/", F.col(window).cast("string"), *[F.col(k).cast("string") for k in keys])
-    return windows.select(key.alias("key"), F.to_json(F.struct(*rest)).alias("value"))
+    body = F.to_json(F.struct(*rest)) if value is None else value
+    return windows.select(key.alias("key"), body.alias("value"))
