@@ -40,15 +40,17 @@ class _CountedStream:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = self._rows_before(batch_id)
+        done = self.reported(before)
         placed = with_row_index(self.project(batch), self.order)
         some = placed.select("row_total").head()  # every row carries the row count
         after = before + (some[0] if some else 0)
         placed = placed.withColumn("row_idx", F.col("row_idx") + before)
-        state = self.merge(self._state_before(batch_id), placed)
-        done, due = self.reported(before), self.reported(after)
-        self._put(self.closed(state, done, due), "out", batch_id)
-        self._put(self.still_open(state, due), "state", batch_id)
-        total = self.spark.range(1).select(F.lit(after).cast("bigint").alias("rows"))
+        # parsed and reduced once; the windows of this batch and the state of the
+        # next are both read from what is written here
+        merged = self.merge(self.still_open(self._read_state(batch_id - 1), done), placed)
+        self._put(merged, "state", batch_id)
+        self._put(self.closed(self._read_state(batch_id), done, self.reported(after)), "out", batch_id)
+        total = self.spark.range(1, numPartitions=1).select(F.lit(after).cast("bigint").alias("rows"))
         self._put(total, "rows", batch_id)
         self._forget(batch_id - 2)
 
@@ -61,10 +63,10 @@ class _CountedStream:
         path = f"{self.folder}/rows/batch_id={batch_id - 1}"
         return self.spark.read.schema("rows bigint").parquet(path).head()[0]
 
-    def _state_before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
+    def _read_state(self, batch_id: int) -> DataFrame:
+        if batch_id < 0:
             return self.spark.createDataFrame([], self.state_schema)
-        path = f"{self.folder}/state/batch_id={batch_id - 1}"
+        path = f"{self.folder}/state/batch_id={batch_id}"
         return self.spark.read.schema(self.state_schema).parquet(path)
 
     def _forget(self, batch_id: int) -> None:
@@ -88,7 +90,8 @@ class _CountedStream:
     def closed(self, state: DataFrame, done: int, due: int) -> DataFrame:
         raise NotImplementedError
 
-    def still_open(self, state: DataFrame, due: int) -> DataFrame:
+    def still_open(self, state: DataFrame, done: int) -> DataFrame:
+        """What windows after the first ``done`` ones need; a filter on the scan."""
         raise NotImplementedError
 
 
@@ -107,11 +110,11 @@ class DistinctPerCountWindow(_CountedStream):
         self.pane = gcd(self.length, self.slide)
 
     def merge(self, state, placed):
-        cells = self.units(placed).select(
-            F.col("unit").cast("string"), floor_div(F.col("row_idx"), self.pane).alias("__pane")
+        pane = floor_div(F.col("row_idx"), self.pane).alias("__pane")
+        new = self.units(placed).select(
+            F.col("unit").cast("string"), pane, F.lit(1).cast("bigint").alias("__n")
         )
-        new = cells.groupBy("unit", "__pane").agg(F.count("*").alias("__n"))
-        return state.unionByName(new)
+        return state.unionByName(new).groupBy("unit", "__pane").agg(F.sum("__n").alias("__n"))
 
     def closed(self, state, done, due):
         return distinct_over_panes(
@@ -119,9 +122,8 @@ class DistinctPerCountWindow(_CountedStream):
             weight=F.col("__n"), first_id=done, keep=F.col("window_id") < due,
         )
 
-    def still_open(self, state, due):
-        kept = state.where(F.col("__pane") * self.pane >= due * self.slide)
-        return kept.groupBy("unit", "__pane").agg(F.sum("__n").alias("__n"))
+    def still_open(self, state, done):
+        return state.where(F.col("__pane") >= done * self.slide // self.pane)
 
 
 class MatchesPerCountWindow(_CountedStream):
@@ -152,5 +154,5 @@ class MatchesPerCountWindow(_CountedStream):
         )
         return rows.distinct()
 
-    def still_open(self, state, due):
-        return state.where(F.col("row_idx") >= due * self.slide)
+    def still_open(self, state, done):
+        return state.where(F.col("row_idx") >= done * self.slide)

@@ -54,11 +54,16 @@ def dedup(
 
 
 def per_batch(write: Callable[[DataFrame, int], None], cols: list[str]) -> Callable:
-    """For ``foreachBatch``: distinct rows of the micro-batch, time ordered by the
-    caller's ``write`` if wanted."""
+    """For ``foreachBatch``: hands on the distinct rows of each micro-batch."""
     return lambda batch, batch_id: write(batch.select(*cols).dropDuplicates(cols), batch_id)
 
 
+def time_ordered(write: Callable[[DataFrame, int], None]) -> Callable:
+    """For ``foreachBatch``: hands on each micro-batch of (key, value) rows in time
+    order, the key being the event time."""
+    return lambda batch, batch_id: write(batch.orderBy(F.col("key").cast("bigint")), batch_id)
+
+
 def first_seen_units(
     stream: DataFrame, unit: str = "token", line: str = "line", date_parts: str = "year_month"
 ) -> DataFrame:

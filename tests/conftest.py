@@ -12,7 +12,7 @@ from logweir.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "8"})
+    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
 
