@@ -149,6 +149,25 @@ def bucket_count_offsets(spark, sf_dir):
     return jobs.bucket_count(L.events(spark, sf_dir), ["event_id"], 1000, 100, "payload", given=True)
 
 
+# a window per log partition, numbered by the offsets there
+@query("bucket_count_partitions", f"""{PLAIN}, i AS (SELECT cast(event_id % 16 AS INT) AS part, event_id // 16 AS i,
+ count(*) OVER (PARTITION BY event_id % 16) AS n, line FROM l),
+ m AS (SELECT part, i, n, {group(2, R3)} AS unit FROM i WHERE regexp_matches(line, '{R3}')),
+ {sliding_rows_floor(100, 50, 'm', 'count(DISTINCT unit) AS n_distinct', ', part')}""")
+def bucket_count_partitions(spark, sf_dir):
+    rows = L.events(spark, sf_dir, L.EVENT_TEXT, "cast(event_id % 16 as int) as part", "event_id div 16 as offset")
+    return jobs.bucket_count(rows, ["offset"], 100, 50, "payload", partition_by=["part"], given=True)
+
+
+@query("bucket_match_partitions", f"""{PLAIN}, i AS (SELECT cast(event_id % 16 AS INT) AS part, event_id // 16 AS i,
+ count(*) OVER (PARTITION BY event_id % 16) AS n, line FROM l)
+SELECT DISTINCT part, i // 100 AS window_id, md5(line) AS key, {VALUE} AS value FROM i
+WHERE (i // 100) * 100 + 100 < n AND regexp_matches(line, '{R2}') AND contains({group(5, R2)}, 'IRQ')""")
+def bucket_match_partitions(spark, sf_dir):
+    rows = L.events(spark, sf_dir, L.EVENT_TEXT, "cast(event_id % 16 as int) as part", "event_id div 16 as offset")
+    return jobs.bucket_match(rows, ["offset"], 100, 100, processed=F.lit(PROCESSED), key="md5", partition_by=["part"])
+
+
 @query("count_window_keyed", f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i,
  count(*) OVER (PARTITION BY event_type) AS n FROM events),
  {sliding_rows_floor(100, 40, 'i', 'count(*) AS n_rows, min(event_id) AS first_id, max(event_id) AS last_id, max("value") AS top', ', event_type')}""")

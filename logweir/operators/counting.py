@@ -43,6 +43,11 @@ def count_by_key(df: DataFrame, key: str, out: str = "n") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias(out))
 
 
+def random_rows(df: DataFrame, n: int = 5, seed: int | None = None) -> DataFrame:
+    """``n`` rows in random order; each task hands on at most ``n``."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
 def conservation(groups: DataFrame, rows: DataFrame, n: str = "n") -> DataFrame:
     """One row: rows read, rows counted in the groups, and what is missing."""
     read = rows.agg(F.count("*")).scalar()

@@ -59,17 +59,28 @@ def with_row_index(
 
 
 def with_given_index(
-    df: DataFrame, offset: str, index: str = "row_idx", total: str = "row_total"
+    df: DataFrame,
+    offset: str,
+    partition_by: list[str] = (),
+    index: str = "row_idx",
+    total: str = "row_total",
 ) -> DataFrame:
-    """The same two columns where ``offset`` already numbers the rows without
-    gaps or repeats, like the offsets of a one-partition log: no sort, no
-    shuffle. The query fails if the range of offsets does not fit the row count.
+    """The same two columns where ``offset`` already numbers the rows of each
+    ``partition_by`` group without gaps or repeats, like the offsets within the
+    partitions of a log: no sort, and only one row per group is shuffled. The
+    query fails if a range of offsets does not fit its row count.
     """
-    span = df.agg(
-        F.struct(F.min(offset).alias("lo"), F.max(offset).alias("hi"), F.count("*").alias("n"))
-    ).scalar()
-    dense = (span["hi"] - span["lo"] + 1) == span["n"]
-    checked = F.when(dense, F.col(offset) - span["lo"]).otherwise(
+    keys = list(partition_by)
+    span = F.struct(F.min(offset).alias("lo"), F.max(offset).alias("hi"), F.count("*").alias("n"))
+    if keys:
+        spans = df.groupBy(*keys).agg(span.alias("__span"))
+        on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+        rows = df.alias("d").join(spans.alias("s"), on).select("d.*", "s.__span")
+        lo, hi, n = (F.col("__span")[x] for x in ("lo", "hi", "n"))
+    else:
+        one = df.agg(span).scalar()
+        rows, (lo, hi, n) = df, (one[x] for x in ("lo", "hi", "n"))
+    checked = F.when(hi - lo + 1 == n, F.col(offset) - lo).otherwise(
         F.raise_error(F.lit(f"{offset} has gaps or repeats")).cast("bigint")
     )
-    return df.select("*", checked.alias(index), span["n"].alias(total))
+    return rows.select(*df.columns, checked.alias(index), n.alias(total))

@@ -135,9 +135,9 @@ def distinct_in_time_windows(
 def indexed(df: DataFrame, order: list[str], partition_by: list[str] = (), given: bool = False) -> DataFrame:
     """Rows with ``row_idx`` and ``row_total``; ``given`` trusts a gapless order column."""
     if given:
-        if len(order) != 1 or partition_by:
-            raise ValueError("a given index is one order column over the whole frame")
-        return with_given_index(df, order[0])
+        if len(order) != 1:
+            raise ValueError("a given index is one order column")
+        return with_given_index(df, order[0], partition_by)
     return with_row_index(df, order, partition_by)
 
 

@@ -121,40 +121,47 @@ def bucket_match(
     df: DataFrame, order: list[str], length: int = 100_000, slide: int = 100_000,
     literal: str = MATCH_LITERAL, scope: str = "payload", line: str = "line",
     emit: str = "next_record", filter_first: bool = False, processed: Column | None = None,
-    key: str = "xxhash64",
+    key: str = "xxhash64", partition_by: list[str] = (), given: bool = False,
 ) -> DataFrame:
     """The set of matches in each window of messages: window_id, key, value.
 
-    All messages are numbered, but only lines that can match travel with their
-    number. ``filter_first`` makes it windows of matches instead.
+    All messages are numbered, over the whole log or within ``partition_by``, but
+    only lines that can match travel with their number. ``filter_first`` makes it
+    windows of matches instead. ``given``: see ``bucket_count``.
     """
+    keys = list(partition_by)
     if filter_first:
-        places = [F.col(o).alias(f"__o{i}") for i, o in enumerate(order)]
-        matches = matching(df.select(*places, line), literal, scope, line)
         names = [f"__o{i}" for i in range(len(order))]
-        rows = W.indexed(matches.select(*names, line), names)
+        places = [F.col(o).alias(n) for o, n in zip(order, names)]
+        matches = matching(df.select(*keys, *places, line), literal, scope, line)
+        rows = W.indexed(matches.select(*keys, *names, line), names, keys)
     else:
         text = F.when(F.col(line).contains(literal), F.col(line)).alias(line)
-        rows = W.indexed(df.select(*order, text), order)
+        rows = W.indexed(df.select(*dict.fromkeys([*keys, *order]), text), order, keys, given)
     inside = W.in_count_windows(rows.where(F.col(line).isNotNull()), length, slide, emit)
-    unique = inside.select("window_id", line).dropDuplicates(["window_id", line])
-    return _key_value(matching(unique, literal, scope, line), processed, key, line, "window_id")
+    window = ["window_id", *keys]
+    unique = inside.select(*window, line).dropDuplicates([*window, line])
+    return _key_value(matching(unique, literal, scope, line), processed, key, line, *window)
 
 
 def bucket_count(
     df: DataFrame, order: list[str], length: int = 1_000_000, slide: int = 100_000,
     unit: str = "line", line: str = "line", emit: str = "next_record", rows: str | None = None,
-    given: bool = False,
+    partition_by: list[str] = (), given: bool = False,
 ) -> DataFrame:
-    """Distinct units in each window of messages.
+    """Distinct units in each window of messages, over the whole log or within
+    ``partition_by``.
 
     Messages are numbered first; lines that do not parse still fill windows.
+    ``given``: the order column already numbers the messages without gaps, as the
+    offsets within a log partition do, which saves sorting them.
     """
-    placed = W.indexed(df.select(*order, line), order, given=given)
+    keys = list(partition_by)
+    placed = W.indexed(df.select(*dict.fromkeys([*keys, *order]), line), order, keys, given)
     if unit in ("token", "payload"):
         placed = parse_date(placed, line)
     units = counting.with_unit(placed, unit, line)
-    return W.distinct_in_count_windows(units, length, slide, "unit", emit=emit, count=rows)
+    return W.distinct_in_count_windows(units, length, slide, "unit", keys, emit, rows)
 
 
 # -------------------------------------------------------------------------- devices

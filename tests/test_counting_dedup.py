@@ -116,6 +116,12 @@ def test_word_conservation(spark):
     assert ct.conservation(counts.where("false"), words).head() == (100, 0, 100)
 
 
+def test_random_rows(spark):
+    picked = ct.random_rows(spark.range(1000), 5, seed=3).collect()
+    assert len({r.id for r in picked}) == 5
+    assert picked == ct.random_rows(spark.range(1000), 5, seed=3).collect()
+
+
 def test_per_batch_distinct(spark, rows):
     data = [(0, "a"), (0, "a"), (1, "a"), (1, "b")]
     out = dd.distinct_per_batch(spark.createDataFrame(data, "batch int, v string"), "batch", ["v"])

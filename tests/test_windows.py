@@ -120,6 +120,12 @@ def test_given_index_checks_the_offsets(spark):
     assert with_given_index(good, "offset").agg(F.max("row_idx"), F.max("row_total")).head() == (19, 20)
     with pytest.raises(Exception, match="gaps or repeats"):
         with_given_index(good.where("offset <> 15"), "offset").collect()
+    parts = spark.range(40).select((F.col("id") % 3).alias("p"), (F.col("id") / 3).cast("bigint").alias("offset"))
+    placed = with_given_index(parts, "offset", ["p"])
+    assert placed.where("row_idx <> offset").count() == 0
+    assert {(r.p, r.row_total) for r in placed.collect()} == {(0, 14), (1, 13), (2, 13)}
+    with pytest.raises(Exception, match="gaps or repeats"):
+        with_given_index(parts.where("p <> 1 or offset <> 5"), "offset", ["p"]).collect()
 
 
 # ------------------------------------------------------------------ time windows
