@@ -67,7 +67,7 @@ INDEXED_AT = 1_700_000_000_000
 DUCK_DEVICES = f"""SELECT 'K'||c_custkey AS id, c_name||'|Ltd' AS company, 'Ms '||c_mktsegment AS person,
  cast({INDEXED_AT} AS BIGINT) AS index_date, '01/02/2003' AS device_index_date, '03/04/2004' AS status_date,
  CASE WHEN c_acctbal < 0 THEN 'DENY' ELSE 'SESE' END AS status, 'device '||c_nationkey AS product
-FROM customer WHERE c_custkey % 10 <> 3"""
+FROM customer WHERE c_nationkey <> 3"""
 
 
 def device_lines(spark, sf_dir):
@@ -80,7 +80,7 @@ def device_project(spark, sf_dir):
     return dv.device_documents(dv.split_records(device_lines(spark, sf_dir)), F.lit(INDEXED_AT).cast("bigint"))
 
 
-@query("device_stats", "SELECT count(*) AS records, count(*) FILTER (c_custkey % 10 = 3) AS bad_records FROM customer")
+@query("device_stats", "SELECT count(*) AS records, count(*) FILTER (c_nationkey = 3) AS bad_records FROM customer")
 def device_stats(spark, sf_dir):
     return dv.record_stats(dv.split_records(device_lines(spark, sf_dir)))
 

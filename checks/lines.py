@@ -19,10 +19,10 @@ DUCK_EVENT_TEXT = """'- '||cast(epoch_us(ts)//1000000 as varchar)||' '||strftime
  ||case when event_type='error' then 'src@admin' else 'u@n' end||cast(user_id as varchar)||' '
  ||event_type||': '||case when value>100 then 'IRQ ' else 'run ' end||props"""
 
-# every seventh line carries an alert tag, which no parser accepts
-DAMAGED_TEXT = f"case when event_id % 7 = 0 then concat('ALERT ', {EVENT_TEXT}) else {EVENT_TEXT} end"
+# lines of three hours of the day carry an alert tag, which no parser accepts
+DAMAGED_TEXT = f"case when hour(ts) in (3, 11, 19) then concat('ALERT ', {EVENT_TEXT}) else {EVENT_TEXT} end"
 DUCK_DAMAGED_TEXT = (
-    f"case when event_id % 7 = 0 then 'ALERT '||{DUCK_EVENT_TEXT} else {DUCK_EVENT_TEXT} end"
+    f"case when hour(ts) in (3, 11, 19) then 'ALERT '||{DUCK_EVENT_TEXT} else {DUCK_EVENT_TEXT} end"
 )
 
 ORDER_TEXT = """concat('- ', cast(unix_seconds(cast(o_orderdate as timestamp)) as string), ' ',
@@ -73,7 +73,7 @@ DUCK_PATH_TEXT = """'/data/'||strftime(ts,'%Y-%m-%d')||'/10.0.0.'||cast(user_id%
 DEVICE_TEXT = """concat('K', cast(c_custkey as string), '|"', c_name, '|Ltd"|Ms ', c_mktsegment, '|1 Main St||Town|ST|US|',
  cast(10000 + c_nationkey as string), '||01/02/2003|03/04/2004|',
  case when c_acctbal < 0 then 'DENY' else 'SESE' end, '|GU|KGN|Summary||||N|',
- case when c_custkey % 10 = 3 then 'device' else concat('N|device ', cast(c_nationkey as string)) end)"""
+ case when c_nationkey = 3 then 'device' else concat('N|device ', cast(c_nationkey as string)) end)"""
 
 
 def events(spark: SparkSession, sf_dir: str, text: str = EVENT_TEXT, *more: str) -> DataFrame:

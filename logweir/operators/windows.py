@@ -10,6 +10,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written_table
 from .ordering import with_given_index, with_row_index
 
 MICROS = 1_000_000
@@ -72,32 +73,29 @@ def time_window(
         return out
     if keys:
         raise ValueError("emit_empty needs windows without keys")
-    return with_empty_windows(out, df, ts, length, slide, offset)
+    return with_empty_windows(out, length, slide, offset)
 
 
-def with_empty_windows(
-    out: DataFrame, df: DataFrame, ts: str, length: float, slide: float, offset: float = 0
-) -> DataFrame:
+def with_empty_windows(out: DataFrame, length: float, slide: float, offset: float = 0) -> DataFrame:
     """Add the windows that hold no rows, between the first and the last that do.
 
-    The list of windows is spread out in blocks of 10,000 before it is unrolled,
-    so a long span with a short slide is not built by one task.
+    The result has one row per window, so it is stored once and read for both
+    its bounds and its rows. The list of windows is spread out in blocks before
+    it is unrolled: a long span with a short slide is not built by one task.
     """
     len_us, slide_us, off_us = micros(length), micros(slide), micros(offset)
-    first = f"floor((min(unix_micros({ts})) - {off_us} - {len_us}) / {slide_us}) + 1"
-    last = f"floor((max(unix_micros({ts})) - {off_us}) / {slide_us})"
-    if slide > length:  # edges may lie in a gap: take the windows that have rows
-        first, last = (f"floor(({f}(unix_micros(window_start)) - {off_us}) / {slide_us})" for f in ("min", "max"))
-    bounds = (out if slide > length else df).agg(F.expr(first).alias("lo"), F.expr(last).alias("hi"))
+    stored = written_table(out, "windows")
+    place = floor_div(F.unix_micros("window_start") - off_us, slide_us)
+    bounds = stored.agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     spine = (
         bounds.where("lo is not null")
-        .select("lo", "hi", F.expr("explode(sequence(lo, hi, 10000l))").alias("b"))
+        .select("hi", F.expr("explode(sequence(lo, hi, 10000l))").alias("b"))
         .repartition("b")
         .select(F.expr("explode(sequence(b, least(b + 9999, hi)))").alias("k"))
         .select(F.timestamp_micros(F.col("k") * slide_us + off_us).alias("window_start"))
     )
     end = F.timestamp_micros(F.unix_micros("window_start") + len_us)
-    return spine.join(out.drop("window_end"), "window_start", "left").select(
+    return spine.join(stored.drop("window_end"), "window_start", "left").select(
         "window_start", end.alias("window_end"), *[c for c in out.columns if not c.startswith("window_")]
     )
 

@@ -54,6 +54,9 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/logweir/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def written_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -62,4 +65,16 @@ def written_table(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables written so far by ``written_table``, once the results
+    that read them are stored. Returns how many there were."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped

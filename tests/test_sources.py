@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweir.operators import devices as dv, links as lk
 from logweir.plans import jobs
-from logweir.session import CHECKPOINT_DIR, shared_folder, written_table
+from logweir.session import CHECKPOINT_DIR, drop_written, shared_folder, written_table
 from logweir.sinks.writers import write_log
 from logweir.sources import messages as ms
 from logweir.sources.archives import read_archives, unpack_records
@@ -196,3 +196,11 @@ def test_written_table_lies_in_the_shared_folder(spark):
     table = written_table(spark.range(5).select("id", F.lit(None).cast("string").alias("s")), "x")
     assert table.count() == 5 and table.columns == ["id", "s"]
     assert all(f.split("file:", 1)[-1].lstrip("/").startswith(shared_folder(spark).lstrip("/")) for f in table.inputFiles())
+    assert drop_written(spark) >= 1 and drop_written(spark) == 0
+    assert not is_folder_there(table)
+
+
+def is_folder_there(table):
+    import os
+
+    return any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in table.inputFiles())
