@@ -45,7 +45,7 @@ def parts(spark, log, tmp_path):
     import os
     import time
 
-    cuts = [0, 70, 71, 400, N]
+    cuts = [0, 70, 71, 300, 450, N]
 
     class Parts:
         folder = str(tmp_path / "in")
@@ -104,7 +104,7 @@ def test_per_batch_dedup(spark, parts, log):
     sink = st.per_batch(lambda df, i: seen.append([r.tail for r in df.collect()]), ["tail"])
     tails = parts.add().stream().select(F.substring_index("line", " ", -1).alias("tail"))
     st.each_batch(tails, sink, folder).awaitTermination()
-    cuts = [0, 70, 71, 400, N]
+    cuts = [0, 70, 71, 300, 450, N]
     want = [{t.rsplit(" ", 1)[-1] for _, t in log[a:b]} for a, b in zip(cuts, cuts[1:])]
     assert [set(s) for s in seen] == want and all(len(s) == len(set(s)) for s in seen)
 
@@ -134,7 +134,7 @@ def test_sketches_and_replay(spark, parts, batch):
 
     st.each_batch(parts.add().stream(), twice, f"{folder}/check").awaitTermination()
     sketches = spark.read.parquet(f"{folder}/out")
-    assert sketches.count() == 4
+    assert sketches.count() == 5
     _, overall = jobs.distinct_overall(batch.withColumn("b", F.lit(1)), "b")
     totals = st.sketch_totals(sketches)
     assert totals.select("approx_distinct", "parsed", "attempted").head() == overall.select(
@@ -217,7 +217,7 @@ def test_count_window_stream(spark, parts, log, rows, length, slide, emit):
     # two runs: the second goes on from the checkpoint
     st.each_batch(parts.add(3).stream(), replaying, f"{folder}/check").awaitTermination()
     st.each_batch(parts.add().stream(), replaying, f"{folder}/check").awaitTermination()
-    assert runs == [0, 1, 2, 3]
+    assert runs == [0, 1, 2, 3, 4]
     model = model_count_windows([t for _, t in log], length, slide, emit)
     want = []
     for k, held in model.items():
