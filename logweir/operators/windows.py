@@ -15,6 +15,7 @@ from .ordering import with_given_index, with_row_index
 
 MICROS = 1_000_000
 _PANE, _CHUNK = "__pane", "__chunk"
+_BITS = 63  # panes in a bitmap; the sign bit stays free
 _CHUNK_WINDOWS = 64  # window lengths per chunk; the overlap repeats 1/64 of the cells
 
 
@@ -218,9 +219,65 @@ def distinct_over_panes(
     keep: Column | None = None,
     out: str = "n_distinct",
 ) -> DataFrame:
-    """Distinct ``unit`` (and, if ``rows`` names it, rows) per window of panes.
+    """Distinct ``unit`` (and, if ``rows`` names it, rows) per window of ``length``
+    panes, one window every ``slide`` panes. Null units count nowhere.
 
-    Rows shrink to cells (key, unit, pane) first. In each window a unit counts
+    Windows without overlap are plain groups. Overlapping ones are never built
+    by copying rows into each window: short ones go by bitmap, others (and those
+    that also count rows) by look-back.
+    """
+    df = df.where(F.col(unit).isNotNull())
+    n_rows = F.sum(weight) if weight is not None else F.count("*")
+    if slide >= length:
+        held = df.where(F.pmod(F.col(_PANE), F.lit(slide)) < length) if slide > length else df
+        windows = held.withColumn("window_id", floor_div(F.col(_PANE), slide))
+        if first_id is not None:
+            windows = windows.where(F.col("window_id") >= first_id)
+        if keep is not None:
+            windows = windows.where(keep)
+        counted = [F.count_distinct(unit).alias(out)] + ([n_rows.alias(rows)] if rows else [])
+        return windows.groupBy("window_id", *keys).agg(*counted)
+    per_block = (_BITS - length) // slide + 1
+    if not rows and length - slide <= per_block * slide // 2:
+        return _distinct_by_bitmap(df, length, slide, per_block, unit, keys, first_id, total, keep, out)
+    return _distinct_by_look_back(df, length, slide, unit, keys, rows, n_rows, first_id, total, keep, out)
+
+
+def _distinct_by_bitmap(df, length, slide, per_block, unit, keys, first_id, total, keep, out):
+    """Per unit and block of ``per_block`` windows, one 64-bit map of the panes
+    the unit occurs in: one shuffle, combined on the map side. A window holds
+    the unit if any of its bits is set; those are summed per block.
+    """
+    pane = F.col(_PANE)
+    span = per_block * slide  # panes from one block to the next
+    oldest = floor_div(pane - length, slide) + 1
+    if first_id is not None:
+        oldest = F.greatest(F.lit(first_id).cast("bigint"), oldest)
+    newest = floor_div(pane, slide)
+    blocks = F.sequence(floor_div(oldest, per_block), floor_div(newest, per_block))
+    # with a first window, panes before it lie in no window
+    placed = df.select("*", F.explode(F.when(oldest <= newest, blocks)).alias("__block"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (pane - F.col("__block") * span).cast("int"))
+    totals = [F.max(total).alias(total)] if total else []
+    maps = placed.groupBy(*keys, unit, "__block").agg(F.bit_or(bit).alias("__map"), *totals)
+    window_bits = (1 << length) - 1
+    held = [
+        F.count_if(F.col("__map").bitwiseAND(F.lit(window_bits << (j * slide))) != 0) for j in range(per_block)
+    ]
+    counts = maps.groupBy(*keys, "__block").agg(F.array(*held).alias("__counts"), *totals)
+    windows = counts.select(
+        *keys, *([total] if total else []), "__block", F.posexplode("__counts").alias("__j", out)
+    ).withColumn("window_id", F.col("__block") * per_block + F.col("__j"))
+    windows = windows.where(F.col(out) > 0)
+    if first_id is not None:
+        windows = windows.where(F.col("window_id") >= first_id)
+    if keep is not None:
+        windows = windows.where(keep)
+    return windows.select("window_id", *keys, out)
+
+
+def _distinct_by_look_back(df, length, slide, unit, keys, rows, n_rows, first_id, total, keep, out):
+    """Rows shrink to cells (key, unit, pane) first. In each window a unit counts
     once, at its first pane there: the window must start after the pane where
     the unit was seen before. So cells are never compared across windows, and
     what is unrolled per window is summed on the map side before it moves.
@@ -229,13 +286,9 @@ def distinct_over_panes(
     pane axis into chunks, each with a copy of the last window of panes before
     it, and a unit that occurs in every pane is spread over many tasks.
     """
-    totals = [total] if total else []
-    lead = [*keys, *totals]
-    n_rows = F.sum(weight) if weight is not None else F.count("*")
-    if slide > length:  # panes between windows count nowhere
-        df = df.where(F.pmod(F.col(_PANE), F.lit(slide)) < length)
+    lead = [*keys, *([total] if total else [])]
     cells = df.groupBy(*lead, unit, _PANE).agg(n_rows.alias("__rows"))
-    chunk = max(length, slide) * _CHUNK_WINDOWS
+    chunk = length * _CHUNK_WINDOWS
     home = floor_div(F.col(_PANE), chunk)
     ahead = floor_div(F.col(_PANE) + (length - 1), chunk)
     spread = cells.withColumn(_CHUNK, F.explode(F.sequence(home, ahead)))
@@ -250,11 +303,11 @@ def distinct_over_panes(
     if first_id is not None:
         first = F.greatest(F.lit(first_id).cast("bigint"), first)
     ids = F.when(first <= last, F.sequence(first, last))
-    unrolled = looked.select(*lead, unit, "__prev", "__rows", F.explode(ids).alias("window_id"))
+    unrolled = looked.select(*lead, "__prev", "__rows", F.explode(ids).alias("window_id"))
     if keep is not None:
         unrolled = unrolled.where(keep)
     fresh = F.col("__prev").isNull() | (F.col("__prev") < F.col("window_id") * slide)
-    aggs = [F.count_if(fresh & F.col(unit).isNotNull()).alias(out)]
+    aggs = [F.count_if(fresh).alias(out)]
     if rows:
         aggs.append(F.sum("__rows").alias(rows))
     return unrolled.groupBy("window_id", *keys).agg(*aggs)

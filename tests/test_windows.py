@@ -31,8 +31,11 @@ def model_count_windows(items, length, slide, emit):
     return done
 
 
-CASES = [(0, 3, 3), (1, 1, 1), (6, 3, 3), (7, 3, 3), (50, 10, 3), (60, 7, 7), (61, 12, 4), (200, 5, 9),
-         (100, 10, 10), (101, 100, 1), (333, 40, 15), (90, 1, 4), (500, 2, 1)]
+CASES = [
+    (0, 3, 3, "next_record"), (1, 1, 1, "next_record"), (1, 1, 1, "full"), (6, 3, 3, "next_record"), (6, 3, 3, "full"),
+    (50, 10, 3, "next_record"), (61, 12, 4, "full"), (200, 5, 9, "next_record"), (200, 5, 9, "full"),
+    (101, 100, 1, "next_record"), (101, 100, 1, "full"), (333, 40, 15, "next_record"), (500, 2, 1, "full"),
+]
 
 
 def values(n, seed):
@@ -48,8 +51,7 @@ def frame_of(spark, items, partitions=5):
     return spark.createDataFrame(rows, schema).repartition(partitions) if rows else spark.createDataFrame([], schema)
 
 
-@pytest.mark.parametrize("emit", ["next_record", "full"])
-@pytest.mark.parametrize("n,length,slide", CASES)
+@pytest.mark.parametrize("n,length,slide,emit", CASES)
 def test_count_windows(spark, rows, monkeypatch, n, length, slide, emit):
     monkeypatch.setattr(W, "_CHUNK_WINDOWS", 2)  # so that small inputs span chunks
     items = values(n, n * 7 + length)
@@ -61,7 +63,8 @@ def test_count_windows(spark, rows, monkeypatch, n, length, slide, emit):
         ((k, len(set(v)), len(v)) for k, v in model.items()), key=repr)
     bare = W.distinct_in_count_windows(placed, length, slide, emit=emit)
     assert rows(bare, "window_id", "n_distinct") == sorted(((k, len(set(v))) for k, v in model.items()), key=repr)
-    agg = W.count_window(frame, ["at"], length, slide, {"low": F.min("unit"), "n": F.count("*")}, emit=emit)
+    inside = W.in_count_windows(placed, length, slide, emit)
+    agg = inside.groupBy("window_id").agg(F.min("unit").alias("low"), F.count("*").alias("n"))
     assert rows(agg, "window_id", "low", "n") == sorted(((k, min(v), len(v)) for k, v in model.items()), key=repr)
 
 
