@@ -13,6 +13,8 @@ from ..operators import alignment, counting, dedup as dd, devices, links, metric
 from ..operators.parsing import (
     matching, parse_date, parse_dated, parse_hardware, parse_latency, parse_payload, parse_throughput,
 )
+from ..session import written_table
+from ..sinks.keyed import KeyedTable
 from ..sources.archives import unpack_records
 from ..sources.files import metric_files, read_metric_lines
 
@@ -178,6 +180,16 @@ def device_index(archives: DataFrame, index_date: Column | None = None) -> DataF
     return devices.as_json(devices.device_documents(unpack_records(archives), index_date))
 
 
+def index_devices(
+    archives: DataFrame, table: KeyedTable, run: int, index_date: Column | None = None
+) -> DataFrame:
+    """Upsert the documents of one run; gives them back with ``created``, false
+    where a document with that id was there before."""
+    documents = written_table(device_index(archives, index_date), "documents")
+    table.upsert(documents, run)
+    return table.with_created(documents, before=run)
+
+
 # ---------------------------------------------------------------------------- words
 
 

@@ -12,11 +12,19 @@ from ..functions.columns import member_name
 RECORD_SCHEMA = "path string, member string, record_no bigint, fields array<string>, error string"
 
 
-def read_archives(spark: SparkSession, folder: str, glob: str = "*.zip") -> DataFrame:
-    """path, content of the archives below a folder."""
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_archives(
+    spark: SparkSession, folder: str, glob: str = "*.zip", streaming: bool = False,
+    max_files_per_trigger: int | None = None,
+) -> DataFrame:
+    """path, content of the archives below a folder; as a stream, of those that arrive."""
+    reader = (spark.readStream if streaming else spark.read).format("binaryFile").schema(FILE_SCHEMA)
+    if streaming and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
+        reader.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(folder)
         .select("path", "content")

@@ -11,63 +11,94 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.patterns import MATCH_LITERAL
 from ..operators.ordering import with_row_index
 from ..operators.parsing import matching
 from ..operators.windows import distinct_over_panes, floor_div
 
+_DONE, _DUE = "__done", "__due"
+
 
 class _CountedStream:
-    """Numbering and state shared by the count-window sinks."""
+    """Numbering and state shared by the count-window sinks, for ``foreachBatch``.
+
+    ``keys`` (name -> type) makes windows per key, for instance per log
+    partition; without it they run over the whole stream.
+    """
 
-    state_schema: str
+    state_columns: str
 
     def __init__(
         self, spark: SparkSession, folder: str, order: list[str], length: int,
-        slide: int | None = None, emit: str = "next_record",
+        slide: int | None = None, emit: str = "next_record", keys: dict[str, str] | None = None,
     ):
         if emit not in ("next_record", "full"):
             raise ValueError(f"unknown emit {emit!r}")
         self.spark, self.folder, self.order = spark, folder, order
         self.length, self.slide, self.emit = length, slide or length, emit
-
-    def reported(self, rows: int) -> int:
-        """How many windows are reported once ``rows`` rows have come."""
-        ready = rows - self.length - (1 if self.emit == "next_record" else 0)
-        return ready // self.slide + 1 if ready >= 0 else 0
+        self.keys = dict(keys or {})
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = self._rows_before(batch_id)
-        done = self.reported(before)
-        placed = with_row_index(self.project(batch), self.order)
-        some = placed.select("row_total").head()  # every row carries the row count
-        after = before + (some[0] if some else 0)
-        placed = placed.withColumn("row_idx", F.col("row_idx") + before)
+        names = list(self.keys)
+        placed = with_row_index(self.project(batch), self.order, names)
+        old = self._read(self._totals_schema, "rows", batch_id - 1).select(
+            *names, F.col("after").alias("before"), F.lit(0).cast("bigint").alias("n")
+        )
+        new = placed.groupBy(*names).agg(F.lit(0).cast("bigint").alias("before"), F.max("row_total").alias("n"))
+        totals = old.unionByName(new).groupBy(*names).agg(
+            F.coalesce(F.sum("before"), F.lit(0)).alias("before"),
+            F.coalesce(F.sum(F.col("before") + F.col("n")), F.lit(0)).alias("after"),
+        )
+        self._put(totals, "rows", batch_id)
+        counts = self._read(self._totals_schema, "rows", batch_id)
         # parsed and reduced once; the windows of this batch and the state of the
         # next are both read from what is written here
-        merged = self.merge(self.still_open(self._read_state(batch_id - 1), done), placed)
+        kept = self._numbered(self._read(self._state_schema, "state", batch_id - 1), counts)
+        fresh = self._numbered(placed, counts).withColumn("row_idx", F.col("row_idx") + F.col("__before"))
+        merged = self.merge(self.still_open(kept), fresh)
         self._put(merged, "state", batch_id)
-        self._put(self.closed(self._read_state(batch_id), done, self.reported(after)), "out", batch_id)
-        total = self.spark.range(1, numPartitions=1).select(F.lit(after).cast("bigint").alias("rows"))
-        self._put(total, "rows", batch_id)
+        state = self._numbered(self._read(self._state_schema, "state", batch_id), counts)
+        due = (F.col("window_id") >= F.col(_DONE)) & (F.col("window_id") < F.col(_DUE))
+        self._put(self.closed(state, due), "out", batch_id)
         self._forget(batch_id - 2)
 
+    def _numbered(self, df: DataFrame, counts: DataFrame) -> DataFrame:
+        """Add the rows before this batch and how many windows were and are reported."""
+        if self.keys:
+            on = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in self.keys]
+            rows = df.alias("d").join(counts.alias("c"), on).select("d.*", "c.before", "c.after")
+        else:
+            before, after = counts.select("before", "after").head()  # one row
+            rows = df.withColumn("before", F.lit(before)).withColumn("after", F.lit(after))
+        return rows.select(
+            *df.columns,
+            F.col("before").cast("bigint").alias("__before"),
+            self._reported(F.col("before")).alias(_DONE),
+            self._reported(F.col("after")).alias(_DUE),
+        )
+
+    def _reported(self, rows: Column) -> Column:
+        """How many windows are reported once ``rows`` rows have come."""
+        ready = rows.cast("bigint") - self.length - (1 if self.emit == "next_record" else 0)
+        return F.greatest(F.lit(0).cast("bigint"), floor_div(ready, self.slide) + 1)
+
+    @property
+    def _totals_schema(self) -> str:
+        return ", ".join([*[f"{k} {t}" for k, t in self.keys.items()], "before bigint, after bigint"])
+
+    @property
+    def _state_schema(self) -> str:
+        return ", ".join([*[f"{k} {t}" for k, t in self.keys.items()], self.state_columns])
+
     def _put(self, df: DataFrame, what: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{what}/batch_id={batch_id}")
 
-    def _rows_before(self, batch_id: int) -> int:
-        if batch_id == 0:
-            return 0
-        path = f"{self.folder}/rows/batch_id={batch_id - 1}"
-        return self.spark.read.schema("rows bigint").parquet(path).head()[0]
-
-    def _read_state(self, batch_id: int) -> DataFrame:
+    def _read(self, schema: str, what: str, batch_id: int) -> DataFrame:
         if batch_id < 0:
-            return self.spark.createDataFrame([], self.state_schema)
-        path = f"{self.folder}/state/batch_id={batch_id}"
-        return self.spark.read.schema(self.state_schema).parquet(path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{what}/batch_id={batch_id}")
 
     def _forget(self, batch_id: int) -> None:
         """State older than the last two batches is never read again."""
@@ -75,8 +106,9 @@ class _CountedStream:
             return
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/batch_id={batch_id}")
-        path.getFileSystem(conf).delete(path, True)
+        for what in ("state", "rows"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{what}/batch_id={batch_id}")
+            path.getFileSystem(conf).delete(path, True)
 
     def results(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/out").drop("batch_id")
@@ -85,13 +117,15 @@ class _CountedStream:
         return batch
 
     def merge(self, state: DataFrame, placed: DataFrame) -> DataFrame:
+        """State of open windows and the numbered rows of the batch as new state."""
         raise NotImplementedError
 
-    def closed(self, state: DataFrame, done: int, due: int) -> DataFrame:
+    def closed(self, state: DataFrame, due: Column) -> DataFrame:
+        """The windows that this batch closes."""
         raise NotImplementedError
 
-    def still_open(self, state: DataFrame, done: int) -> DataFrame:
-        """What windows after the first ``done`` ones need; a filter on the scan."""
+    def still_open(self, state: DataFrame) -> DataFrame:
+        """What windows not reported so far need."""
         raise NotImplementedError
 
 
@@ -99,10 +133,10 @@ class DistinctPerCountWindow(_CountedStream):
     """Exact distinct ``unit`` and rows per window of messages.
 
     ``units`` turns numbered messages into rows with a ``unit`` text column (and
-    their ``row_idx``). State is one row per (pane, unit) of open windows.
+    their ``row_idx``). State is one row per (key, pane, unit) of open windows.
     """
 
-    state_schema = "unit string, __pane bigint, __n bigint"
+    state_columns = "unit string, __pane bigint, __n bigint"
 
     def __init__(self, *args, units: Callable[[DataFrame], DataFrame], **kwargs):
         super().__init__(*args, **kwargs)
@@ -110,27 +144,31 @@ class DistinctPerCountWindow(_CountedStream):
         self.pane = gcd(self.length, self.slide)
 
     def merge(self, state, placed):
+        names = list(self.keys)
         pane = floor_div(F.col("row_idx"), self.pane).alias("__pane")
         new = self.units(placed).select(
-            F.col("unit").cast("string"), pane, F.lit(1).cast("bigint").alias("__n")
+            *names, F.col("unit").cast("string"), pane, F.lit(1).cast("bigint").alias("__n")
         )
-        return state.unionByName(new).groupBy("unit", "__pane").agg(F.sum("__n").alias("__n"))
+        cells = state.select(new.columns).unionByName(new)
+        return cells.groupBy(*names, "unit", "__pane").agg(F.sum("__n").alias("__n"))
 
-    def closed(self, state, done, due):
+    def closed(self, state, due):
+        ends = F.struct(F.col(_DONE).alias("done"), F.col(_DUE).alias("due"))
+        inside = (F.col("window_id") >= F.col("__ends.done")) & (F.col("window_id") < F.col("__ends.due"))
         return distinct_over_panes(
-            state, self.length // self.pane, self.slide // self.pane, "unit", rows="n_rows",
-            weight=F.col("__n"), first_id=done, keep=F.col("window_id") < due,
+            state.withColumn("__ends", ends), self.length // self.pane, self.slide // self.pane, "unit",
+            list(self.keys), rows="n_rows", weight=F.col("__n"), first_id=0, total="__ends", keep=inside,
         )
 
-    def still_open(self, state, done):
-        return state.where(F.col("__pane") >= done * self.slide // self.pane)
+    def still_open(self, state):
+        return state.where(F.col("__pane") >= F.col(_DONE) * (self.slide // self.pane))
 
 
 class MatchesPerCountWindow(_CountedStream):
     """The set of matching lines in each window of messages. State is the
     matching lines of open windows."""
 
-    state_schema = "line string, row_idx bigint"
+    state_columns = "line string, row_idx bigint"
 
     def __init__(self, *args, literal: str = MATCH_LITERAL, scope: str = "payload", **kwargs):
         super().__init__(*args, **kwargs)
@@ -140,19 +178,17 @@ class MatchesPerCountWindow(_CountedStream):
 
     def project(self, batch):
         text = F.when(F.col("line").contains(self.literal), F.col("line")).alias("line")
-        return batch.select(*self.order, text)
+        return batch.select(*dict.fromkeys([*self.keys, *self.order]), text)
 
     def merge(self, state, placed):
         new = matching(placed.where(F.col("line").isNotNull()), self.literal, self.scope)
-        return state.unionByName(new.select("line", "row_idx"))
+        columns = [*self.keys, "line", "row_idx"]
+        return state.select(columns).unionByName(new.select(columns))
 
-    def closed(self, state, done, due):
-        window = floor_div(F.col("row_idx"), self.slide)
+    def closed(self, state, due):
         inside = state.where(F.pmod("row_idx", F.lit(self.slide)) < self.length)
-        rows = inside.select(window.alias("window_id"), "line").where(
-            (F.col("window_id") >= done) & (F.col("window_id") < due)
-        )
-        return rows.distinct()
+        rows = inside.withColumn("window_id", floor_div(F.col("row_idx"), self.slide)).where(due)
+        return rows.select("window_id", *self.keys, "line").distinct()
 
-    def still_open(self, state, done):
-        return state.where(F.col("row_idx") >= done * self.slide)
+    def still_open(self, state):
+        return state.where(F.col("row_idx") >= F.col(_DONE) * self.slide)

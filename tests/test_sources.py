@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from logweir.operators import devices as dv, links as lk
 from logweir.plans import jobs
-from logweir.session import CHECKPOINT_DIR, drop_written, shared_folder, written_table
+from logweir.session import CHECKPOINT_DIR, drop_written, fresh_folder, shared_folder, written_table
+from logweir.sinks.keyed import KeyedTable
 from logweir.sinks.writers import write_log
 from logweir.sources import messages as ms
 from logweir.sources.archives import read_archives, unpack_records
+from logweir.streaming.jobs import each_batch
 from logweir.sources.files import is_folder, read_lines, read_words, stream_table
 
 
@@ -63,6 +65,24 @@ def test_archives(spark, archive_folder, rows):
     assert messages["K1"]["index_date"] > 1_600_000_000_000
 
 
+def test_archives_into_an_index(spark, archive_folder, tmp_path, rows):
+    """Runs replace documents; a stream of archives leaves the same table."""
+    first = read_archives(spark, archive_folder, "first*.zip")
+    schema = jobs.device_index(first).schema
+    table = KeyedTable(spark, fresh_folder(spark, "index"), schema, "key")
+    when = F.lit(1).cast("bigint")
+    assert rows(jobs.index_devices(first, table, 0, when), "key", "created") == [("K1", True), ("K2", True)]
+    both = read_archives(spark, archive_folder)
+    later = jobs.index_devices(both, table, 1, F.lit(2).cast("bigint"))
+    assert rows(later, "key", "created") == [("K1", False), ("K2", False), ("K3", True)]
+    date = F.get_json_object("value", "$.index_date")
+    assert rows(table.current().select("key", date)) == [("K1", "2"), ("K2", "2"), ("K3", "2")]
+    stream = jobs.device_index(read_archives(spark, archive_folder, streaming=True, max_files_per_trigger=2), F.lit(2).cast("bigint"))
+    streamed = KeyedTable(spark, fresh_folder(spark, "index"), schema, "key")
+    each_batch(stream, streamed.sink(), str(tmp_path / "check")).awaitTermination()
+    assert rows(streamed.current()) == rows(table.current())
+
+
 def test_record_lines(spark):
     texts = [cells(22), cells(21), cells(23), cells(22, _1='"x|y"', _5="", _6='""')]
     out = dv.split_records(spark.createDataFrame([(t,) for t in texts], "line string")).collect()

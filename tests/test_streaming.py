@@ -236,3 +236,27 @@ def test_match_window_stream(spark, parts, batch, log, rows):
     assert rows(sink.results(), "window_id", "line") == sorted(want, key=repr)
     with pytest.raises(ValueError):
         MatchesPerCountWindow(spark, folder, ["at"], 80, 40)
+
+
+def test_keyed_window_stream(spark, parts, log, rows):
+    """Windows per key, as each instance of a partitioned job counts its own rows."""
+    folder = fresh_folder(spark, "windows")
+    source = parts.add().stream().withColumn("part", (F.col("at") % 3).cast("int"))
+    distinct = DistinctPerCountWindow(spark, f"{folder}/d", ["at"], 30, 12, units=payloads, keys={"part": "int"})
+    matches = MatchesPerCountWindow(spark, f"{folder}/m", ["at"], 30, emit="full", keys={"part": "int"})
+
+    def both(df, i):
+        distinct(df, i)
+        matches(df, i)
+
+    st.each_batch(source, both, f"{folder}/check").awaitTermination()
+    counts, lines = [], set()
+    for part in range(3):
+        mine = [t for i, t in log if i % 3 == part]
+        for k, held in model_count_windows(mine, 30, 12, "next_record").items():
+            units = [t.split(" ", 8)[8] for t in held if not t.startswith("broken")]
+            counts.append((k, part, len(set(units)), len(units)))
+        for k, held in model_count_windows(mine, 30, 30, "full").items():
+            lines |= {(k, part, t) for t in held if "IRQ" in t and not t.startswith("broken")}
+    assert rows(distinct.results(), "window_id", "part", "n_distinct", "n_rows") == sorted(counts, key=repr)
+    assert rows(matches.results(), "window_id", "part", "line") == sorted(lines, key=repr)
