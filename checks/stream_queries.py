@@ -94,6 +94,20 @@ def stream_bucket_count(spark, sf_dir):
     return sink.results().select("window_id", "n_distinct")
 
 
+@query("stream_bucket_count_partitions", f"""{PLAIN}, i AS (SELECT cast(event_id % 16 AS INT) AS part, event_id // 16 AS i,
+ count(*) OVER (PARTITION BY event_id % 16) AS n, line FROM l),
+ m AS (SELECT part, i, n, {group(2, R3)} AS unit FROM i WHERE regexp_matches(line, '{R3}')),
+ {sliding_rows_floor(100, 50, 'm', 'count(DISTINCT unit) AS n_distinct, count(*) AS n_rows', ', part')}""")
+def stream_bucket_count_partitions(spark, sf_dir):
+    """Windows per log partition."""
+    folder = fresh_folder(spark, "bucket-count")
+    rows = L.streamed_events(spark, sf_dir).withColumn("part", F.expr("cast(event_id % 16 as int)"))
+    sink = DistinctPerCountWindow(
+        spark, f"{folder}/windows", ["event_id"], 100, 50, units=_payloads, keys={"part": "int"})
+    st.each_batch(rows, sink, f"{folder}/checkpoint").awaitTermination()
+    return sink.results()
+
+
 @query("stream_bucket_match", f"""{PLACED_TIMED} SELECT DISTINCT i // 1000 AS window_id, line FROM i
 WHERE (i // 1000) * 1000 + 1000 < n AND regexp_matches(line, '{R2}') AND contains({group(5, R2)}, 'IRQ')""")
 def stream_bucket_match(spark, sf_dir):
