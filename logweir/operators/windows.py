@@ -260,11 +260,10 @@ def _distinct_by_bitmap(df, length, slide, per_block, unit, keys, first_id, tota
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (pane - F.col("__block") * span).cast("int"))
     totals = [F.max(total).alias(total)] if total else []
     maps = placed.groupBy(*keys, unit, "__block").agg(F.bit_or(bit).alias("__map"), *totals)
-    window_bits = (1 << length) - 1
-    held = [
-        F.count_if(F.col("__map").bitwiseAND(F.lit(window_bits << (j * slide))) != 0) for j in range(per_block)
-    ]
-    counts = maps.groupBy(*keys, "__block").agg(F.array(*held).alias("__counts"), *totals)
+    masks = [((1 << length) - 1) << (j * slide) for j in range(per_block)]
+    # one text for all windows of a block: cheaper to analyse than as many columns
+    held = ", ".join(f"count(case when (__map & {m}l) <> 0 then 1 end)" for m in masks)
+    counts = maps.groupBy(*keys, "__block").agg(F.expr(f"array({held})").alias("__counts"), *totals)
     windows = counts.select(
         *keys, *([total] if total else []), "__block", F.posexplode("__counts").alias("__j", out)
     ).withColumn("window_id", F.col("__block") * per_block + F.col("__j"))
