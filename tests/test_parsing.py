@@ -7,7 +7,7 @@ from logweir.functions import columns as C
 from logweir.operators import parsing as ps
 from logweir.plans import jobs
 
-HEAD = "- 1102809860 2004.12.11 liberty2 Dec 11 16:04:20 "
+HEAD = "- 1102809860 2004.12.11 server2 Dec 11 16:04:20 "
 GOOD = HEAD + "src@ladmin2 kernel: IRQ 17 handled"
 
 
@@ -19,12 +19,12 @@ def parsed(spark, parser, text, **options):
 # line, date line parses, event line (user, sep, node, msg), payload found
 EDGES = {
     "sample": (GOOD, True, ("src", "@", "ladmin2", "kernel: IRQ 17 handled"), True),
-    "no separator": (HEAD + "liberty2 kernel: hi", True, ("libert", "y", "2", "kernel: hi"), True),
-    "blank as separator": (HEAD + "liberty2 kernel up now", True, ("liberty2", " ", "kernel", "up now"), True),
-    "padded day": ("- 1102809860 2004.12.01 liberty2 Dec  1 16:04:20 a@b x", False, None, False),
+    "no separator": (HEAD + "server2 kernel: hi", True, ("serve", "r", "2", "kernel: hi"), True),
+    "blank as separator": (HEAD + "server2 kernel up now", True, ("server2", " ", "kernel", "up now"), True),
+    "padded day": ("- 1102809860 2004.12.01 server2 Dec  1 16:04:20 a@b x", False, None, False),
     "alert tag": ("ALERT" + GOOD[1:], False, None, False),
     "text before": ("x " + GOOD, False, None, True),
-    "dash in node": (GOOD.replace("liberty2", "ln-1"), False, ("src", "@", "ladmin2", "kernel: IRQ 17 handled"), False),
+    "dash in node": (GOOD.replace("server2", "ln-1"), False, ("src", "@", "ladmin2", "kernel: IRQ 17 handled"), False),
     "dash in user node": (HEAD + "src@ladmin-2 kernel: x", True, None, True),
     "slash": (HEAD + "dn228/dn228 kernel: x", True, ("dn228", "/", "dn228", "kernel: x"), True),
     "empty payload": (HEAD + "a@b ", True, ("a", "@", "b", ""), True),
@@ -64,13 +64,13 @@ def test_fields(spark):
 
 
 def test_strict_separator(spark):
-    got = parsed(spark, ps.parse_event, HEAD + "liberty2 kernel up", strict_sep=True)
-    assert (got["username"], got["sep"], got["nodename"], got["msg"]) == (None, None, "liberty2", "kernel up")
+    got = parsed(spark, ps.parse_event, HEAD + "server2 kernel up", strict_sep=True)
+    assert (got["username"], got["sep"], got["nodename"], got["msg"]) == (None, None, "server2", "kernel up")
     got = parsed(spark, ps.parse_event, GOOD, strict_sep=True)
     assert (got["username"], got["sep"], got["nodename"]) == ("src", "@", "ladmin2")
-    frame = spark.createDataFrame([(HEAD + "liberty2 IRQ",)], "line string")
+    frame = spark.createDataFrame([(HEAD + "server2 IRQ",)], "line string")
     value = jobs.match(frame, strict_sep=True, processed=F.lit("T")).head().value
-    assert value == "T:2004-12-12T00:04:20Z:liberty2:IRQ"
+    assert value == "T:2004-12-12T00:04:20Z:server2:IRQ"
 
 
 def test_metric_lines(spark):
