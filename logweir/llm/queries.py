@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing
+from . import mixing, packing, urls
 from .common import table
 from .registry import query
 
@@ -51,3 +51,57 @@ from sized s join targets t on s.source is not distinct from t.source left join
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.Mixture(table(spark, sf_dir, "documents"))
     return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+# ------------------------------------------------------------------ 3: best-fit packing
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------------ 1: URL filter
+
+RULES = [
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+]
+#: Names of the hosts whose pages are listed: pill, casino, betting, spam and tracking sites.
+SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track)\."
+
+_OP1_SQL = r"""
+with split as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select page_id,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from split
+), named as (
+  select *, case when host <> '' then regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '\.$', '')
+      || regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/$', '') end as canon
+  from parts
+), listed as (
+  select distinct canon from named where regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track)\.')
+), judged as (
+  select *, case
+    when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
+  from named
+)
+select page_id, host, path, rule, j.canon in (select canon from listed) and rule is null and j.canon is not null as listed,
+  case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+    when j.canon in (select canon from listed) then 'block' else 'allow' end as verdict
+from judged j
+"""
+
+
+@query("op1_url_filter", _OP1_SQL)
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: addresses of pages on hosts named as spam."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(urls.host_of(F.col("url")).rlike(SPAM_HOST)).select("url")
+    return urls.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
