@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, urls
+from . import extraction, fingerprints, mixing, packing, urls
 from .common import table
 from .registry import query
 
@@ -105,3 +105,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urls.host_of(F.col("url")).rlike(SPAM_HOST)).select("url")
     return urls.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+# --------------------------------------------------------------- 9: document fingerprints
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------- 10: HTML extraction
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).select("page_id", "url", "text", "n_chars")
