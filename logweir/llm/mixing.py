@@ -73,56 +73,48 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _ints(a: Column, b: Column) -> Column:
-    """a..b, empty where b < a."""
-    return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def hypergeometric(q: Column, total: Column, draws: Column, u: Column) -> Column:
-    """How many of ``draws`` out of ``total`` are among ``q``: the inverse of the exact
-    distribution at ``u``, its terms taken from the mode upwards and then downwards
-    over 12 standard deviations, by the ratio of neighbouring terms."""
-    q, total, draws = (x.cast("bigint") for x in (q, total, draws))
-    lowest = F.greatest(F.lit(0).cast("bigint"), draws + q - total)
-    highest = F.least(q, draws)
-    mode = F.floor((draws + 1).cast("double") * (q + 1) / (total + 2)).cast("bigint")
-    mode = F.greatest(lowest, F.least(highest, mode))
-    share = q / F.greatest(total, F.lit(1))
-    width = (F.ceil(12 * F.sqrt(draws * share * (1 - share) * F.greatest(total - draws, F.lit(0)) / F.greatest(total - 1, F.lit(1)))) + 2).cast("bigint")
-    up = _ints(mode + 1, F.least(highest, mode + width))
-    down = F.reverse(_ints(F.greatest(lowest, mode - width), mode - 1))
-    one, q_, d_, n_ = F.lit(1.0), q.cast("double"), draws.cast("double"), total.cast("double")
-
-    def above(p: Column, k: Column) -> Column:  # from k - 1 to k
-        return p * (q_ - k + 1) * (d_ - k + 1) / (k * (n_ - q_ - d_ + k))
-
-    def below(p: Column, k: Column) -> Column:  # from k + 1 to k
-        return p * (k + 1) * (n_ - q_ - d_ + k + 1) / ((q_ - k) * (d_ - k))
-
-    def summed(ks: Column, step) -> Column:
-        start = F.struct(one.alias("p"), F.lit(0.0).alias("s"))
-
-        def add(acc: Column, k: Column) -> Column:
-            p = step(acc["p"], k)
-            return F.struct(p.alias("p"), (acc["s"] + p).alias("s"))
-
-        return F.aggregate(ks, start, add)["s"]
-
-    goal = u * (one + summed(up, above) + summed(down, below))
+    """How many of ``draws`` out of ``total`` are among ``q``: the exact distribution
+    inverted at ``u``. Its terms, each from the one before by their ratio, run over 12
+    standard deviations to either side of the mean; the first pass sums them up, the
+    second stops where the sum passes ``u`` of it."""
+
+    def bounds(x: Column) -> Column:
+        share = x["q"] / F.greatest(x["n"], F.lit(1.0))
+        mean = x["d"] * share
+        width = 12 * F.sqrt(mean * (1 - share) * F.greatest(x["n"] - x["d"], F.lit(0.0)) / F.greatest(x["n"] - 1, F.lit(1.0))) + 2
+        low = F.greatest(F.lit(0.0), x["d"] + x["q"] - x["n"], F.floor(mean - width).cast("double"))
+        high = F.least(x["q"], x["d"], F.ceil(mean + width).cast("double"))
+        return F.struct(x["q"], x["n"], x["d"], x["u"], low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))
+
+    def inverted(x: Column) -> Column:
+        ks = F.when(x["high"] > x["low"], F.sequence(x["low"] + 1, F.greatest(x["high"], x["low"] + 1))).otherwise(F.array().cast("array<bigint>"))
+
+        def term(p: Column, k: Column) -> Column:
+            return p * (x["q"] - k + 1) * (x["d"] - k + 1) / (k * (x["n"] - x["q"] - x["d"] + k))
+
+        whole = F.aggregate(
+            ks, F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("s")),
+            lambda a, k: _let(term(a["p"], k), lambda p: F.struct(p.alias("p"), (a["s"] + p).alias("s"))),
+            lambda a: a["s"] * x["u"],
+        )
 
-    def found(ks: Column, step, start: Column, s: str) -> Column:
-        def look(acc: Column, k: Column) -> Column:
-            p = step(acc["p"], k)
-            total_ = acc["s"] + p
-            hit = F.when(acc["k"].isNull() & (total_ >= goal), k).otherwise(acc["k"])
-            return F.struct(p.alias("p"), total_.alias("s"), hit.alias("k"))
+        def walk(goal: Column) -> Column:
+            start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("s"), x["low"].alias("k"))
+            step = lambda a, k: F.when(a["s"] >= goal, a).otherwise(
+                _let(term(a["p"], k), lambda p: F.struct(p.alias("p"), (a["s"] + p).alias("s"), k.alias("k")))
+            )
+            return F.aggregate(ks, start, step, lambda a: a["k"])
 
-        return F.aggregate(ks, start, look)
+        return _let(whole, walk)
 
-    begin = F.struct(one.alias("p"), one.alias("s"), F.when(goal <= one, mode).alias("k"))
-    upper = found(up, above, begin, "up")
-    again = F.struct(one.alias("p"), upper["s"].alias("s"), upper["k"].alias("k"))
-    return F.coalesce(found(down, below, again, "down")["k"], mode)
+    given = F.struct(q.cast("double").alias("q"), total.cast("double").alias("n"), draws.cast("double").alias("d"), u.alias("u"))
+    return _let(given, lambda x: _let(bounds(x), inverted))
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -147,10 +139,10 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             k = F.when(x["quota"] == 0, F.lit(0).cast("bigint")).otherwise(
                 hypergeometric(x["quota"], acc["rest"], acc["draws"], _uniform(F.lit(seed), F.col("lo"), F.col("hi"), x["source_no"]))
             )
-            return F.struct(
+            return _let(k, lambda k: F.struct(
                 (acc["rest"] - x["quota"]).alias("rest"), (acc["draws"] - k).alias("draws"),
                 F.array_append(acc["left"], k).alias("left"),
-            )
+            ))
 
         start = F.struct(
             here.alias("rest"), (limit(mid) - limit(F.col("lo"))).alias("draws"), F.array().cast("array<bigint>").alias("left"),
