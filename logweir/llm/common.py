@@ -241,3 +241,86 @@ def least_of(a: str, b: str) -> Column:
 
 def most_of(a: str, b: str) -> Column:
     return F.greatest(F.col(a), F.col(b))
+
+
+# --------------------------------------------------------------- packed rows in buckets
+#
+# Where a corpus is compared word by word there are far more rows than documents. They
+# travel as columns of bytes, one parcel for each bucket and batch, so that a shuffle
+# moves a few bytes a row and no task handles single rows in Python.
+
+
+def bucket_count(df: DataFrame, each: int = 32) -> int:
+    """Buckets of a shuffle: some for every partition, so that one is a small part of a task."""
+    return each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parcels(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """The rows of each bucket as one byte string: its columns one after another."""
+    if not len(bucket):
+        return [], []
+    order = np.argsort(bucket, kind="stable")
+    ranked = bucket[order]
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(ranked)) + 1))
+    ends = np.append(starts[1:], len(ranked))
+    held = [np.ascontiguousarray(c[order]) for c in columns]
+    data = [b"".join([c[i:j].tobytes() for c in held]) for i, j in zip(starts.tolist(), ends.tolist())]
+    return ranked[starts].tolist(), data
+
+
+def opened(parcel: bytes, types: list[str]) -> list[np.ndarray]:
+    """The columns of a parcel."""
+    kinds = [np.dtype(t) for t in types]
+    n = len(parcel) // sum(k.itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(parcel, k, n, at))
+        at += n * k.itemsize
+    return out
+
+
+def all_opened(data: list[bytes], types: list[str]) -> list[np.ndarray]:
+    each = [opened(x, types) for x in data]
+    return [np.concatenate([e[k] for e in each]) if each else np.zeros(0, t) for k, t in enumerate(types)]
+
+
+def parcel_batch(name: str, bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=[name, "data"])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, list[bytes]]]:
+    """Parcels of each bucket, of a stream sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for b, x in zip(batch.column(name).to_pylist(), batch.column("data").to_pylist()):
+            if b != now:
+                if held:
+                    yield now, held
+                now, held = b, []
+            held.append(x)
+    if held:
+        yield now, held
+
+
+def in_buckets(df: DataFrame, name: str) -> DataFrame:
+    """Parcels dealt by bucket and sorted by it within each task."""
+    return df.repartition(name).sortWithinPartitions(name)
+
+
+def alike_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal keys together, and where each group starts."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
+
+def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit key."""
+    with np.errstate(over="ignore"):
+        return (mix64(keys.astype(np.int64).view(np.uint64) * np.uint64(_BASES[0]) + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, fingerprints, mixing, packing, urls
+from . import extraction, fingerprints, mixing, packing, substrings, urls
 from .common import table
 from .registry import query
 
@@ -122,3 +122,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+# --------------------------------------------------------------------- 8: substring dedup
+
+
+@query("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
