@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, fingerprints, mixing, packing, substrings, urls
+from . import extraction, fingerprints, jaccard, mixing, packing, substrings, urls
 from .common import table
 from .registry import query
 
@@ -131,3 +131,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
     return found.withColumnRenamed("kept", "kept_sha256")
+
+
+# ------------------------------------------------------------------ 7: n-gram Jaccard join
+
+
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
