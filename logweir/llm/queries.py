@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, fingerprints, jaccard, mixing, packing, substrings, urls
+from . import extraction, fingerprints, jaccard, mixing, neighbours, packing, substrings, urls
 from .common import table
 from .registry import query
 
@@ -139,3 +139,11 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------- 6: approximate nearest neighbours
+
+
+@query("op6_neighbours")
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
