@@ -31,10 +31,24 @@ from .common import as_bytes, digits_for, in_slices, ranked_within
 
 SEQUENCE = 2048
 #: Words whose ids a worker keeps; beyond that it starts anew.
-_KEPT_WORDS = 600_000
-#: The split of ASCII text that the word vocabulary's file names.
-_PLAIN = re.compile(rb"[!-~]+")
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_KEPT_WORDS = 400_000
+_KEPT_PIECES = 600_000
+#: Words whose normal form is their lower case: printable ASCII and the letters of Latin-1
+#: and Latin Extended-A (without the dotted capital I, whose lower case is two characters).
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: The file's own split, on such words in lower case.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def word_vocabulary() -> str:
@@ -47,8 +61,9 @@ class WordIds(dict):
     """UTF-8 word (no ASCII white space) to its ids as unsigned 32-bit little-endian bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
-    words' ids. Plain ASCII words go straight to the merges after the file's own lower
-    casing and split; others, and those with a special token's mark, through all of it.
+    words' ids. Plain words go straight to the merges after the file's own lower casing
+    and split, each piece once; others, and those with a special token's mark, through
+    all of it.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,17 +73,33 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces.get(text)
+        if ids is None:
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
 
     def learn(self, words: set[bytes]) -> None:
-        rest = []
-        tokenize = self.model.tokenize
+        if len(self.pieces) > _KEPT_PIECES:
+            self.pieces.clear()
+        rest, piece = [], self.piece
         for w in words:
-            if _PLAIN.fullmatch(w) and b"<|" not in w:
-                ids = [t.id for piece in _ASCII_PIECE.findall(w.decode().lower()) for t in tokenize(piece)]
-                self[w] = array("I", ids).tobytes()
+            text = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                low = text.lower()
+                if low.isalpha():
+                    self[w] = piece(low)
+                elif low[:-1].isalpha():  # a word and its comma or full stop
+                    self[w] = piece(low[:-1]) + piece(low[-1])
+                else:
+                    self[w] = b"".join([piece(p) for p in _PIECE.findall(low)])
             else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
+                rest.append((w, text))
+        coded = self.tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)
+        for (w, _), e in zip(rest, coded):
             self[w] = array("I", e.ids).tobytes()
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
