@@ -227,13 +227,14 @@ class Mixture:
             "source_no", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw")
         ).select("source_no", "shard", "draw", F.floor(F.col("draw") / F.col("blocks")).cast("bigint").alias("pass"), (F.col("draw") % F.col("blocks")).alias("rank"))
         words = F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.col("part"))
-        joined = drawn.join(placed, ["source_no", "rank"])
+        # the draws are exploded from a few rows, so their size is not known beforehand
+        joined = drawn.hint("merge").join(placed, ["source_no", "rank"])
         return joined.select(ROW, "block", "source_no", "shard", "draw", "pass", words.alias("words"))
 
     def taken(self) -> DataFrame:
         """Every row with the words that the mixture takes of it, repeats counted."""
         each = self.draws.groupBy(ROW).agg(F.sum("words").alias("__taken"))
-        return self.sized.join(each, ROW, "left").select(
+        return self.sized.join(each.hint("merge"), ROW, "left").select(
             "doc_id", "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0).cast("bigint")).alias("taken"),
         )
 
@@ -250,7 +251,7 @@ class Mixture:
         per = self.draws.groupBy(ROW, "pass").agg(
             F.sum("words").alias("n"), F.array_sort(F.collect_list(F.struct("block", "words"))).alias("blocks")
         )
-        rows = self.stored.join(per, ROW)
+        rows = self.stored.join(per.hint("merge"), ROW)
         words = F.regexp_extract_all(F.col(f"__doc.{text}"), F.lit(WORD), F.lit(0))
         parts = F.flatten(F.transform("blocks", lambda x: F.slice(F.col("__words"), (x["block"] * self.block_words + 1).cast("int"), x["words"].cast("int"))))
         whole = F.col("n") == F.col("size")
