@@ -1,18 +1,70 @@
-"""The corpus pipeline: stages that each write their documents and hand them on."""
+"""The corpus pipeline: stages that each write their documents and hand them on.
+
+Toxic documents go, one document of each group of near copies stays, word sequences that
+occur again are cut out, sources are mixed to their target weights, and the mixture is
+packed into sequences. All but the last stage return the columns of ``documents``.
+
+Null texts are empty documents: never toxic, linked with nothing, without words to mix,
+so they end with the mixing. Rows without an id stay through the near-copy stage, as no
+id names them; rows that repeat an id there count as copies of one document. An empty
+table gives no rows at every stage; columns beyond ``documents`` are not handed on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logweir.llm import jaccard, mixing, packing, substrings
+from logweir.llm.queries import toxicity_verdicts
 from logweir.session import written_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    return toxicity_verdicts(docs.select(*COLUMNS), spark, sf_dir).where("not toxic").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    docs = docs.select(*COLUMNS)
+    stay = jaccard.classes(docs).where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    named = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    first = docs.where(named).join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where(~named)).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the word sequences that occur elsewhere too."""
+    kept = substrings.without_repeats(docs, keep=["lang", "source"])
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a row for each whole pass over a document and one for a part."""
+    return mixing.Mixture(docs.select(*COLUMNS), keep_text=True).documents().select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixture with their places in the sequences."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: Toxicity is a trained model, so SQL cannot express the rows; tests compare with brute force.
+#: Toxicity is a trained model, so SQL cannot express the rows; tests compare each stage
+#: with a brute-force version on its own input.
 ORACLE_SQL: str | None = None
 
 
@@ -21,4 +73,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written_table(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import extraction, fingerprints, jaccard, mixing, neighbours, packing, substrings, urls
+from . import extraction, fingerprints, jaccard, licenses, mixing, neighbours, packing, substrings, toxicity, urls
 from .common import table
 from .registry import query
 
@@ -147,3 +147,33 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_neighbours")
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# ----------------------------------------------------------------------- 2: license scans
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------- 5: toxicity
+
+def toxicity_categories() -> dict[str, Column]:
+    """The chain's order. ``labels`` has one toxicity label and one of quality: low quality
+    comes first, as symbols and junk are labelled unlike prose, then toxicity in any text,
+    then in texts of low quality."""
+    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    return {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic}
+
+
+def toxicity_verdicts(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on ``docs`` by a chain trained on the labelled documents of the tables."""
+    chain = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity_categories())
+    return toxicity.judged(docs, chain, ["toxic", "toxic_low_quality"])
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_verdicts(docs, spark, sf_dir).select("doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", "toxic")

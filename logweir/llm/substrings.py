@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,6 @@ _ANCHOR = ["<u8", "<i8", "<i4", "u1"]
 _PLACE = ["<i8", "<i4"]
 _WINDOW = ["<u8", "<u4", "<i8", "<u4", "<i4", "u1"]
 _REPEAT = ["<i8", "<u4", "<i4"]
-_DOC = "b int, k bigint, doc_id bigint, packed binary"
 
 
 def period_for(length: int) -> int:
@@ -123,8 +122,8 @@ class _Meet:
 class _Deal:
     """Packs texts for the one shuffle that they make."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
+    def __init__(self, buckets: int, more: list[str]) -> None:
+        self.buckets, self.more = buckets, more
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -132,8 +131,8 @@ class _Deal:
             keys = np.array(batch.column("k").to_pylist(), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key_bucket(keys, self.buckets), pa.int32()), batch.column("k"), batch.column("doc_id"),
-                 pa.array([squeeze.compress(t) for t in as_bytes(batch.column("text"))], pa.binary())],
-                names=["b", "k", "doc_id", "packed"],
+                 pa.array([squeeze.compress(t) for t in as_bytes(batch.column("text"))], pa.binary()), *(batch.column(c) for c in self.more)],
+                names=["b", "k", "doc_id", "packed", *self.more],
             )
 
 
@@ -191,8 +190,8 @@ class _Kept:
 
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
-    def __init__(self, length: int, digest: bool) -> None:
-        self.length, self.digest = length, digest
+    def __init__(self, length: int, digest: bool, more: list[str]) -> None:
+        self.length, self.digest, self.more = length, digest, more
 
     def __call__(self, docs: pa.Table, repeats: pa.Table) -> pa.Table:
         keys, marks, places = all_opened(repeats.column("data").to_pylist(), _REPEAT)
@@ -213,7 +212,8 @@ class _Kept:
             kept = b" ".join(words)
             rows.append((d, n, gone, hashlib.sha256(kept).hexdigest() if self.digest else kept if gone else text))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=self.names)
+        made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)]
+        return pa.Table.from_arrays([*made, *(docs.column(c) for c in self.more)], names=[*self.names, *self.more])
 
 
 def _two(task):
@@ -221,18 +221,26 @@ def _two(task):
     return lambda docs, parcels_: task(docs, parcels_)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", digest: bool = False) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", digest: bool = False, keep: Sequence[str] = (),
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the text without repeats (as it was, if none),
-    or with ``digest`` the SHA-256 of the kept words."""
+    or with ``digest`` the SHA-256 of the kept words. ``keep``: other columns to hand on."""
     if length < 1:
         raise ValueError("a window has one word or more")
     period, buckets = period_for(length), bucket_count(docs)
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(-1)).cast("bigint").alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(_Deal(buckets), _DOC)
+    more = [f"more{i}" for i in range(len(keep))]
+    rows = docs.select(
+        F.coalesce(F.col(doc_id), F.lit(-1)).cast("bigint").alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
+        *[F.col(c).alias(m) for c, m in zip(keep, more)],
+    )
+    others = "".join(f", {m} {rows.schema[m].dataType.simpleString()}" for m in more)
+    dealt = rows.mapInArrow(_Deal(buckets, more), f"b int, k bigint, doc_id bigint, packed binary{others}")
     anchors = rows.select("k", "text").mapInArrow(_Anchors(length, period, buckets), "hb int, data binary")
     twice = in_buckets(anchors, "hb").mapInArrow(_Meet(_ANCHOR, 1, [1, 2], 3, buckets), "b int, data binary")
     windows = dealt.groupBy("b").cogroup(twice.groupBy("b")).applyInArrow(_two(_Windows(length, period, buckets)), "hb int, data binary")
     repeats = in_buckets(windows, "hb").mapInArrow(_Meet(_WINDOW, 2, [2, 3, 4], 5, buckets), "b int, data binary")
-    return dealt.groupBy("b").cogroup(repeats.groupBy("b")).applyInArrow(
-        _two(_Kept(length, digest)), "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+    kept = dealt.groupBy("b").cogroup(repeats.groupBy("b")).applyInArrow(
+        _two(_Kept(length, digest, more)), f"doc_id bigint, n_words bigint, n_removed bigint, kept string{others}"
     )
+    return kept.select("doc_id", "n_words", "n_removed", "kept", *[F.col(m).alias(c) for c, m in zip(keep, more)])
