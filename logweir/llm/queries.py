@@ -170,7 +170,7 @@ def toxicity_categories() -> dict[str, Column]:
 def toxicity_verdicts(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on ``docs`` by a chain trained on the labelled documents of the tables."""
     chain = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity_categories())
-    return toxicity.judged(docs, chain, ["toxic", "toxic_low_quality"])
+    return toxicity.judged(docs, chain, ["toxic"])
 
 
 @query("op5_toxicity")
