@@ -26,8 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import written_table
-from .common import hash_words, mix64
+from .common import hash_words, in_slices, mix64
 
 HASHES = 3
 BASE_CELLS = 24
@@ -38,28 +37,39 @@ _CHECK = np.uint64(0xA0761D6478BD642F)
 _SEEDS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def paragraph_digests(text: str) -> np.ndarray:
-    """Distinct 64-bit digests of the text's paragraphs, occurrences numbered."""
-    digests = []
-    lines = [x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if x.strip()]
+def paragraph_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit digests of the paragraphs of each text, occurrences numbered, and
+    where each text's begin (one more at the end)."""
+    lines, per_text = [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own = [x for x in text.split(b"\n") if x.strip()]
+        per_text[k] = len(own)
+        lines += own
     words, at = hash_words(lines)
-    if not len(words):
-        lone = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        return np.frombuffer(lone, np.uint64) if text else np.zeros(0, np.uint64)
-    ends = words % np.uint64(RUN) == 0
-    ends[at[1:][at[1:] > 0] - 1] = True
-    start = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-    place = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
-    with np.errstate(over="ignore"):
-        mixed = mix64(words + (place.astype(np.uint64) + np.uint64(1)) * _CHECK)
-    digests = mix64(np.add.reduceat(mixed, start))
-    order = np.argsort(digests, kind="stable")
-    ranked = digests[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(ranked)), 0))
-    nth = (np.arange(len(ranked)) - first).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        return np.where(nth > 0, mix64(ranked + nth * _CHECK), ranked)
+    line_text = np.repeat(np.arange(len(texts)), per_text)
+    if len(words):
+        ends = words % np.uint64(RUN) == 0
+        ends[at[1:] - 1] = True  # every line has a word
+        start = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
+        place = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
+        with np.errstate(over="ignore"):
+            mixed = mix64(words + (place.astype(np.uint64) + np.uint64(1)) * _CHECK)
+        digests = mix64(np.add.reduceat(mixed, start))
+        owner = line_text[np.searchsorted(at, start, side="right") - 1]
+    else:
+        digests, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blank = [k for k, t in enumerate(texts) if t and not per_text[k]]
+    if blank:  # nothing but white space
+        lone = [np.frombuffer(hashlib.blake2b(texts[k], digest_size=8).digest(), np.uint64)[0] for k in blank]
+        digests, owner = np.append(digests, np.array(lone, np.uint64)), np.append(owner, blank)
+    order = np.lexsort((digests, owner))
+    digests, owner = digests[order], owner[order]
+    if len(digests):
+        new = np.concatenate(([True], (digests[1:] != digests[:-1]) | (owner[1:] != owner[:-1])))
+        nth = (np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            digests = np.where(nth > 0, mix64(digests + nth * _CHECK), digests)
+    return digests, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
 def _cells(digests: np.ndarray, cells: int) -> np.ndarray:
@@ -75,68 +85,102 @@ def _checks(digests: np.ndarray) -> np.ndarray:
         return mix64(digests + _CHECK)
 
 
-def sketch(digests: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, digests xored and check values xored, by cell."""
-    at = _cells(digests, cells).ravel()
-    count = np.bincount(at, minlength=cells).astype(np.int64)
-    keys, checks = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-    np.bitwise_xor.at(keys, at, np.tile(digests, HASHES))
-    np.bitwise_xor.at(checks, at, np.tile(_checks(digests), HASHES))
-    return count, keys, checks
+Sketch = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def peel(a: tuple, b: tuple) -> tuple[list[int], list[int]] | None:
-    """Digests only in ``a`` and only in ``b``, from their sketches; None if stuck."""
-    count, keys, checks = a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]
-    cells, left, right = len(count), [], []
-    while True:
-        pure = np.flatnonzero((np.abs(count) == 1) & (_checks(keys) == checks))
+def sketches(digests: np.ndarray, owner: np.ndarray, n: int, cells: int) -> Sketch:
+    """Counts, digests xored and check values xored, by owner and cell."""
+    at = (_cells(digests, cells) + owner * cells).ravel()
+    count = np.bincount(at, minlength=n * cells).astype(np.int64)
+    keys, checks = np.zeros(n * cells, np.uint64), np.zeros(n * cells, np.uint64)
+    np.bitwise_xor.at(keys, at, np.tile(digests, HASHES))
+    np.bitwise_xor.at(checks, at, np.tile(_checks(digests), HASHES))
+    return count.reshape(n, cells), keys.reshape(n, cells), checks.reshape(n, cells)
+
+
+def peel(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Subtract the sketches of pairs, row by row, and recover what differs: (pair,
+    digest, sign) of every digest only in ``a`` (1) or only in ``b`` (-1), and which
+    pairs are fully recovered."""
+    count, keys, checks = (a[0] - b[0]).ravel(), (a[1] ^ b[1]).ravel(), (a[2] ^ b[2]).ravel()
+    pairs, cells = a[0].shape
+    # hardly an empty cell: far too many digests for this size
+    hopeless = np.repeat((count.reshape(pairs, cells) == 0).mean(1) < 0.05, cells)
+    got = []
+    for _ in range(4 * cells):
+        pure = np.flatnonzero((np.abs(count) == 1) & (_checks(keys) == checks) & ~hopeless)
         if not len(pure):
             break
-        _, at = np.unique(keys[pure], return_index=True)
-        pure = pure[at]
-        got, sign = keys[pure].copy(), count[pure].copy()
-        left += got[sign > 0].tolist()
-        right += got[sign < 0].tolist()
-        own = _checks(got)
-        for row in _cells(got, cells):
-            np.subtract.at(count, row, sign)
-            np.bitwise_xor.at(keys, row, got)
-            np.bitwise_xor.at(checks, row, own)
-        if len(left) + len(right) > 2 * cells:
-            return None
-    return (left, right) if not count.any() and not keys.any() and not checks.any() else None
-
-
-def difference(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How many digests are only in ``a`` and only in ``b``: by subtracted sketches, four
-    times larger after each failure."""
-    # the counts alone say how many must differ at least; smaller sketches cannot succeed
+        pair, digest = pure // cells, keys[pure]
+        order = np.lexsort((digest, pair))
+        first = np.concatenate(([True], (digest[order][1:] != digest[order][:-1]) | (pair[order][1:] != pair[order][:-1])))
+        pure, pair, digest = pure[order[first]], pair[order[first]], digest[order[first]]
+        sign = count[pure]
+        got.append((pair, digest, sign))
+        at, own = (_cells(digest, cells) + pair * cells).ravel(), _checks(digest)
+        np.subtract.at(count, at, np.tile(sign, HASHES))
+        np.bitwise_xor.at(keys, at, np.tile(digest, HASHES))
+        np.bitwise_xor.at(checks, at, np.tile(own, HASHES))
+    left = (count != 0) | (keys != 0) | (checks != 0)
+    found = [np.concatenate(x) if got else np.zeros(0, np.int64) for x in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    return found[0], found[1], found[2], ~left.reshape(pairs, cells).any(1)
+
+
+def differences(digests: np.ndarray, at: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of texts the digests only in the first and only in the second: by
+    subtracted sketches, four times larger for the pairs that fail."""
+    out: list = [None] * len(pairs)
+    size = np.diff(at)
+    waiting = {BASE_CELLS: list(range(len(pairs)))}
     cells = BASE_CELLS
-    while cells < 1.2 * abs(len(a) - len(b)):
-        cells *= 4
     while cells <= MOST_CELLS:
-        found = peel(sketch(a, cells), sketch(b, cells))
-        if found is not None:
-            return len(found[0]), len(found[1])
+        todo, later = waiting.pop(cells, []), waiting.setdefault(4 * cells, [])
+        # the numbers alone say how many digests differ at least
+        later += [p for p in todo if abs(size[pairs[p][0]] - size[pairs[p][1]]) > cells]
+        todo = [p for p in todo if abs(size[pairs[p][0]] - size[pairs[p][1]]) <= cells]
+        step = max(1, 600_000 // cells)
+        for k in range(0, len(todo), step):
+            some = todo[k : k + step]
+            texts = sorted({t for p in some for t in pairs[p]})
+            row = {t: i for i, t in enumerate(texts)}
+            owner = np.repeat(np.arange(len(texts)), size[texts])
+            made = sketches(np.concatenate([digests[at[t] : at[t + 1]] for t in texts]), owner, len(texts), cells)
+            left, right = [row[pairs[p][0]] for p in some], [row[pairs[p][1]] for p in some]
+            pair, digest, sign, done = peel(tuple(m[left] for m in made), tuple(m[right] for m in made))
+            order = np.argsort(pair, kind="stable")
+            pair, digest, sign = pair[order], digest[order], sign[order]
+            cuts = np.searchsorted(pair, np.arange(len(some) + 1))
+            for i, p in enumerate(some):
+                d, s = digest[cuts[i] : cuts[i + 1]], sign[cuts[i] : cuts[i + 1]]
+                if done[i]:
+                    out[p] = (d[s > 0], d[s < 0])
+                else:
+                    later.append(p)
         cells *= 4
-    return len(np.setdiff1d(a, b)), len(np.setdiff1d(b, a))
+    for p in waiting.get(cells, []):
+        a, b = (digests[at[t] : at[t + 1]] for t in pairs[p])
+        out[p] = (np.setdiff1d(a, b), np.setdiff1d(b, a))
+    return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) + len(b):
-        return 1.0
-    only_a, _ = difference(a, b)
-    return 2.0 * (len(a) - only_a) / (len(a) + len(b))
+def likenesses(digests: np.ndarray, at: np.ndarray, pairs: list[tuple[int, int]]) -> list[float]:
+    """Twice the shared paragraphs over all paragraphs of both texts."""
+    out = []
+    for (a, b), (only_a, _) in zip(pairs, differences(digests, at, pairs)):
+        n, m = int(at[a + 1] - at[a]), int(at[b + 1] - at[b])
+        out.append(2.0 * (n - len(only_a)) / (n + m) if n + m else 1.0)
+    return out
 
 
-def fingerprint(digests: np.ndarray) -> str:
-    """The base sketch as text: paragraphs, then every cell's count, xor and check."""
-    count, keys, checks = sketch(digests, BASE_CELLS)
-    with np.errstate(over="ignore"):
-        folded = (checks ^ (checks >> np.uint64(32))).astype(np.uint32)
-    cells = "".join(f"{c & 0xFF:02x}{k:016x}{f:08x}" for c, k, f in zip(count.tolist(), keys.tolist(), folded.tolist()))
-    return f"iblt{BASE_CELLS}-{len(digests)}-{cells}"
+def fingerprints(digests: np.ndarray, at: np.ndarray) -> list[str]:
+    """The base sketch of each text: its paragraphs, then counts, xors and checks."""
+    n = len(at) - 1
+    size = np.diff(at)
+    count, keys, checks = sketches(digests, np.repeat(np.arange(n), size), n, BASE_CELLS)
+    cells = np.concatenate(
+        [count.astype("<u2").view(np.uint8).reshape(n, -1), keys.astype("<u8").view(np.uint8).reshape(n, -1), (checks & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(n, -1)], 1
+    ) if n else np.zeros((0, 0), np.uint8)
+    return [f"iblt{BASE_CELLS}-{int(k)}-{row.tobytes().hex()}" for k, row in zip(size, cells)]
 
 
 # ------------------------------------------------------------------- document by document
@@ -204,25 +248,24 @@ class _Pairs:
         self.edit = edit
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, id, text, digests) of the document that waits for the next
+        held: list[tuple] = []  # the document that waits for the next: (id, text, part, ahead)
+        for batch in in_slices(batches, "text", 2 << 20):
+            rows = held + list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "ahead"))))
+            held = [] if rows[-1][3] else rows[-1:]
+            yield self.pairs(rows)
+
+    def pairs(self, rows: list[tuple]) -> pa.RecordBatch:
+        ours = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
+        edited = [self.edit(rows[i][1], rows[i + 1][1]) for i in ours]
+        coded = [t.encode("utf-8", "surrogatepass") for t in (*(r[1] for r in rows), *edited)]
+        digests, at = paragraph_digests(coded)
+        prints = fingerprints(digests, at)
+        n, m = len(rows), len(ours)
+        near = likenesses(digests, at, [(i, n + k) for k, i in enumerate(ours)] + [(i, i + 1) for i in ours])
+        columns = [
+            [rows[i][0] for i in ours], [len(rows[i][1]) for i in ours], [hashlib.sha256(coded[n + k]).hexdigest() for k in range(m)],
+            [prints[i] for i in ours], prints[n:], near[:m], near[m:],
+        ]
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        for batch in batches:
-            out = []
-            columns = [batch.column(c) for c in ("doc_id", "text", "part", "ahead")]
-            for i in range(batch.num_rows):
-                d, t, p, a = (c[i].as_py() for c in columns)
-                digests = paragraph_digests(t)
-                if held is not None and held[0] == p:
-                    out.append(self.row(held, t, digests))
-                held = None if a else (p, d, t, digests)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, types)], names=names)
-
-    def row(self, held: tuple, following: str, next_digests: np.ndarray) -> tuple:
-        _, d, t, digests = held
-        edited = self.edit(t, following)
-        changed = digests if edited == t else paragraph_digests(edited)
-        return (
-            d, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(digests), fingerprint(changed),
-            likeness(digests, changed), likeness(digests, next_digests),
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=names)
