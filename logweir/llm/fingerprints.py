@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into lines, and a line into runs of words that end where a word's hash says
-so, so that an edit moves no cut but its own. The 64-bit digests of these paragraphs go
+so (or after ``MOST_RUN`` words), so that an edit moves no cuts but those near it. The 64-bit digests of these paragraphs go
 into a sketch: each is added to ``HASHES`` of its cells, as a count, a xor of digests and
 a xor of their check values. Subtracting two versions' sketches cancels what they share,
 and peeling cells that hold one digest recovers those that differ. If peeling gets stuck,
@@ -33,6 +33,8 @@ BASE_CELLS = 24
 MOST_CELLS = 24 * 4**6
 #: A run of words ends at a word whose hash is a multiple of this, or at the line's end.
 RUN = 6
+#: Longer runs, as of one word said over and over, are cut after so many words.
+MOST_RUN = 16
 _CHECK = np.uint64(0xA0761D6478BD642F)
 _SEEDS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -52,6 +54,7 @@ def paragraph_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ends[at[1:] - 1] = True  # every line has a word
         start = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
         place = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
+        start, place = np.flatnonzero(place % MOST_RUN == 0), place % MOST_RUN
         with np.errstate(over="ignore"):
             mixed = mix64(words + (place.astype(np.uint64) + np.uint64(1)) * _CHECK)
         digests = mix64(np.add.reduceat(mixed, start))
