@@ -63,6 +63,16 @@ def ranked_within(
     return joined.drop("__r", "__b", "__n0", "__w0")
 
 
+def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """``rows`` rows (all, if fewer) by a hash of ``key``, for fitting. A share of the
+    hashes goes ahead of the ordering, so that what reaches one place is bounded however
+    many tasks there are."""
+    h, n = F.xxhash64(key), df.count()
+    share = (2 * rows + 1000) / max(1, n)
+    kept = df if share >= 1 else df.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return kept.orderBy(h, key).limit(rows)
+
+
 # ------------------------------------------------------------------------- word hashes
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .boosting import BoostedTrees
-from .common import in_slices
+from .common import hash_sample, in_slices
 
 SAMPLE_PAGES = 150
 #: Markup longer than this is not used for training (it is extracted like any other).
@@ -334,10 +334,9 @@ def main_text(model: BoostedTrees, markups: list[str | None]) -> list[str]:
 def extract(pages: DataFrame, html: str = "html", training: DataFrame | None = None, result: str = "text") -> DataFrame:
     """``pages`` without their markup, with the main text and its length in code points."""
     source = pages if training is None else training
-    sample = (
-        source.where(F.length(html).between(1, SAMPLE_CHARS)).select(F.col(html).alias("html"))
-        .orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
-    )
+    # equal pages count once
+    short = source.where(F.length(html).between(1, SAMPLE_CHARS)).select(F.col(html).alias("html"))
+    sample = hash_sample(short, F.col("html"), 4 * SAMPLE_PAGES).distinct().orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
     model = fit([r["html"] for r in sample])
     keep = [c for c in pages.columns if c not in (html, result, "n_chars")]
     schema = pages.select(*keep).schema

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written_table
+from .common import hash_sample
 
 M = 12
 SURE = 0.98
@@ -161,7 +162,7 @@ def search(
     if m % 2:
         raise ValueError("the number of projections is even")
     rows = taking_part(vectors, vec_id, embedding)
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    sample = [r["v"] for r in hash_sample(rows, F.col("vec_id"), SAMPLE).select("v").collect()]
     stop = chi_square_point(sure, m)
     dim = len(sample[0]) if sample else 1
     base = directions(dim, m, seed)

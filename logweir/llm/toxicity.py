@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import in_slices
+from .common import hash_sample, in_slices
 
 TRAIN_ROWS = 6_000
 FEATURES = 2_048
@@ -181,11 +181,10 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Chain:
     """Fit a chain on at most ``rows`` labelled documents. ``categories``: a condition on
     ``labels`` for each category, in the order of the chain."""
-    chosen = (
-        labels.where(F.col(doc_id).isNotNull())
-        .select(F.col(doc_id).alias("__id"), *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(categories.values())])
-        .orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    marked = labels.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("__id"), *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(categories.values())]
     )
+    chosen = hash_sample(marked, F.col("__id"), rows)
     # bound: the number of training rows
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
     names = [f"c{i}" for i in range(len(categories))]
