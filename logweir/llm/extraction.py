@@ -138,6 +138,10 @@ def parse(markup: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag == "body":
             pop_to(1)
+        if tag in RAW:  # no text and no block of its own
+            end = re.compile(rf"</{tag}\s*>", re.I).search(markup, at)
+            at = end.end() if end else len(markup)
+            continue
         if tag in _CLOSES_P:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
             if k and all(t in INLINE for t, _ in stack[k + 1 :]):
@@ -170,10 +174,6 @@ def parse(markup: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 hidden += 1
             stack.append((tag, len(nodes)))
             nodes.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(markup, at)
-            at = end.end() if end else len(markup)
-            pop_to(len(stack) - 1)
     close_block()
     return nodes, blocks
 

@@ -98,7 +98,12 @@ class CellTree:
 
     def reached(self, point: np.ndarray, radius: float) -> np.ndarray:
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0.0)
-        return np.flatnonzero((gap**2).sum(1) <= radius * radius)
+        return np.flatnonzero((gap**2).sum(1) <= radius * radius + _slack(point))
+
+
+def _slack(point: np.ndarray) -> float:
+    """Room for rounding: equal vectors may be projected a little apart."""
+    return 1e-9 * (1.0 + float((point**2).sum()))
 
 
 class BlockTree:
@@ -123,12 +128,13 @@ class BlockTree:
         """Ids and distances of the best ``k``; ``bound``: the k-th distance known so far;
         ``stop``: the chi-square point of the stopping test."""
         gap = (np.maximum(np.maximum(self.low - point, point - self.high), 0.0) ** 2).sum(1)
+        slack = _slack(point)
         ids, dist = np.zeros(0, np.int64), np.zeros(0)
         for leaf in np.argsort(gap, kind="stable"):
-            if gap[leaf] > stop * bound * bound:
+            if gap[leaf] > stop * bound * bound + slack:
                 break
             names, vectors, projected = self.leaves[leaf]
-            near = (((projected - point) ** 2).sum(1) <= stop * bound * bound) & (names != own)
+            near = (((projected - point) ** 2).sum(1) <= stop * bound * bound + slack) & (names != own)
             d = np.sqrt(((vectors[near] - vector) ** 2).sum(1))
             ids, dist = np.concatenate([ids, names[near]]), np.concatenate([dist, d])
             if len(ids) > k:
@@ -216,7 +222,7 @@ def search(
             take, cell, part = [], [], []
             data = _matrix(batch.column("v"))
             for i, b in enumerate(batch.column("bound").to_pylist()):
-                near = range(tree.cells) if b is None else tree.reached(data[i] @ base, b * math.sqrt(stop) * (1 + 1e-9)).tolist()
+                near = range(tree.cells) if b is None else tree.reached(data[i] @ base, b * math.sqrt(stop)).tolist()
                 for c in near:
                     for j in range(blocks.get(c, 0)):
                         take.append(i)

@@ -10,7 +10,7 @@ Features are present or not: every word (letters, lower case) and its beginnings
 The training rows choose ``FEATURES`` of them. Training uses at most ``TRAIN_ROWS``
 labelled documents, chosen by a hash of their id; scoring reads all words of all texts.
 The threshold of a category is where its out-of-fold predictions make the fewest errors,
-counting both kinds alike (F1).
+counting both kinds alike (F1), and at least even odds where few rows are positive.
 
 Null and empty texts have no features. Rows are scored one by one; repeated rows score
 alike, extra columns stay. Labels of one document that disagree count as rows of their
@@ -32,6 +32,8 @@ from .common import hash_sample, in_slices
 TRAIN_ROWS = 6_000
 FEATURES = 2_048
 FOLDS = 5
+#: With fewer positive rows than this a category's threshold is at least even odds.
+FEW = 20
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7)
 _KEPT_WORDS = 300_000
@@ -167,7 +169,8 @@ class Chain:
         k = int(f1.argmax())
         self.folds_f1.append(float(f1[k]))
         low = score[order[k + 1]] if k + 1 < len(y) else score[order[k]] - 1
-        return float((score[order[k]] + low) / 2)
+        limit = float((score[order[k]] + low) / 2)
+        return limit if y.sum() >= FEW else max(limit, 0.0)
 
     def scores(self, words: _Words, texts: Sequence[str | None]) -> np.ndarray:
         """Log odds of each text and category, down the chain."""
