@@ -24,7 +24,7 @@ def test_rows_against_a_walk(spark):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         prints.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
         if r["n_chars"] > 200:
-            assert r["near_edited"] > 0.5 or r["doc_id"] == 13  # one word without blanks
+            assert r["near_edited"] > 0.5 or r["doc_id"] in (4, 13)  # a tail of one-word lines; one word without blanks
     assert all(len(p) == 1 for p in prints.values())
     assert len({next(iter(p)) for p in prints.values()}) == len(prints)
 
