@@ -4,26 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .patterns import FILL_KEY_BYTES, ISO_FORMAT, MATCH_LITERAL, UNIT_BYTES
+from .patterns import FILL_KEY_BYTES, MATCH_LITERAL, UNIT_BYTES
 
 
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def utc_parts(epoch_s: Column) -> tuple[Column, Column, Column, Column]:
+    """Date, hour, minute and second in UTC, whatever the session's time zone."""
+    rest = F.pmod(epoch_s, F.lit(86_400))
+    date = F.date_from_unix_date(F.floor((epoch_s - rest) / 86_400).cast("int"))
+    return date, F.floor(rest / 3600).cast("int"), F.floor(F.pmod(rest, F.lit(3600)) / 60).cast("int"), F.pmod(rest, F.lit(60)).cast("int")
+
+
 def iso_time(epoch_s: Column | str) -> Column:
-    """ISO-8601 text of epoch seconds (the session time zone is UTC)."""
-    return F.date_format(F.timestamp_seconds(col_of(epoch_s)), ISO_FORMAT)
+    """ISO-8601 text of epoch seconds, in UTC."""
+    date, *clock = utc_parts(col_of(epoch_s))
+    hms = F.concat_ws(":", *[F.lpad(c.cast("string"), 2, "0") for c in clock])
+    return F.concat(date.cast("string"), F.lit("T"), hms, F.lit("Z"))
+
+
+def utc_second(text: Column) -> Column:
+    """The instant of a ``yyyy-MM-dd HH:mm:ss`` text read as UTC, null if it is none."""
+    local = text.try_cast("timestamp_ntz")
+    seconds = F.unix_date(local.cast("date")).cast("bigint") * 86_400 + F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    return F.timestamp_seconds(seconds)
 
 
 def sheet_date(ts: Column | str) -> Column:
-    """Unpadded date column of the report files."""
-    return F.date_format(col_of(ts), "yyyy-M-d")
+    """Unpadded date column of the report files, in UTC."""
+    date, *_ = utc_parts(F.unix_seconds(col_of(ts)))
+    return F.concat(F.lpad(F.year(date).cast("string"), 4, "0"), F.lit("-"), F.concat_ws("-", F.month(date), F.day(date)))
 
 
 def sheet_time(ts: Column | str) -> Column:
-    """Unpadded time column of the report files."""
-    return F.date_format(col_of(ts), "H:m:s")
+    """Unpadded time column of the report files, in UTC."""
+    _, *clock = utc_parts(F.unix_seconds(col_of(ts)))
+    return F.concat_ws(":", *clock)
 
 
 def month_key(month: Column | str, year: Column | str) -> Column:

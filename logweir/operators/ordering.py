@@ -16,6 +16,7 @@ def with_row_index(
     partition_by: list[str] = (),
     index: str = "row_idx",
     total: str = "row_total",
+    owned: list[str] | None = None,
 ) -> DataFrame:
     """Number rows 0, 1, ... in ``order`` (a total order) and add their total,
     over the whole frame or within each ``partition_by`` group.
@@ -24,7 +25,10 @@ def with_row_index(
     cut across tasks like any other range, and written once with their place.
     A second, pruned pass counts rows per (range, group); the running sum of
     those counts, one row per range and group, gives the shift to join back.
-    The join has no hint: Spark broadcasts the shifts only while they are small.
+    The shifts are stored as well, so their size is known when the join is planned:
+    Spark's own check broadcasts them and the rows stay where they are; should they
+    be too many, it joins by shuffle. ``owned`` takes the paths of both tables, for
+    callers that delete them.
     """
     keys = list(partition_by)
     sort_by = [*keys, *order]
@@ -34,16 +38,17 @@ def with_row_index(
         .withColumn(_CHUNK, F.spark_partition_id())
         .withColumn(_POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_BITS))),
         "row-index",
+        owned,
     )
     spans = placed.groupBy(_CHUNK, *keys).agg(F.min(_POS).alias("__first"), F.count("*").alias("__n"))
     within = Window.partitionBy(*keys)
     before = within.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = spans.select(
+    shifts = written_table(spans.select(
         _CHUNK,
         *keys,
         (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias(_SHIFT),
         F.sum("__n").over(within).alias(total),
-    )
+    ), "row-shifts", owned)
     on = F.col(f"p.{_CHUNK}") == F.col(f"s.{_CHUNK}")
     for k in keys:  # null keys form a group too
         on = on & F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}"))
@@ -67,13 +72,15 @@ def with_given_index(
 ) -> DataFrame:
     """The same two columns where ``offset`` already numbers the rows of each
     ``partition_by`` group without gaps or repeats, like the offsets within the
-    partitions of a log: no sort, and only one row per group is shuffled. The
-    query fails if a range of offsets does not fit its row count.
+    partitions of a log: no sort, and only one row per group is shuffled. The spans
+    of groups are stored, so that their size is known when they are joined back and
+    small ones are broadcast. The query fails if a range of offsets does not fit its
+    row count.
     """
     keys = list(partition_by)
     span = F.struct(F.min(offset).alias("lo"), F.max(offset).alias("hi"), F.count("*").alias("n"))
     if keys:
-        spans = df.groupBy(*keys).agg(span.alias("__span"))
+        spans = written_table(df.groupBy(*keys).agg(span.alias("__span")), "offset-spans")
         on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
         rows = df.alias("d").join(spans.alias("s"), on).select("d.*", "s.__span")
         lo, hi, n = (F.col("__span")[x] for x in ("lo", "hi", "n"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import patterns as P
-from ..functions.columns import has_literal, unit_bytes
+from ..functions.columns import has_literal, unit_bytes, utc_second
 
 _TEXT, _PIECES = "__marked", "__pieces"
 
@@ -124,7 +124,7 @@ def parse_latency(df: DataFrame, line: str = "line") -> DataFrame:
         _pieces(df, line, P.LATENCY),
         df.columns,
         ["second", "p50", "p999"],
-        second=F.try_to_timestamp(_piece(1), F.lit("yyyy-MM-dd HH:mm:ss")),
+        second=utc_second(_piece(1)),
         p50=_piece(2).try_cast("bigint"),
         p999=_piece(3).try_cast("bigint"),
     )
@@ -136,7 +136,7 @@ def parse_throughput(df: DataFrame, line: str = "line") -> DataFrame:
         _pieces(df, line, P.THROUGHPUT),
         df.columns,
         ["second", "qps", "duration_us"],
-        second=F.try_to_timestamp(_piece(1), F.lit("yyyy-MM-dd HH:mm:ss")),
+        second=utc_second(_piece(1)),
         qps=_piece(2).try_cast("bigint"),
         duration_us=_piece(3).try_cast("bigint"),
     )
@@ -150,7 +150,7 @@ def parse_hardware(df: DataFrame, line: str = "line") -> DataFrame:
         _pieces(df, line, P.HARDWARE),
         df.columns,
         ["second", "cpu1", "cpu5", "total_mem", "free_mem"],
-        second=F.try_to_timestamp(_piece(1), F.lit("yyyy-MM-dd HH:mm:ss")),
+        second=utc_second(_piece(1)),
         cpu1=number["cpu1"],
         cpu5=number["cpu5"],
         total_mem=unit_bytes(number["total"], _piece(5)),

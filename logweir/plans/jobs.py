@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import event_value, message_key, source_label
-from ..functions.patterns import ISO_FORMAT, MATCH_LITERAL
+from ..functions.columns import event_value, iso_time, message_key, source_label
+from ..functions.patterns import MATCH_LITERAL
 from ..operators import alignment, counting, dedup as dd, devices, links, metrics, windows as W
 from ..operators.parsing import (
     matching, parse_date, parse_dated, parse_hardware, parse_latency, parse_payload, parse_throughput,
@@ -16,11 +16,11 @@ from ..operators.parsing import (
 from ..session import written_table
 from ..sinks.keyed import KeyedTable
 from ..sources.archives import unpack_records
-from ..sources.files import metric_files, read_metric_lines
+from ..sources.files import METRIC_FILES, metric_files, read_metric_lines
 
 
 def now_text() -> Column:
-    return F.date_format(F.current_timestamp(), ISO_FORMAT)
+    return iso_time(F.unix_seconds(F.current_timestamp()))
 
 
 def _key_value(
@@ -64,14 +64,16 @@ def match(
 
 def count(
     df: DataFrame, unit: str = "token", exact: bool = True, line: str = "line",
-    date_parts: str = "year_month",
+    date_parts: str = "year_month", ordered: bool = False,
 ) -> DataFrame:
-    """Distinct units per year and month, exact or by sketch."""
+    """Distinct units per year and month, exact or by sketch; as a report, in their order."""
     units = counting.dated_units(df, unit, line, date_parts)
     if exact:
-        return counting.distinct_by(units, ["year", "month"])
-    sketches = counting.sketch_by(units, ["year", "month"])
-    return sketches.select("year", "month", counting.estimate().alias("n_distinct"))
+        counts = counting.distinct_by(units, ["year", "month"])
+    else:
+        sketches = counting.sketch_by(units, ["year", "month"])
+        counts = sketches.select("year", "month", counting.estimate().alias("n_distinct"))
+    return counts.orderBy("year", "month") if ordered else counts
 
 
 def distinct_overall(df: DataFrame, batch: str, line: str = "line") -> tuple[DataFrame, DataFrame]:
@@ -97,12 +99,12 @@ def time_match(
 ) -> DataFrame:
     """The set of matches of each window: window_start, key, value. Batch or stream.
 
-    Key and value are functions of the line, so equal lines are dropped before
-    the values are built.
+    Key and value are functions of the line, so only window and line are shuffled,
+    and the lines that are left are parsed once more for their values.
     """
     events = W.in_time_windows(matching(df.select(line), literal, scope, line), "ts", length, slide)
-    unique = events.dropDuplicates(["window_start", line])
-    return _key_value(unique, processed, key, line, "window_start")
+    unique = events.select("window_start", line).distinct()
+    return _key_value(matching(unique, literal, scope, line), processed, key, line, "window_start")
 
 
 def time_count(
@@ -132,6 +134,8 @@ def bucket_match(
     windows of matches instead. ``given``: see ``bucket_count``.
     """
     keys = list(partition_by)
+    if filter_first and given:
+        raise ValueError("given numbers are those of all messages; windows of matches are numbered anew")
     if filter_first:
         names = [f"__o{i}" for i in range(len(order))]
         places = [F.col(o).alias(n) for o, n in zip(order, names)]
@@ -219,19 +223,44 @@ def metric_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def metric_folders(spark: SparkSession, folder: str) -> dict[tuple[str, str], str]:
+    """The column label of every (kind, source folder), in the order of the folders.
+
+    Folders whose names give one label are told apart by a number, so none are merged:
+    ``label``, ``label_2`` and so on.
+    """
+    labels: dict[tuple[str, str], str] = {}
+    for kind in METRIC_FILES:
+        folders = metric_files(spark, folder, kind).select(_folder_of("path").alias("source")).distinct()
+        label = F.concat_ws("_", F.lit(kind), source_label("source"))
+        rows = folders.select("source", label.alias("label")).orderBy("label", "source").collect()
+        taken = {r["label"] for r in rows}
+        seen: set[str] = set()
+        for r in rows:
+            name, n = r["label"], 1
+            while name in seen or (n > 1 and name in taken):
+                n += 1
+                name = f"{r['label']}_{n}"
+            seen.add(name)
+            labels[kind, r["source"]] = name
+    return labels
+
+
 def metric_report(spark: SparkSession, folder: str, stop: str | None = None) -> DataFrame:
     """The wide report: one block of columns per kind and source folder, by position.
 
     The list of source folders decides the columns, so it is read up front.
     """
     tables = metric_tables(spark, folder)
+    labels = metric_folders(spark, folder)
     tagged, columns = [], {}
     for kind, table in tables.items():
-        label = F.concat_ws("_", F.lit(kind), source_label("source"))
-        tagged.append(table.withColumn("label", label).drop("source"))
+        own = {source: label for (k, source), label in labels.items() if k == kind}
+        named = F.lit(None).cast("string")
+        if own:
+            named = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("source")]
+        tagged.append(table.withColumn("label", named).drop("source"))
         names = [c for c in table.columns if c != "source"]
-        folders = metric_files(spark, folder, kind).select(_folder_of("path").alias("source")).distinct()
-        for row in folders.select(label.alias("label")).distinct().orderBy("label").collect():
-            columns[row["label"]] = names
+        columns |= {label: names for label in own.values()}
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     return alignment.zip_sources(union, "label", columns, ["second"], stop).orderBy("row_idx")

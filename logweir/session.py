@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="logweir-")
     spark.sparkContext.setCheckpointDir(made)
@@ -54,27 +54,36 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/logweir/{label}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}
 
 
-def written_table(df: DataFrame, label: str) -> DataFrame:
+def written_table(df: DataFrame, label: str, owned: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage the way ``checkpoint()`` does, survives lost executors, and
     unlike a checkpoint is columnar: later passes read only their columns.
+    A caller that passes ``owned`` gets the path there and deletes it itself
+    (``drop_paths``); other tables stay until ``drop_written``.
     """
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
+    kept = _written.setdefault(df.sparkSession.sparkContext.applicationId, []) if owned is None else owned
+    kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Delete the tables written so far by ``written_table``, once the results
-    that read them are stored. Returns how many there were."""
+    """Delete the tables that this application wrote with ``written_table`` so far
+    and that no caller owns, once the results that read them are stored. Returns
+    how many there were."""
+    return drop_paths(spark, _written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete these folders and empty the list."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         dropped += path.getFileSystem(conf).delete(path, True)
     return dropped

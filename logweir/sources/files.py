@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # File names of the three kinds of metric logs, in any case.
 METRIC_FILES = {
@@ -32,6 +32,12 @@ def read_words(
     return reader.text(path).select(F.col("value").alias("word"))
 
 
+def plain_path() -> Column:
+    """Path of the file a row was read from, as it is named: file metadata has it with
+    blanks and the like escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_metric_lines(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """Lines of all metric logs of a kind below ``folder``.
 
@@ -45,7 +51,7 @@ def read_metric_lines(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     )
     return lines.select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("path"),
+        plain_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )
@@ -58,7 +64,7 @@ def metric_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", any_case(METRIC_FILES[kind]))
         .load(folder)
-        .select("path")
+        .select(plain_path().alias("path"))
     )
 
 

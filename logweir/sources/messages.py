@@ -40,7 +40,7 @@ def read_log(
 ) -> DataFrame:
     """Message rows of a log. Needs the connector of ``format`` on the class path."""
     if not streaming and options.get("startingOffsets") == "latest":
-        options = {**options, "startingOffsets": "earliest"}  # a batch read starts at stored data
+        raise ValueError("a batch read cannot start at the latest offset: pass from_beginning or starting_offsets")
     reader = spark.readStream if streaming else spark.read
     return reader.format(format).options(**options).load()
 
