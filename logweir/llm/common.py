@@ -260,8 +260,9 @@ def most_of(a: str, b: str) -> Column:
 # moves a few bytes a row and no task handles single rows in Python.
 
 
-def bucket_count(df: DataFrame, each: int = 32) -> int:
-    """Buckets of a shuffle: some for every partition, so that one is a small part of a task."""
+def bucket_count(df: DataFrame, each: int = 1) -> int:
+    """Buckets of a shuffle: ``each`` for every partition. Parcels are as many as batches
+    times buckets, so there are no more buckets than memory asks for."""
     return each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

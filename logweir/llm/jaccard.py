@@ -204,6 +204,7 @@ class _Enough:
         self.similar, self.buckets = similar, buckets
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, data in by_bucket(batches, "hb"):
             columns = all_opened(data, _ENTRY)
             order, starts = alike_rows([columns[1], columns[0]])
@@ -212,9 +213,17 @@ class _Enough:
             sizes = np.diff(np.append(new, len(rows[1])))
             n = rows[2][new].astype(np.int64)
             keep = np.repeat(sizes >= self.similar.shared(self.similar.least_size(n)), sizes)
-            rows = [r[keep] for r in rows]
-            if len(rows[0]):
-                yield parcel_batch("hb", *parcels((rows[0] % np.uint64(self.buckets)).astype(np.int32), rows))
+            held.append([r[keep] for r in rows])
+            size += int(keep.sum())
+            if size > 300_000:
+                yield self.sent(held)
+                held, size = [], 0
+        if size:
+            yield self.sent(held)
+
+    def sent(self, held) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        return parcel_batch("hb", *parcels((columns[0] % np.uint64(self.buckets)).astype(np.int32), columns))
 
 
 class _Groups:
@@ -404,7 +413,7 @@ def _units(members: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that a document reaches by links."""
-    similar, buckets = Similarity(similarity), bucket_count(docs)
+    similar, buckets = Similarity(similarity), bucket_count(docs, 2)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     points = written_table(rows.mapInArrow(_Points(width), "doc_id bigint, uid bigint, n bigint, point binary"), "points")
     parcel = "hb int, data binary"

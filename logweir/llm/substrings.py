@@ -228,18 +228,18 @@ def without_repeats(
     or with ``digest`` the SHA-256 of the kept words. ``keep``: other columns to hand on."""
     if length < 1:
         raise ValueError("a window has one word or more")
-    period, buckets = period_for(length), bucket_count(docs)
+    period, buckets, owners = period_for(length), bucket_count(docs), bucket_count(docs, 2)
     more = [f"more{i}" for i in range(len(keep))]
     rows = docs.select(
         F.coalesce(F.col(doc_id), F.lit(-1)).cast("bigint").alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
         *[F.col(c).alias(m) for c, m in zip(keep, more)],
     )
     others = "".join(f", {m} {rows.schema[m].dataType.simpleString()}" for m in more)
-    dealt = rows.mapInArrow(_Deal(buckets, more), f"b int, k bigint, doc_id bigint, packed binary{others}")
+    dealt = rows.mapInArrow(_Deal(owners, more), f"b int, k bigint, doc_id bigint, packed binary{others}")
     anchors = rows.select("k", "text").mapInArrow(_Anchors(length, period, buckets), "hb int, data binary")
-    twice = in_buckets(anchors, "hb").mapInArrow(_Meet(_ANCHOR, 1, [1, 2], 3, buckets), "b int, data binary")
+    twice = in_buckets(anchors, "hb").mapInArrow(_Meet(_ANCHOR, 1, [1, 2], 3, owners), "b int, data binary")
     windows = dealt.groupBy("b").cogroup(twice.groupBy("b")).applyInArrow(_two(_Windows(length, period, buckets)), "hb int, data binary")
-    repeats = in_buckets(windows, "hb").mapInArrow(_Meet(_WINDOW, 2, [2, 3, 4], 5, buckets), "b int, data binary")
+    repeats = in_buckets(windows, "hb").mapInArrow(_Meet(_WINDOW, 2, [2, 3, 4], 5, owners), "b int, data binary")
     kept = dealt.groupBy("b").cogroup(repeats.groupBy("b")).applyInArrow(
         _two(_Kept(length, digest, more)), f"doc_id bigint, n_words bigint, n_removed bigint, kept string{others}"
     )
