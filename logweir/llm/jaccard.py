@@ -445,8 +445,8 @@ def _links(rows: DataFrame, members: DataFrame, width: int, similar: Similarity)
         pairs = proposed.where("not more").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        if sets is None:
-            sets = _sets(rows, members, width)
+        pairs = written_table(pairs, "pairs")
+        sets = _sets(rows, members, pairs, sets, width)
         with_a = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), "a")
         both = with_a.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), "b")
         checked = written_table(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(similar), "a bigint, b bigint, links boolean"), "checked")
@@ -462,13 +462,21 @@ def _links(rows: DataFrame, members: DataFrame, width: int, similar: Similarity)
         state = joined.join(apart, "gid", "left_semi")
 
 
-def _sets(rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """uid and set of the sets that are in any group. Texts pass a Bloom filter of the
-    wanted ids (of bounded size) before they are shuffled to the exact join."""
-    wanted = members.select("doc_id", "uid").distinct()
-    bits = block_bits(wanted.count())
+def _sets(rows: DataFrame, members: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
+    """uid and set of the sets in any pair, besides those that are known. Texts pass a
+    Bloom filter of the wanted ids (of bounded size) before they are shuffled to the
+    exact join."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("uid"), "uid", "left_anti")
+    wanted = written_table(members.select("doc_id", "uid").distinct().join(wanted, "uid"), "wanted-sets")
+    n = wanted.count()
+    if known is not None and not n:
+        return known
+    bits = block_bits(n)
     bloom = blocked_bloom(wanted, "doc_id", bits)
     h = F.xxhash64("doc_id")
     near = rows.withColumn("block", _block(h, bits)).join(F.broadcast(bloom), "block").where(might_hold(h)).select("doc_id", "text")
     found = near.join(wanted, "doc_id").select("uid", "text").mapInArrow(_SetRows(width), "uid bigint, set binary")
-    return written_table(found.dropDuplicates(["uid"]), "sets")
+    fresh = written_table(found.dropDuplicates(["uid"]), "sets")
+    return fresh if known is None else known.unionByName(fresh)
