@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.sources.files import read_table, stream_table
+from logweir.session import fresh_folder
+from logweir.sources.files import read_table
 
 EVENT_TEXT = """concat('- ', cast(unix_seconds(cast(ts as timestamp)) as string), ' ',
  date_format(ts, 'yyyy.MM.dd'), ' node', cast(user_id % 8 as string), ' ',
@@ -82,8 +83,22 @@ def events(spark: SparkSession, sf_dir: str, text: str = EVENT_TEXT, *more: str)
     return table.select("event_id", F.expr(text).alias("line"), *[F.expr(m) for m in more])
 
 
+BATCHES = 4
+
+
+def in_batches(spark: SparkSession, sf_dir: str, name: str, key: str, batches: int = BATCHES) -> DataFrame:
+    """A whole table as a stream of several micro-batches, one range of ``key`` after the other."""
+    table, folder = read_table(spark, sf_dir, name), fresh_folder(spark, f"{name}-in-batches")
+    low, high = table.agg(F.min(key), F.max(key)).first()
+    step = (high - low) // batches + 1
+    for k in range(batches):  # a file source takes files in the order of their writing
+        part = table.where(F.col(key).between(low + k * step, low + (k + 1) * step - 1))
+        part.write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def streamed_events(spark: SparkSession, sf_dir: str, text: str = EVENT_TEXT) -> DataFrame:
-    return stream_table(spark, sf_dir, "events").select("event_id", F.expr(text).alias("line"))
+    return in_batches(spark, sf_dir, "events", "event_id").select("event_id", F.expr(text).alias("line"))
 
 
 def orders(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:

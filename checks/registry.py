@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import the modules that register queries."""
     from . import parsing_queries, counting_queries, window_queries  # noqa: F401
-    from . import metric_queries, device_queries, stream_queries  # noqa: F401
+    from . import metric_queries, metric_files, device_queries, stream_queries  # noqa: F401

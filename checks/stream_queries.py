@@ -14,7 +14,6 @@ from logweir.operators.parsing import parse_date
 from logweir.plans import jobs
 from logweir.session import fresh_folder
 from logweir.sinks.keyed import KeyedTable
-from logweir.sources.files import stream_table
 from logweir.streaming import jobs as st
 from logweir.streaming.count_windows import DistinctPerCountWindow, MatchesPerCountWindow
 
@@ -117,6 +116,34 @@ def stream_bucket_match(spark, sf_dir):
     return sink.results().select("window_id", "line")
 
 
+@query("stream_bucket_match_sliding", f"""{PLACED_TIMED},
+ w AS (SELECT *, unnest(range(greatest(0, i // 250 - 3), i // 250 + 1)) AS window_id FROM i
+ WHERE regexp_matches(line, '{R2}') AND contains({group(5, R2)}, 'IRQ'))
+SELECT DISTINCT window_id, md5(line) AS key, {VALUE} AS value FROM w WHERE window_id * 250 + 1000 < n""")
+def stream_bucket_match_sliding(spark, sf_dir):
+    folder = fresh_folder(spark, "bucket-match")
+    sink = MatchesPerCountWindow(
+        spark, f"{folder}/windows", ["event_id"], 1000, 250, processed=F.lit(PROCESSED), key="md5")
+    st.each_batch(L.streamed_events(spark, sf_dir), sink, f"{folder}/checkpoint").awaitTermination()
+    return sink.results().select("window_id", "key", "value")
+
+
+@query("stream_time_gap_count", f"""{TOKENS} SELECT s // 86400 * 86400 AS start_s, count(DISTINCT unit) AS n_distinct
+FROM t WHERE s % 86400 < 43200 AND s // 86400 * 86400 + 86400 <= (SELECT max(s) - 3600 FROM t) GROUP BY 1""")
+def stream_time_gap_count(spark, sf_dir):
+    """Half days with half days between them."""
+    stream = st.time_count(L.streamed_events(spark, sf_dir), "1 hour", 43200, 86400)
+    return start_s(collected(spark, stream, "time-gap-count"))
+
+
+@query("stream_time_gap_match", f"""{PLAIN} SELECT DISTINCT {group(1, R2)}::BIGINT // 20 * 20 AS start_s, md5(line) AS key,
+ {VALUE} AS value FROM l WHERE regexp_matches(line, '{R2}') AND contains({group(5, R2)}, 'IRQ') AND {group(1, R2)}::BIGINT % 20 < 10""")
+def stream_time_gap_match(spark, sf_dir):
+    stream = st.time_match(
+        L.streamed_events(spark, sf_dir), "1 hour", 10, processed=F.lit(PROCESSED), key="md5", slide=20)
+    return start_s(collected(spark, stream, "time-gap-match"))
+
+
 @query("stream_upsert", f"""{PLAIN} SELECT {group(2, R2)} AS key, arg_max({group(5, R2)}, event_id) AS value FROM l GROUP BY 1""")
 def stream_upsert(spark, sf_dir):
     from logweir.operators.parsing import parse_event
@@ -133,7 +160,7 @@ def stream_upsert(spark, sf_dir):
 def stream_word_count(spark, sf_dir):
     """Running counts in update mode, upserted by word."""
     folder = fresh_folder(spark, "words")
-    words = stream_table(spark, sf_dir, "documents").select(F.explode(tokens("text")).alias("word"))
+    words = L.in_batches(spark, sf_dir, "documents", "doc_id").select(F.explode(tokens("text")).alias("word"))
     counts = st.word_count(words)
     table = KeyedTable(spark, f"{folder}/table", counts.schema, "word")
     st.each_batch(counts, table.sink(), f"{folder}/checkpoint", mode="update").awaitTermination()
@@ -144,7 +171,7 @@ def stream_word_count(spark, sf_dir):
 def stream_first_seen_urls(spark, sf_dir):
     from .device_queries import PATTERN
 
-    return collected(spark, st.new_links(stream_table(spark, sf_dir, "pages"), PATTERN), "links")
+    return collected(spark, st.new_links(L.in_batches(spark, sf_dir, "pages", "page_id"), PATTERN), "links")
 
 
 def _same_as_batch():

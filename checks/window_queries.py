@@ -75,6 +75,15 @@ def time_count_dense(spark, sf_dir):
     return start_s(W.time_window(rows, "ts", 60, emit_empty=True).fillna({"n": 0}))
 
 
+@query("time_count_dense_keyed", f"""{TIMED}, e AS (SELECT p.s, event_type FROM p JOIN events USING (event_id)),
+ c AS (SELECT event_type, s // 600 * 600 AS start_s, count(*) AS n FROM e GROUP BY ALL),
+ k AS (SELECT event_type, unnest(range(min(start_s), max(start_s) + 1, 600)) AS start_s FROM c GROUP BY event_type)
+SELECT event_type, start_s, coalesce(n, 0) AS n FROM k LEFT JOIN c USING (event_type, start_s)""")
+def time_count_dense_keyed(spark, sf_dir):
+    rows = parse_dated(L.events(spark, sf_dir, L.EVENT_TEXT, "event_type"))
+    return start_s(W.time_window(rows, "ts", 600, keys=["event_type"], emit_empty=True).fillna({"n": 0}))
+
+
 @query("time_gap_count", f"""{TOKENS} SELECT s // 7200 * 7200 AS start_s, count(DISTINCT unit) AS n_distinct
 FROM t WHERE s % 7200 < 3600 GROUP BY 1""")
 def time_gap_count(spark, sf_dir):

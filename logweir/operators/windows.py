@@ -72,13 +72,14 @@ def time_window(
     )
     if not emit_empty:
         return out
-    if keys:
-        raise ValueError("emit_empty needs windows without keys")
-    return with_empty_windows(out, length, slide, offset)
+    return with_empty_windows(out, length, slide, offset, keys)
 
 
-def with_empty_windows(out: DataFrame, length: float, slide: float, offset: float = 0) -> DataFrame:
-    """Add the windows that hold no rows, between the first and the last that do.
+def with_empty_windows(
+    out: DataFrame, length: float, slide: float, offset: float = 0, keys: list[str] = ()
+) -> DataFrame:
+    """Add the windows that hold no rows, between the first and the last that do (of the
+    same key, if there are keys).
 
     The result has one row per window, so it is stored once and read for both
     its bounds and its rows. The list of windows is spread out in blocks before
@@ -87,17 +88,21 @@ def with_empty_windows(out: DataFrame, length: float, slide: float, offset: floa
     len_us, slide_us, off_us = micros(length), micros(slide), micros(offset)
     stored = written_table(out, "windows")
     place = floor_div(F.unix_micros("window_start") - off_us, slide_us)
-    bounds = stored.agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    bounds = stored.groupBy(*keys).agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"))
     spine = (
-        bounds.where("lo is not null")
-        .select("hi", F.expr("explode(sequence(lo, hi, 10000l))").alias("b"))
-        .repartition("b")
-        .select(F.expr("explode(sequence(b, least(b + 9999, hi)))").alias("k"))
-        .select(F.timestamp_micros(F.col("k") * slide_us + off_us).alias("window_start"))
+        bounds.where("__lo is not null")
+        .select(*keys, "__hi", F.expr("explode(sequence(__lo, __hi, 10000l))").alias("__b"))
+        .repartition(*keys, "__b")
+        .select(*keys, F.expr("explode(sequence(__b, least(__b + 9999, __hi)))").alias("__k"))
+        .select(*keys, F.timestamp_micros(F.col("__k") * slide_us + off_us).alias("window_start"))
     )
-    end = F.timestamp_micros(F.unix_micros("window_start") + len_us)
-    return spine.join(stored.drop("window_end"), "window_start", "left").select(
-        "window_start", end.alias("window_end"), *[c for c in out.columns if not c.startswith("window_")]
+    end = F.timestamp_micros(F.unix_micros("e.window_start") + len_us)
+    on = F.col("e.window_start") == F.col("w.window_start")
+    for k in keys:  # null keys form a group too
+        on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"w.{k}"))
+    rest = [c for c in out.columns if not c.startswith("window_")]
+    return spine.alias("e").join(stored.alias("w"), on, "left").select(
+        "e.window_start", end.alias("window_end"), *[F.col(f"e.{c}" if c in keys else f"w.{c}") for c in rest]
     )
 
 

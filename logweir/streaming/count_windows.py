@@ -13,10 +13,13 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.columns import event_value, message_key
 from ..functions.patterns import MATCH_LITERAL
 from ..operators.ordering import with_row_index
 from ..operators.parsing import matching
 from ..operators.windows import distinct_over_panes, floor_div
+from ..plans.jobs import now_text
+from ..session import drop_paths
 
 _DONE, _DUE = "__done", "__due"
 
@@ -41,8 +44,8 @@ class _CountedStream:
         self.keys = dict(keys or {})
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        names = list(self.keys)
-        placed = with_row_index(self.project(batch), self.order, names)
+        names, made = list(self.keys), []
+        placed = with_row_index(self.project(batch), self.order, names, owned=made)
         old = self._read(self._totals_schema, "rows", batch_id - 1).select(
             *names, F.col("after").alias("before"), F.lit(0).cast("bigint").alias("n")
         )
@@ -63,6 +66,7 @@ class _CountedStream:
         due = (F.col("window_id") >= F.col(_DONE)) & (F.col("window_id") < F.col(_DUE))
         self._put(self.closed(state, due), "out", batch_id)
         self._forget(batch_id - 2)
+        drop_paths(self.spark, made)  # the batch's own index; nothing reads it again
 
     def _numbered(self, df: DataFrame, counts: DataFrame) -> DataFrame:
         """Add the rows before this batch and how many windows were and are reported."""
@@ -165,16 +169,18 @@ class DistinctPerCountWindow(_CountedStream):
 
 
 class MatchesPerCountWindow(_CountedStream):
-    """The set of matching lines in each window of messages. State is the
-    matching lines of open windows."""
+    """The set of matching lines in each window of messages, with the key and value
+    of the match job. State is the matching lines of open windows; lines are reduced
+    to one per pane before windows that overlap are unrolled."""
 
     state_columns = "line string, row_idx bigint"
 
-    def __init__(self, *args, literal: str = MATCH_LITERAL, scope: str = "payload", **kwargs):
+    def __init__(
+        self, *args, literal: str = MATCH_LITERAL, scope: str = "payload", processed: Column | None = None,
+        key: str = "xxhash64", **kwargs,
+    ):
         super().__init__(*args, **kwargs)
-        self.literal, self.scope = literal, scope
-        if self.slide < self.length:
-            raise ValueError("matches are kept per tumbling or gapped window")
+        self.literal, self.scope, self.processed, self.key = literal, scope, processed, key
 
     def project(self, batch):
         text = F.when(F.col("line").contains(self.literal), F.col("line")).alias("line")
@@ -186,9 +192,18 @@ class MatchesPerCountWindow(_CountedStream):
         return state.select(columns).unionByName(new.select(columns))
 
     def closed(self, state, due):
-        inside = state.where(F.pmod("row_idx", F.lit(self.slide)) < self.length)
-        rows = inside.withColumn("window_id", floor_div(F.col("row_idx"), self.slide)).where(due)
-        return rows.select("window_id", *self.keys, "line").distinct()
+        pane = gcd(self.length, self.slide)
+        start = floor_div(F.col("row_idx"), pane) * pane
+        cells = state.select(*self.keys, "line", start.alias("__start"), _DONE, _DUE).distinct()
+        # windows that hold the pane and are reported with this batch
+        first = F.greatest(F.col(_DONE), floor_div(F.col("__start") + pane - self.length + self.slide - 1, self.slide))
+        last = F.least(F.col(_DUE) - 1, floor_div(F.col("__start"), self.slide))
+        ids = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
+        rows = cells.select(*self.keys, "line", F.explode(ids).alias("window_id")).distinct()
+        processed = now_text() if self.processed is None else self.processed
+        return matching(rows, self.literal, self.scope).select(
+            "window_id", *self.keys, "line", message_key("line", self.key).alias("key"), event_value(processed).alias("value")
+        )
 
     def still_open(self, state):
         return state.where(F.col("row_idx") >= F.col(_DONE) * self.slide)

@@ -9,15 +9,16 @@ state takes ``within``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import message_key, event_value
 from ..functions.patterns import MATCH_LITERAL
 from ..operators import counting, links
 from ..operators.parsing import matching, parse_date, parse_dated, parse_payload
-from ..operators.windows import time_slot
+from ..operators.windows import MICROS, micros, time_slot
 from ..plans.jobs import now_text
 
 
@@ -65,12 +66,21 @@ def time_ordered(write: Callable[[DataFrame, int], None]) -> Callable:
 
 
 def first_seen_units(
-    stream: DataFrame, unit: str = "token", line: str = "line", date_parts: str = "year_month"
+    stream: DataFrame, unit: str = "token", line: str = "line", date_parts: str = "year_month",
+    within: str | None = None,
 ) -> DataFrame:
     """Every (year, month, unit) once, when first seen. Append it to a table: the
-    running distinct count is a plain count of the rows of that table."""
-    units = counting.dated_units(stream, unit, line, date_parts)
-    return units.dropDuplicates(["year", "month", "unit"])
+    running distinct count is a plain count of the rows of that table.
+
+    ``within`` forgets a unit that late after its event time; a unit that comes back
+    later is a new row, and the table has to be counted by distinct unit."""
+    cols = ["year", "month", "unit"]
+    if not within:
+        return counting.dated_units(stream, unit, line, date_parts).dropDuplicates(cols)
+    if date_parts != "year_month":
+        raise ValueError("within needs the months of the event's own date")
+    timed = counting.with_unit(parse_dated(stream.select(line), line), unit, line).select("ts", *cols)
+    return timed.withWatermark("ts", within).dropDuplicatesWithinWatermark(cols).select(cols)
 
 
 def counts_of_first_seen(table: DataFrame) -> DataFrame:
@@ -106,8 +116,8 @@ def time_match(
     """The set of matches of each window; sets are forgotten once the watermark,
     ``delay`` behind the newest event, has passed their window."""
     events = matching(stream.select(line), literal, scope, line).withWatermark("ts", delay)
-    unique = events.withColumn("window", time_slot("ts", length, slide)).dropDuplicates(["window", line])
-    return unique.select(
+    slotted, _ = _in_slots(events, length, slide)
+    return slotted.dropDuplicates(["window", line]).select(
         F.col("window.start").alias("window_start"),
         message_key(line, key).alias("key"),
         event_value(now_text() if processed is None else processed).alias("value"),
@@ -120,24 +130,46 @@ def time_count(
 ) -> DataFrame:
     """Exact distinct units per closed window (append mode).
 
-    Two keyed states, one entry per (window, unit) and one per window, instead of
-    one growing set per window.
+    Keyed states, one entry per (window, unit) and one per window, instead of one
+    growing set per window. Where windows overlap, units are reduced to one per pane
+    before they are copied to the windows that hold the pane.
     """
     units = counting.with_unit(parse_dated(stream.select(line), line), unit, line).select("ts", "unit")
-    slotted = units.withWatermark("ts", delay).withColumn("window", time_slot("ts", length, slide))
+    units = units.withWatermark("ts", delay)
+    if slide < length:
+        pane = gcd(micros(length), micros(slide)) / MICROS
+        panes = units.withColumn("pane", time_slot("ts", pane)).dropDuplicates(["pane", "unit"])
+        units = panes.select(F.window_time("pane").alias("ts"), "unit")
+    slotted, end = _in_slots(units, length, slide)
     once = slotted.dropDuplicates(["window", "unit"])
     return once.groupBy("window").agg(F.count("unit").alias("n_distinct")).select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n_distinct"
+        F.col("window.start").alias("window_start"), end.alias("window_end"), "n_distinct"
     )
 
 
+def _in_slots(events: DataFrame, length: float, slide: float | None) -> tuple[DataFrame, Column]:
+    """Events with their ``window``, and the column of its end. Gapped windows tumble by
+    their slide, which also decides when they close, after the rows between windows
+    have been left out."""
+    if slide is None or slide <= length:
+        return events.withColumn("window", time_slot("ts", length, slide)), F.col("window.end")
+    inside = events.where(F.pmod(F.unix_micros("ts"), F.lit(micros(slide))) < micros(length))
+    return inside.withColumn("window", time_slot("ts", slide)), F.timestamp_micros(F.unix_micros("window.start") + micros(length))
+
+
 def word_count(stream: DataFrame, word: str = "word") -> DataFrame:
     """Running count per word (complete or update mode)."""
     return counting.count_by_key(stream, word)
 
 
-def new_links(stream: DataFrame, pattern: str = links.ARCHIVE, html: str = "html") -> DataFrame:
-    """Links not seen before on the stream: link_key, link."""
+def new_links(
+    stream: DataFrame, pattern: str = links.ARCHIVE, html: str = "html", within: str | None = None, ts: str = "ts",
+) -> DataFrame:
+    """Links not seen before on the stream: link_key, link. ``within`` forgets a link
+    that late after the time ``ts`` of its page."""
+    if within:
+        timed = links.page_links(stream.withWatermark(ts, within), html, pattern, keep=[ts])
+        return timed.dropDuplicatesWithinWatermark(["link_key"]).select("link_key", "link")
     found = links.page_links(stream, html, pattern)
     return found.select("link_key", "link").dropDuplicates(["link_key"])
 

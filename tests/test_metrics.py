@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
@@ -129,6 +130,42 @@ def test_metric_report(spark, metric_folder, tmp_path):
     write_report(report, f"{fresh_folder(spark, 'report')}", ["row_idx"])
 
 
+def test_report_keeps_every_folder(spark, tmp_path):
+    """Names that file metadata escapes, and names that give one label."""
+    nodes = ["2 node", "1node", "50%x", "10.0.0.1", "10-0-0-1", "a+b"]
+    for k, name in enumerate(nodes):
+        folder = tmp_path / "logs" / name
+        folder.mkdir(parents=True)
+        (folder / "x_latencies.txt").write_text(latency("10:00:00", 10 * k + 1, 5) + "\n" + latency("10:00:01", 10 * k + 2, 5) + "\n")
+    report = jobs.metric_report(spark, str(tmp_path / "logs"))
+    got = report.orderBy("row_idx").collect()
+    columns = [c for c in report.columns if c.endswith("_p50")]
+    assert len(columns) == len(set(columns)) == len(nodes)
+    assert sorted(tuple(r[c] for r in got) for c in columns) == sorted((10 * k + 1, 10 * k + 2) for k in range(len(nodes)))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_are_utc_in_any_session_zone(spark, zone):
+    from logweir.functions.columns import iso_time, sheet_date, sheet_time, utc_second
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        seconds = [0, -1, 1457836200, 1457839800, 1704068534, 1478408400, 951782400]  # clocks change in two of them
+        rows = spark.createDataFrame([(s,) for s in seconds], "s bigint").select(
+            "s", iso_time("s").alias("iso"), sheet_date(F.timestamp_seconds("s")).alias("d"), sheet_time(F.timestamp_seconds("s")).alias("t")
+        ).collect()
+        for r in rows:
+            at = datetime.datetime.fromtimestamp(r.s, datetime.timezone.utc)
+            assert r.iso == at.strftime("%Y-%m-%dT%H:%M:%SZ")
+            assert r.d == f"{at.year:04d}-{at.month}-{at.day}" and r.t == f"{at.hour}:{at.minute}:{at.second}"
+        texts = spark.createDataFrame([("2016-03-13 02:30:00",), ("2016-03-13 03:30:00",), ("2016-02-30 00:00:00",)], "x string")
+        got = [r[0] for r in texts.select(F.unix_seconds(utc_second(F.col("x")))).collect()]
+        assert got == [1457836200, 1457839800, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_report_files_are_sorted(spark):
     path = fresh_folder(spark, "sheet")
     write_report(spark.range(1000).select((999 - F.col("id")).alias("second")), path, ["second"])

@@ -227,15 +227,15 @@ def test_count_window_stream(spark, parts, log, rows, length, slide, emit):
     assert rows(sink.results(), "window_id", "n_distinct", "n_rows") == sorted(want, key=repr)
 
 
-def test_match_window_stream(spark, parts, batch, log, rows):
+@pytest.mark.parametrize("length, slide", [(80, 80), (80, 30), (30, 50)])
+def test_match_window_stream(spark, parts, batch, log, rows, length, slide):
     folder = fresh_folder(spark, "windows")
-    sink = MatchesPerCountWindow(spark, f"{folder}/w", ["at"], 80)
+    sink = MatchesPerCountWindow(spark, f"{folder}/w", ["at"], length, slide)
     st.each_batch(parts.add().stream(), sink, f"{folder}/check").awaitTermination()
-    model = model_count_windows([t for _, t in log], 80, 80, "next_record")
+    model = model_count_windows([t for _, t in log], length, slide, "next_record")
     want = {(k, t) for k, held in model.items() for t in held if "IRQ" in t and not t.startswith("broken")}
     assert rows(sink.results(), "window_id", "line") == sorted(want, key=repr)
-    with pytest.raises(ValueError):
-        MatchesPerCountWindow(spark, folder, ["at"], 80, 40)
+    assert sink.results().columns == ["window_id", "line", "key", "value"]
 
 
 def test_keyed_window_stream(spark, parts, log, rows):
@@ -260,3 +260,43 @@ def test_keyed_window_stream(spark, parts, log, rows):
             lines |= {(k, part, t) for t in held if "IRQ" in t and not t.startswith("broken")}
     assert rows(distinct.results(), "window_id", "part", "n_distinct", "n_rows") == sorted(counts, key=repr)
     assert rows(matches.results(), "window_id", "part", "line") == sorted(lines, key=repr)
+
+
+def test_batches_leave_no_index_behind(spark, parts):
+    """The tables of a batch's row index are deleted with the batch."""
+    import glob
+
+    from logweir.session import shared_folder
+
+    root = shared_folder(spark).removeprefix("file:")
+    kept = lambda: len(glob.glob(f"{root}/logweir/row-index-*")) + len(glob.glob(f"{root}/logweir/row-shifts-*"))
+    before = kept()
+    folder = fresh_folder(spark, "windows")
+    sink = MatchesPerCountWindow(spark, f"{folder}/w", ["at"], 20, 10)
+    st.each_batch(parts.add().stream(), sink, f"{folder}/check").awaitTermination()
+    assert kept() == before
+
+
+def test_first_seen_within(spark, parts, rows):
+    folder = fresh_folder(spark, "within")
+    firsts = st.first_seen_units(parts.add().stream(), within="3650 days")
+    st.append_to(firsts, f"{folder}/out", f"{folder}/check").awaitTermination()
+    held = spark.read.schema(firsts.schema).parquet(f"{folder}/out")
+    assert held.count() == held.distinct().count() > 0
+
+
+def test_registered_streams_cross_batches(spark):
+    from checks import lines as L
+
+    stream = L.streamed_events(spark, "/root/testdata/sf0.001")
+    seen = []
+    folder = fresh_folder(spark, "batches")
+    st.each_batch(stream, lambda batch, batch_id: seen.append(batch.count()), f"{folder}/check").awaitTermination()
+    assert len([n for n in seen if n]) >= 4 and sum(seen) == L.events(spark, "/root/testdata/sf0.001").count()
+
+
+def test_batch_read_of_the_latest_offset(spark):
+    from logweir.sources.messages import read_log
+
+    with pytest.raises(ValueError):
+        read_log(spark, {"startingOffsets": "latest"}, streaming=False)

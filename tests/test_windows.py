@@ -186,3 +186,33 @@ def test_window_messages(spark, rows):
     assert rows(W.emit_windows(windows, "window_id", ["k"])) == [("3/a", '{"k":"a","n":2}')]
     custom = W.emit_windows(windows, "window_id", value=F.concat("k", F.lit("="), "n"))
     assert rows(custom) == [("3", "a=2")]
+
+
+def _shuffles_the_log(df) -> bool:
+    """Whether the final plan shuffles rows that carry the line."""
+    import re
+
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    return bool(re.search(r"Exchange hashpartitioning", final))
+
+
+def test_row_index_leaves_the_rows_where_they_are(spark):
+    from logweir.operators.ordering import with_given_index, with_row_index
+
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).alias("part"), F.expr("id div 7").alias("off"), F.repeat(F.lit("x"), 50).alias("line"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        for df in (with_row_index(rows, ["id"]), with_row_index(rows, ["id"], ["part"]), with_given_index(rows, "off", ["part"])):
+            assert not _shuffles_the_log(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_given_numbers_do_not_go_with_filtered_windows(spark):
+    from logweir.plans import jobs
+
+    with pytest.raises(ValueError):
+        jobs.bucket_match(spark.range(1).select("id", F.lit("x").alias("line")), ["id"], filter_first=True, given=True)
