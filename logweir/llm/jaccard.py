@@ -9,8 +9,8 @@ overlap that the similarity needs. Pairs that survive are verified on the whole
 
 One tree over a corpus would not prune: nodes over many documents have large maxima. So
 points first meet by shingles: of the sets' shingles in hash order, the first
-``n - ceil(s * n) + l`` of two similar sets have at least ``l`` in common (``l`` about a
-twelfth of ``n``). A document stays only if that many of its first shingles occur
+``n - ceil(s * n) + l`` of two similar sets have at least ``l`` in common (``l`` about an
+eighth of ``n``). A document stays only if that many of its first shingles occur
 elsewhere; the rest, few, are grouped by shared shingles, and each group is an R-tree.
 
 A group first proposes each point to one leader only, so a group of near copies gives a
@@ -46,6 +46,8 @@ WIDTH = 5
 SIMILARITY = (75, 100)
 GROUP_MOST = 4096
 _ENTRY = ["<u8", "<i8", "<u4"]
+#: An entry with the number of sets that have its shingle among their first.
+_COUNTED = [*_ENTRY, "<u4"]
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +93,7 @@ class Similarity:
 
     def shared(self, n):
         """How many of the first shingles similar sets must share, at this size."""
-        return 1 + n // 12
+        return 1 + n // 8
 
     def first(self, n: int) -> int:
         return min(n, n - self.least_size(n) + self.shared(n))
@@ -173,7 +175,8 @@ def _members(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 class _Shared:
-    """Rows whose shingle another set has too, sent to their set's bucket."""
+    """Rows whose shingle another set has too, with the number of such sets, sent to
+    their set's bucket."""
 
     def __init__(self, buckets: int) -> None:
         self.buckets = buckets
@@ -184,6 +187,7 @@ class _Shared:
             rows, new = _members(all_opened(data, _ENTRY))
             sizes = np.diff(np.append(new, len(rows[0])))
             keep = np.repeat(sizes > 1, sizes)
+            rows.append(np.repeat(sizes, sizes).astype(np.uint32))
             held.append([r[keep] for r in rows])
             size += int(keep.sum())
             if size > 300_000:
@@ -198,7 +202,10 @@ class _Shared:
 
 
 class _Enough:
-    """Rows of sets that share enough of their first shingles, sent back by shingle."""
+    """Rows of sets that share enough of their first shingles, sent back by shingle.
+
+    Sets that must share ``k`` of them still share one if each leaves out its ``k - 1``
+    most common, so passages of very many documents seldom make a group."""
 
     def __init__(self, similar: Similarity, buckets: int) -> None:
         self.similar, self.buckets = similar, buckets
@@ -206,14 +213,16 @@ class _Enough:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for _, data in by_bucket(batches, "hb"):
-            columns = all_opened(data, _ENTRY)
-            order, starts = alike_rows([columns[1], columns[0]])
-            rows = [c[order[starts]] for c in columns]
+            columns = all_opened(data, _COUNTED)
+            order, starts = alike_rows([columns[1], columns[3], columns[0]])
+            rows = [c[order[starts]] for c in columns]  # by set, the rarest first
             new = np.flatnonzero(np.concatenate(([True], rows[1][1:] != rows[1][:-1])))
             sizes = np.diff(np.append(new, len(rows[1])))
             n = rows[2][new].astype(np.int64)
-            keep = np.repeat(sizes >= self.similar.shared(self.similar.least_size(n)), sizes)
-            held.append([r[keep] for r in rows])
+            must = self.similar.shared(self.similar.least_size(n))
+            nth = np.arange(len(rows[1])) - np.repeat(new, sizes)
+            keep = nth <= np.repeat(sizes - must, sizes)
+            held.append([r[keep] for r in rows[:3]])
             size += int(keep.sum())
             if size > 300_000:
                 yield self.sent(held)
@@ -421,9 +430,9 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
     shared = in_buckets(first, "hb").mapInArrow(_Shared(buckets), parcel)
     enough = in_buckets(shared, "hb").mapInArrow(_Enough(similar, buckets), parcel)
     groups = in_buckets(enough, "hb").mapInArrow(_Groups(), "gid bigint, uid bigint").distinct()
-    sets_of = points.where("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
-    members = written_table(groups.join(sets_of, "uid"), "members")
-    edges = _links(rows, members, width, similar)
+    each = points.where("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
+    each = written_table(each, "sets-once")
+    edges = _links(rows, written_table(groups, "members"), each, width, similar)
     reached = components(edges)
     named = points.select("doc_id", "uid", "n").join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("class"))
@@ -432,12 +441,13 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
     return linked.unionByName(named.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _links(rows: DataFrame, members: DataFrame, width: int, similar: Similarity) -> DataFrame:
-    """Verified links (a, b) between sets, enough for the components."""
-    part, quota, tried, links, sets = F.col("uid"), None, None, None, None
-    state = members.withColumn("part", part)
+def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, similar: Similarity) -> DataFrame:
+    """Verified links (a, b) between sets, enough for the components. ``members``: the
+    sets of every group; ``each``: id, size and point of every set."""
+    quota, tried, links, sets = None, None, None, None
+    state = members.withColumn("part", F.col("uid"))
     while True:
-        proposed = _units(state).repartition("gid", "unit").sortWithinPartitions("gid", "unit").mapInArrow(
+        proposed = _units(state.join(each.select("uid", "n", "point"), "uid")).repartition("gid", "unit").sortWithinPartitions("gid", "unit").mapInArrow(
             _Propose(similar, quota), "a bigint, b bigint, more boolean"
         )
         proposed = written_table(proposed, "proposed")
@@ -446,7 +456,7 @@ def _links(rows: DataFrame, members: DataFrame, width: int, similar: Similarity)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "pairs")
-        sets = _sets(rows, members, pairs, sets, width)
+        sets = _sets(rows, each, pairs, sets, width)
         with_a = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), "a")
         both = with_a.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), "b")
         checked = written_table(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(similar), "a bigint, b bigint, links boolean"), "checked")
@@ -462,14 +472,14 @@ def _links(rows: DataFrame, members: DataFrame, width: int, similar: Similarity)
         state = joined.join(apart, "gid", "left_semi")
 
 
-def _sets(rows: DataFrame, members: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
+def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
     """uid and set of the sets in any pair, besides those that are known. Texts pass a
     Bloom filter of the wanted ids (of bounded size) before they are shuffled to the
     exact join."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     if known is not None:
         wanted = wanted.join(known.select("uid"), "uid", "left_anti")
-    wanted = written_table(members.select("doc_id", "uid").distinct().join(wanted, "uid"), "wanted-sets")
+    wanted = written_table(each.select("doc_id", "uid").join(wanted, "uid"), "wanted-sets")
     n = wanted.count()
     if known is not None and not n:
         return known
