@@ -40,18 +40,18 @@ def write_logs(spark: SparkSession, sf_dir: str) -> str:
 
 def _sql() -> str:
     tables = [
-        ("latency", "l", "SELECT event_id % 5 AS f, second_s, floor(avg(p50))::bigint AS p50, floor(avg(p999))::bigint AS p999 FROM lat GROUP BY 1, 2"),
-        ("throughput", "t", "SELECT event_id % 5 AS f, second_s, sum(qps)::bigint AS qps FROM thr GROUP BY 1, 2"),
-        ("hardware", "h", "SELECT f, second_s, " + ", ".join(HARDWARE_COLUMNS) + " FROM hw_s"),
+        ("latency", "l", "SELECT event_id % 5 AS node, second_s, floor(avg(p50))::bigint AS p50, floor(avg(p999))::bigint AS p999 FROM lat GROUP BY 1, 2"),
+        ("throughput", "t", "SELECT event_id % 5 AS node, second_s, sum(qps)::bigint AS qps FROM thr GROUP BY 1, 2"),
+        ("hardware", "h", "SELECT node, second_s, " + ", ".join(HARDWARE_COLUMNS) + " FROM hw_s"),
     ]
-    hw_s = HW_S.replace("SELECT second_s, avg(cpu1)", "SELECT event_id % 5 AS f, second_s, avg(cpu1)").replace("GROUP BY 1)", "GROUP BY 1, 2)").replace(
-        "hw_s AS (SELECT second_s", "hw_s AS (SELECT f, second_s"
+    hw_s = HW_S.replace("SELECT second_s, avg(cpu1)", "SELECT event_id % 5 AS node, second_s, avg(cpu1)").replace("GROUP BY 1)", "GROUP BY 1, 2)").replace(
+        "hw_s AS (SELECT second_s", "hw_s AS (SELECT node, second_s"
     )
-    placed = ", ".join(f"{n} AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY second_s) - 1 AS i FROM ({body}))" for _, n, body in tables)
+    placed = ", ".join(f"{n} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY second_s) - 1 AS i FROM ({body}))" for _, n, body in tables)
     columns, joins = [], []
     for kind, n, _ in tables:
         for k in range(len(FOLDERS)):
-            joins.append(f"LEFT JOIN {n} AS {n}{k} ON {n}{k}.f = {k} AND {n}{k}.i = s.i")
+            joins.append(f"LEFT JOIN {n} AS {n}{k} ON {n}{k}.node = {k} AND {n}{k}.i = s.i")
             for c in KINDS[kind][2]:
                 columns.append(f"{n}{k}.{'second_s' if c == 'second' else c} AS {kind}_{k}_{c}")
     spine = " UNION ".join(f"SELECT i FROM {n}" for _, n, _ in tables)
