@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written_table
@@ -155,12 +156,15 @@ class _First(_Sets):
                 yield parcel_batch("hb", *parcels((columns[0] % np.uint64(self.buckets)).astype(np.int32), columns))
 
 
-class _SetRows(_Sets):
+class _Packed(_Sets):
+    """The texts that sets are made of again, packed: a quarter of the sets' own size."""
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in in_slices(batches, "text"):
-            wanted = batch.column("uid").to_pylist()
-            rows = [(wanted[i], s.tobytes()) for i, s in self.each(batch) if len(s) and identity(s) == wanted[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], []], (pa.int64(), pa.binary()))], names=["uid", "set"])
+            wanted, texts = batch.column("uid").to_pylist(), as_bytes(batch.column("text"))
+            rows = [(wanted[i], squeeze.compress(texts[i].lower())) for i, s in self.each(batch) if len(s) and identity(s) == wanted[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], []], (pa.int64(), pa.binary()))], names=["uid", "packed"])
 
 
 # ------------------------------------------------------------------- meeting by shingles
@@ -389,14 +393,23 @@ class _Propose:
 
 
 class _Verify:
-    def __init__(self, similar: Similarity) -> None:
-        self.similar = similar
+    """Whether the whole sets of each pair link."""
+
+    def __init__(self, width: int, similar: Similarity) -> None:
+        self.width, self.similar = width, similar
+
+    def sets(self, packed: dict[int, bytes]) -> dict[int, np.ndarray]:
+        open_ = zstandard.ZstdDecompressor()
+        words, at = hash_words([open_.decompress(x) for x in packed.values()])
+        return {u: shingle_set(words[i:j], self.width) for u, i, j in zip(packed, at[:-1], at[1:])}
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "packed_b", 1 << 20):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            held = self.sets(dict(zip(a, batch.column("packed_a").to_pylist())) | dict(zip(b, batch.column("packed_b").to_pylist())))
             fits = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(a, b):
+                s, t = held[x], held[y]
                 if len(s) > len(t):
                     s, t = t, s
                 overlap = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
@@ -457,9 +470,9 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "pairs")
         sets = _sets(rows, each, pairs, sets, width)
-        with_a = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), "a")
-        both = with_a.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), "b")
-        checked = written_table(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(similar), "a bigint, b bigint, links boolean"), "checked")
+        with_a = pairs.join(sets.select(F.col("uid").alias("a"), F.col("packed").alias("packed_a")), "a")
+        both = with_a.join(sets.select(F.col("uid").alias("b"), F.col("packed").alias("packed_b")), "b")
+        checked = written_table(both.select("a", "b", "packed_a", "packed_b").mapInArrow(_Verify(width, similar), "a bigint, b bigint, links boolean"), "checked")
         tried = checked if tried is None else tried.unionByName(checked)
         links = tried.where("links").select("a", "b")
         if not more:
@@ -473,8 +486,8 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
 
 
 def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
-    """uid and set of the sets in any pair, besides those that are known. Texts pass a
-    Bloom filter of the wanted ids (of bounded size) before they are shuffled to the
+    """uid and packed text of the sets in any pair, besides those that are known. Texts
+    pass a Bloom filter of the wanted ids (of bounded size) before they are shuffled to the
     exact join."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     if known is not None:
@@ -487,6 +500,6 @@ def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame |
     bloom = blocked_bloom(wanted, "doc_id", bits)
     h = F.xxhash64("doc_id")
     near = rows.withColumn("block", _block(h, bits)).join(F.broadcast(bloom), "block").where(might_hold(h)).select("doc_id", "text")
-    found = near.join(wanted, "doc_id").select("uid", "text").mapInArrow(_SetRows(width), "uid bigint, set binary")
-    fresh = written_table(found.dropDuplicates(["uid"]), "sets")
+    found = near.join(wanted, "doc_id").select("uid", "text").mapInArrow(_Packed(width), "uid bigint, packed binary")
+    fresh = written_table(found, "sets")  # a repeated row only repeats pairs
     return fresh if known is None else known.unionByName(fresh)
