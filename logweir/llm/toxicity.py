@@ -10,11 +10,12 @@ Features are present or not: every word (letters, lower case) and its beginnings
 The training rows choose ``FEATURES`` of them. Training uses at most ``TRAIN_ROWS``
 labelled documents, chosen by a hash of their id; scoring reads all words of all texts.
 The threshold of a category is where its out-of-fold predictions make the fewest errors,
-counting both kinds alike (F1), and at least even odds where few rows are positive.
+counting both kinds alike (F1), at least even odds where few rows are positive, and out of reach
+where hardly any row is on one side.
 
 Null and empty texts have no features. Rows are scored one by one; repeated rows score
 alike, extra columns stay. Labels of one document that disagree count as rows of their
-own. Without labelled rows nothing is toxic.
+own. Without labelled rows, or with next to none, nothing is toxic.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ FEATURES = 2_048
 FOLDS = 5
 #: With fewer positive rows than this a category's threshold is at least even odds.
 FEW = 20
+#: With fewer rows of either side than this a category rejects nothing.
+LEAST = 5
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7)
 _KEPT_WORDS = 300_000
@@ -160,7 +163,7 @@ class Chain:
         self.wanted = {int(f): i for i, f in enumerate(names[order[best[order] > 0]])}
 
     def _threshold(self, score: np.ndarray, y: np.ndarray) -> float:
-        if not 0 < y.sum() < len(y):
+        if not LEAST <= y.sum() <= len(y) - LEAST:
             self.folds_f1.append(float("nan"))
             return 20.0
         order = np.argsort(-score, kind="stable")
