@@ -13,10 +13,10 @@ points first meet by shingles: of the sets' shingles in hash order, the first
 eighth of ``n``). A document stays only if that many of its first shingles occur
 elsewhere; the rest, few, are grouped by shared shingles, and each group is an R-tree.
 
-A group first proposes each point to one leader only, so a group of near copies gives a
-star, not all pairs. What verification links is joined into components, and the groups
-propose the pairs that survive between different components, in rounds with doubled
-quota, until none is left. So every link between different sets decides, whatever the
+A group first proposes to each point only its ``NEAREST`` points by bound, so a group of
+near copies gives a few pairs for each, not all. What verification links is joined into
+components, and the groups propose the pairs that survive between different components,
+in rounds with doubled quota, until none is left. So every link between different sets decides, whatever the
 sizes of groups. Equal sets are one point from the start. A group above ``GROUP_MOST`` is
 cut into blocks, and each pair of blocks is a unit of work.
 
@@ -46,6 +46,7 @@ WIDTH = 5
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (75, 100)
 GROUP_MOST = 4096
+NEAREST = 3
 _ENTRY = ["<u8", "<i8", "<u4"]
 #: An entry with the number of sets that have its shingle among their first.
 _COUNTED = [*_ENTRY, "<u4"]
@@ -290,19 +291,21 @@ class CountTree:
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
             self.levels.append((top, low, high))
 
-    def search(self, n: int, vector: np.ndarray, similar: Similarity) -> np.ndarray:
-        """Points whose bound reaches the overlap that a set of ``n`` with this vector needs."""
+    def search(self, n: int, vector: np.ndarray, similar: Similarity) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose bound reaches the overlap that a set of ``n`` with this vector
+        needs, and how near the bound puts them (1: equal)."""
         least, most = similar.least_size(n), n * similar.den // similar.num
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             at = at[(high[at] >= least) & (low[at] <= most)]
             bound = np.minimum(top[at], vector).sum(1, dtype=np.int64)
-            at = at[bound >= similar.least_overlap(n + np.maximum(low[at], least))]
+            good = bound >= similar.least_overlap(n + np.maximum(low[at], least))
+            at, bound = at[good], bound[good]
             if depth:
                 at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
+        return self.order[at], 2 * bound / (n + self.levels[0][1][at])
 
 
 def _folded(vector: bytes, groups: int) -> np.ndarray:
@@ -312,7 +315,7 @@ def _folded(vector: bytes, groups: int) -> np.ndarray:
 
 def proposals(uids: np.ndarray, sizes: np.ndarray, points: list[bytes], parts: np.ndarray, similar: Similarity, quota: int | None, sides: np.ndarray | None = None):
     """(pairs, whether there are more): of points in different ``parts`` whose bound holds.
-    Without a quota each point is proposed to one leader at most."""
+    Without a quota those of each point and its nearest."""
     if len(uids) == 2:
         g = min(len(points[0]), len(points[1]))
         a, b = _folded(points[0], g), _folded(points[1], g)
@@ -320,22 +323,21 @@ def proposals(uids: np.ndarray, sizes: np.ndarray, points: list[bytes], parts: n
         fits = parts[0] != parts[1] and small >= similar.least_size(large) and np.minimum(a, b).sum() >= similar.least_overlap(small + large)
         return ([tuple(sorted(uids.tolist()))] if fits else []), False
     widths = np.array([len(p) for p in points])
-    pairs, taken, more = [], np.zeros(len(uids), bool), False
+    pairs, more = [], False
     for width in np.unique(widths):
         inside = np.flatnonzero((widths == width) | (widths == 2 * width))
         vectors = np.stack([_folded(points[i], width) for i in inside])
         tree = CountTree(sizes[inside], vectors)
         for q in np.flatnonzero(widths[inside] == width):
             i = inside[q]
-            if quota is None and taken[i]:
-                continue
-            found = inside[tree.search(int(sizes[i]), vectors[q], similar)]
-            found = found[(parts[found] != parts[i]) & ((widths[found] > width) | (found > i) | (quota is None))]
+            found, near = tree.search(int(sizes[i]), vectors[q], similar)
+            found = inside[found]
+            keep = (parts[found] != parts[i]) & ((widths[found] > width) | (found > i) | (quota is None))
             if sides is not None:
-                found = found[sides[found] != sides[i]]
+                keep &= sides[found] != sides[i]
+            found, near = found[keep], near[keep]
             if quota is None:
-                found = found[~taken[found] & (found != i)]
-                taken[found] = True
+                found = found[np.lexsort((uids[found], -near))[:NEAREST]]
             elif len(pairs) + len(found) > quota:
                 found, more = found[: quota - len(pairs)], True
             pairs += [(min(uids[i], uids[j]), max(uids[i], uids[j])) for j in found]
@@ -478,7 +480,7 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
         if not more:
             return links
         reached = components(links)
-        quota = 4 if quota is None else 2 * quota
+        quota = 32 if quota is None else 2 * quota
         joined = members.join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
         joined = joined.withColumn("part", F.coalesce("component", "uid")).drop("component")
         apart = joined.groupBy("gid").agg((F.min("part") != F.max("part")).alias("__apart")).where("__apart").select("gid")

@@ -86,7 +86,7 @@ def test_tree_leaves_out_no_pair(spark):
     sizes = np.array([len(s) for s in sets])
     tree = CountTree(sizes, vectors)
     for i, s in enumerate(sets):
-        hits = set(tree.search(int(sizes[i]), vectors[i], similar).tolist())
+        hits = set(tree.search(int(sizes[i]), vectors[i], similar)[0].tolist())
         for j, t in enumerate(sets):
             overlap = len(np.intersect1d(s, t))
             if similar.links(overlap, len(s) + len(t)):
