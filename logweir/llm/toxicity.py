@@ -8,14 +8,19 @@ uses all rows. A category that the training rows have only one side of gets a co
 
 Features are present or not: every word (letters, lower case) and its beginnings, hashed.
 The training rows choose ``FEATURES`` of them. Training uses at most ``TRAIN_ROWS``
-labelled documents, chosen by a hash of their id; scoring reads all words of all texts.
-The threshold of a category is where its out-of-fold predictions make the fewest errors,
-counting both kinds alike (F1), at least even odds where few rows are positive, and out of reach
-where hardly any row is on one side.
+labelled documents; scoring reads all words of all texts. Each combination of labels is
+sampled on its own, over all labels, by a hash of the id: an equal part of the rows for
+each, or the whole combination if it has fewer (what it leaves goes to the others), so
+rare labels are all read. Log odds are corrected for the uneven shares.
+
+The threshold of a category is where its out-of-fold predictions, weighted back to all
+labels, make the fewest errors, counting both kinds alike (F1). Where fewer than ``FEW``
+labels of the whole table are positive it is at least even odds among the training rows. Where
+labels have one side only, nothing can be told apart, and it is out of reach.
 
 Null and empty texts have no features. Rows are scored one by one; repeated rows score
 alike, extra columns stay. Labels of one document that disagree count as rows of their
-own. Without labelled rows, or with next to none, nothing is toxic.
+own. Without labelled rows, or with one side only, nothing is toxic.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +40,8 @@ from .common import hash_sample, in_slices
 TRAIN_ROWS = 6_000
 FEATURES = 2_048
 FOLDS = 5
-#: With fewer positive rows than this a category's threshold is at least even odds.
+#: With fewer positive labels than this a category's threshold is at least even odds.
 FEW = 20
-#: With fewer rows of either side than this a category rejects nothing.
-LEAST = 5
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7)
 _KEPT_WORDS = 300_000
@@ -114,15 +119,34 @@ def _ones(docs: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return rows, columns
 
 
+def _shift(y: np.ndarray, weights: np.ndarray) -> float:
+    """What to add to log odds among the training rows for those among all labels."""
+    on, off = (y > 0), (y == 0)
+    if not on.any() or not off.any() or (weights == weights[0]).all():
+        return 0.0
+    return float(np.log(weights[on].mean() / weights[off].mean()))
+
+
+def shares(counts: Sequence[int], rows: int) -> list[int]:
+    """How many of each class to read: equal parts of ``rows``, small classes whole."""
+    out, left = [0] * len(counts), rows
+    for k, i in enumerate(sorted(range(len(counts)), key=lambda i: counts[i])):
+        out[i] = min(counts[i], max(1, left // (len(counts) - k)))
+        left -= out[i]
+    return out
+
+
 class Chain:
     """The fitted chain: its features, a model and a threshold for each category."""
 
     def __init__(self, categories: Sequence[str]) -> None:
         self.categories, self.wanted, self.models, self.thresholds, self.folds_f1 = list(categories), {}, [], [], []
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
-        """``docs``: hashed features of each row; ``labels``: a column per category."""
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, weights: np.ndarray | None = None) -> Chain:
+        """``docs``: hashed features of each row; ``labels``: a column per category;
+        ``weights``: how many labels each row stands for."""
         n = len(docs)
+        weights = np.ones(n) if weights is None else weights
         self._choose(docs, labels)
         width = len(self.wanted)
         rows, columns = _ones([[self.wanted[f] for f in d.tolist() if f in self.wanted] for d in docs])
@@ -130,6 +154,7 @@ class Chain:
         for c in range(labels.shape[1]):
             y = labels[:, c].astype(float)
             out = np.zeros(n)
+            shift = _shift(y, weights)
             for fold in range(FOLDS):
                 held = folds == fold
                 if not held.any():
@@ -139,9 +164,11 @@ class Chain:
                 model = LinearModel().fit(index[rows[on]], columns[on], before[~held], y[~held], width)
                 index = np.cumsum(held) - 1
                 on = held[rows]
+                model.bias += shift
                 out[held] = model.score(index[rows[on]], columns[on], before[held], int(held.sum()))
             self.models.append(LinearModel().fit(rows, columns, before, y, width))
-            self.thresholds.append(self._threshold(out, y))
+            self.models[-1].bias += shift
+            self.thresholds.append(self._threshold(out, y, weights, shift))
             before = np.concatenate([before, out[:, None]], 1)
         return self
 
@@ -158,22 +185,23 @@ class Chain:
             p = y.mean()
             if 0 < p < 1:
                 positive = np.bincount(at, y[owner], len(names))
-                best = np.maximum(best, (positive - df * p) ** 2 / (df * p * (1 - p) + 1e-9) * (df >= 3))
+                best = np.maximum(best, (positive - df * p) ** 2 / (df * p * (1 - p) + 1e-9) * (df >= min(3, y.sum())))
         order = np.lexsort((names, -best))[:FEATURES]
         self.wanted = {int(f): i for i, f in enumerate(names[order[best[order] > 0]])}
 
-    def _threshold(self, score: np.ndarray, y: np.ndarray) -> float:
-        if not LEAST <= y.sum() <= len(y) - LEAST:
+    def _threshold(self, score: np.ndarray, y: np.ndarray, weights: np.ndarray, shift: float) -> float:
+        if not 0 < y.sum() < len(y):
             self.folds_f1.append(float("nan"))
             return 20.0
         order = np.argsort(-score, kind="stable")
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-        k = int(f1.argmax())
+        ranked, positive = score[order], (weights * y).sum()
+        f1 = 2 * np.cumsum((weights * y)[order]) / (np.cumsum(weights[order]) + positive)
+        ends = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))  # equal scores fall on one side
+        k = int(ends[f1[ends].argmax()])
         self.folds_f1.append(float(f1[k]))
-        low = score[order[k + 1]] if k + 1 < len(y) else score[order[k]] - 1
-        limit = float((score[order[k]] + low) / 2)
-        return limit if y.sum() >= FEW else max(limit, 0.0)
+        low = ranked[k + 1] if k + 1 < len(y) else ranked[k] - 1
+        limit = float((ranked[k] + low) / 2)
+        return limit if positive >= FEW else max(limit, shift)
 
     def scores(self, words: _Words, texts: Sequence[str | None]) -> np.ndarray:
         """Log odds of each text and category, down the chain."""
@@ -190,10 +218,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     marked = labels.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("__id"), *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(categories.values())]
     )
-    chosen = hash_sample(marked, F.col("__id"), rows)
+    names = [f"c{i}" for i in range(len(categories))]
+    classes = sorted(tuple(r) for r in marked.groupBy(*names).count().collect())  # bound: combinations of labels
+    parts = shares([c[-1] for c in classes], rows)
+    most = {c[:-1]: (part, c[-1] / part) for c, part in zip(classes, parts)}
+    chosen = marked.limit(0)
+    for c, part in zip(classes, parts):
+        mine = [F.col(name) == value for name, value in zip(names, c)]
+        chosen = chosen.unionByName(hash_sample(marked.where(reduce(and_, mine)), F.col("__id"), part))
     # bound: the number of training rows
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
-    names = [f"c{i}" for i in range(len(categories))]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -202,10 +236,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
             yield pa.RecordBatch.from_arrays([batch.column("__id"), *(batch.column(c) for c in names), pa.array(found, pa.binary())], names=["__id", *names, "f"])
 
     got = joined.mapInArrow(hashed, "__id bigint, " + "".join(f"{c} boolean, " for c in names) + "f binary").collect()
-    got = sorted(got, key=lambda r: (r["__id"], r["f"], *[r[c] for c in names]))[:rows]
+    got = sorted(got, key=lambda r: (r["__id"], r["f"], *[r[c] for c in names]))
+    read, kept = dict.fromkeys(most, 0), []
+    for r in got:  # rows of documents that repeat an id count within their combination's part
+        c = tuple(r[name] for name in names)
+        read[c] += 1
+        if read[c] <= most[c][0]:
+            kept.append(r)
+    got = kept
+    weights = np.array([most[tuple(r[c] for c in names)][1] for r in got], float)
     folds = np.array([zlib.crc32(str(r["__id"]).encode()) % FOLDS for r in got], np.int64)
     y = np.array([[r[c] for c in names] for r in got], bool).reshape(len(got), len(names))
-    return Chain(list(categories)).fit([np.frombuffer(r["f"], np.uint32) for r in got], y, folds)
+    return Chain(list(categories)).fit([np.frombuffer(r["f"], np.uint32) for r in got], y, folds, weights)
 
 
 def judged(docs: DataFrame, chain: Chain, rejecting: Sequence[str], text: str = "text", verdict: str = "toxic") -> DataFrame:

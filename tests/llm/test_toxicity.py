@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import words
-from logweir.llm.toxicity import LinearModel, Chain, judged, train
+from logweir.llm.toxicity import LinearModel, Chain, judged, shares, train
 
 INSULTS = ["zorgface", "blunthead", "grimwort", "snarlpig", "muckbrain"]
 
@@ -85,3 +85,19 @@ def test_later_links_use_earlier_ones():
     chain = Chain(["a", "b"]).fit(docs, np.stack([first, first], 1), np.arange(600) % 5)
     assert chain.models[1].dense.shape == (1,) and chain.models[1].dense[0] > 0
     assert LinearModel().fit(np.zeros(0, int), np.zeros(0, int), np.zeros((3, 0)), np.zeros(3), 4).bias == -6.0
+
+
+def test_rare_labels_are_all_read(spark):
+    """Hardly any draw of 300 labels in 4,000 would hold five of these eight; nor does a
+    small table have five."""
+    insult = lambda i: f"{text_of(i, False, False)} zorgface grimwort snarlpig"
+    rows = [(i, insult(i) if i % 500 == 3 or i >= 4000 else text_of(i, False, i % 3 == 0)) for i in range(4040)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = [(i, int(i % 3 != 0), int(i % 500 == 3)) for i in range(4000)]
+    two = [*labels[500:560], labels[3], labels[503]]
+    for given in (labels, two):
+        chain = train(docs, spark.createDataFrame(given, "doc_id bigint, quality int, toxic int"), categories(), rows=300)
+        got = judged(docs, chain, ["toxic"]).collect()
+        assert all(r["toxic"] for r in got if r["doc_id"] >= 4000)
+        assert sum(r["toxic"] for r in got if r["doc_id"] < 4000 and r["doc_id"] % 500 != 3) <= 20
+    assert shares([9000, 8, 500, 9000], 6000) == [2746, 8, 500, 2746] and shares([3, 4], 100) == [3, 4]
