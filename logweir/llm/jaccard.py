@@ -21,8 +21,9 @@ sizes of groups. Equal sets are one point from the start. A group above ``GROUP_
 cut into blocks, and each pair of blocks is a unit of work.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows have equal
-sets, so one component; an empty table gives no rows; extra columns are not read. Whole
-texts are used; words are split at ASCII white space and A-Z lower-cased.
+sets, so one component; an empty table gives no rows; extra columns are not read. Rows
+without an id link like others, and what they link is one component; its id is the
+smallest there is, null if all are null. Whole texts are used; words are split at ASCII white space and A-Z lower-cased.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ class _Sets:
 
 
 class _Points(_Sets):
-    """doc_id, uid (of the set), n and the point of each document."""
+    """doc_id, key, uid (of the set), n and the point of each document."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
@@ -125,8 +126,8 @@ class _Points(_Sets):
                 n.append(len(s))
                 points.append(point(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(uid, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary())],
-                names=["doc_id", "uid", "n", "point"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(uid, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary())],
+                names=["doc_id", "key", "uid", "n", "point"],
             )
 
 
@@ -158,14 +159,21 @@ class _First(_Sets):
 
 
 class _Packed(_Sets):
-    """The texts that sets are made of again, packed: a quarter of the sets' own size."""
+    """The texts that sets are made of again, packed, once per task for equal sets: a
+    quarter of the sets' own size."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
+        seen: set[int] = set()
         for batch in in_slices(batches, "text"):
-            wanted, texts = batch.column("uid").to_pylist(), as_bytes(batch.column("text"))
-            rows = [(wanted[i], squeeze.compress(texts[i].lower())) for i, s in self.each(batch) if len(s) and identity(s) == wanted[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], []], (pa.int64(), pa.binary()))], names=["uid", "packed"])
+            texts, rows = as_bytes(batch.column("text")), {}
+            for i, s in self.each(batch):
+                if len(s) and (u := identity(s)) not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(u)
+                    rows[u] = squeeze.compress(texts[i].lower())
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["uid", "packed"])
 
 
 # ------------------------------------------------------------------- meeting by shingles
@@ -438,14 +446,15 @@ def _units(members: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that a document reaches by links."""
     similar, buckets = Similarity(similarity), bucket_count(docs, 2)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    points = written_table(rows.mapInArrow(_Points(width), "doc_id bigint, uid bigint, n bigint, point binary"), "points")
+    # a row is found again by its key, as ids may be null or repeated
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    points = written_table(rows.mapInArrow(_Points(width), "doc_id bigint, key bigint, uid bigint, n bigint, point binary"), "points")
     parcel = "hb int, data binary"
     first = rows.select("text").mapInArrow(_First(width, similar, buckets), parcel)
     shared = in_buckets(first, "hb").mapInArrow(_Shared(buckets), parcel)
     enough = in_buckets(shared, "hb").mapInArrow(_Enough(similar, buckets), parcel)
     groups = in_buckets(enough, "hb").mapInArrow(_Groups(), "gid bigint, uid bigint").distinct()
-    each = points.where("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
+    each = points.where("uid is not null").groupBy("uid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("point").alias("point"))
     each = written_table(each, "sets-once")
     edges = _links(rows, written_table(groups, "members"), each, width, similar)
     reached = components(edges)
@@ -458,7 +467,7 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
 
 def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, similar: Similarity) -> DataFrame:
     """Verified links (a, b) between sets, enough for the components. ``members``: the
-    sets of every group; ``each``: id, size and point of every set."""
+    sets of every group; ``each``: a row's key, size and point of every set."""
     quota, tried, links, sets = None, None, None, None
     state = members.withColumn("part", F.col("uid"))
     while True:
@@ -488,20 +497,20 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
 
 
 def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
-    """uid and packed text of the sets in any pair, besides those that are known. Texts
-    pass a Bloom filter of the wanted ids (of bounded size) before they are shuffled to the
-    exact join."""
+    """uid and packed text of the sets in any pair, besides those that are known. Rows pass
+    a Bloom filter of the wanted keys (of bounded size) before their texts are packed and
+    shuffled to the exact join."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     if known is not None:
         wanted = wanted.join(known.select("uid"), "uid", "left_anti")
-    wanted = written_table(each.select("doc_id", "uid").join(wanted, "uid"), "wanted-sets")
+    wanted = written_table(each.select("key", "uid").join(wanted, "uid"), "wanted-sets")
     n = wanted.count()
     if known is not None and not n:
         return known
     bits = block_bits(n)
-    bloom = blocked_bloom(wanted, "doc_id", bits)
-    h = F.xxhash64("doc_id")
-    near = rows.withColumn("block", _block(h, bits)).join(F.broadcast(bloom), "block").where(might_hold(h)).select("doc_id", "text")
-    found = near.join(wanted, "doc_id").select("uid", "text").mapInArrow(_Packed(width), "uid bigint, packed binary")
-    fresh = written_table(found, "sets")  # a repeated row only repeats pairs
+    bloom = blocked_bloom(wanted, "key", bits)
+    h = F.xxhash64("key")
+    near = rows.withColumn("block", _block(h, bits)).join(F.broadcast(bloom), "block").where(might_hold(h)).select("text")
+    found = near.mapInArrow(_Packed(width), "uid bigint, packed binary").join(wanted.select("uid"), "uid", "left_semi")
+    fresh = written_table(found.dropDuplicates(["uid"]), "sets")  # equal rows have equal keys
     return fresh if known is None else known.unionByName(fresh)

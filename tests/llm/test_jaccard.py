@@ -102,3 +102,14 @@ def test_components(spark):
 def test_empty(spark):
     assert classes(spark.createDataFrame([], SCHEMA)).collect() == []
     assert found(spark, [(1, None), (2, ""), (3, "x")]) == [(1, 0, 1), (2, 0, 2), (3, 1, 3)]
+
+
+def test_rows_without_an_id_link(spark):
+    """A near copy without an id, two of them, and two documents that only such a row links."""
+    base = words(60, 80)
+    text = lambda k: " ".join(base[2 * k : 2 * k + 40])
+    docs = [(1, text(0)), (None, text(2)), (2, text(4)), (None, text(15)), (None, text(16)), (None, text(16)), (3, "a b c")]
+    assert found(spark, docs[:1] + docs[2:3]) == [(1, 36, 1), (2, 36, 2)]
+    expected = brute(docs)
+    assert (2, 36, 1) in expected and (None, 36, 1) in expected and (None, 36, None) in expected
+    assert found(spark, docs) == expected
