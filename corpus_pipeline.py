@@ -6,8 +6,8 @@ packed into sequences. All but the last stage return the columns of ``documents`
 
 Null texts are empty documents: never toxic, linked with nothing, without words to mix,
 so they end with the mixing. Rows without an id stay through the near-copy stage, as no
-id names them; rows that repeat an id there count as copies of one document. An empty
-table gives no rows at every stage; columns beyond ``documents`` are not handed on.
+id names them; rows that repeat an id count there by their own texts. An empty table
+gives no rows at every stage; columns beyond ``documents`` are not handed on.
 """
 
 from __future__ import annotations
@@ -31,11 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies; of several texts
+    with that id in the group, one."""
     docs = docs.select(*COLUMNS)
-    stay = jaccard.classes(docs).where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    linked = jaccard.keyed_classes(docs).where("class is not null and doc_id is not null")
+    stay = linked.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.doc_id", "least.key")
     named = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    first = docs.where(named).join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.where(named).withColumn("key", jaccard.row_key())
+    first = rows.join(stay.hint("merge"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).drop("key")
     return first.unionByName(docs.where(~named)).select(*COLUMNS)
 
 

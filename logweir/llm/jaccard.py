@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written_table
 from .common import (
@@ -445,9 +445,20 @@ def _units(members: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that a document reaches by links."""
+    return keyed_classes(docs, width, similarity, text, doc_id).select("doc_id", "n_shingles", "component_id")
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """Tells rows of different texts apart where ids are null or repeated."""
+    return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text))
+
+
+def keyed_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``classes`` with their ``key`` (see ``row_key``) and ``class``, the
+    component itself (null without shingles): components can have the same smallest id."""
     similar, buckets = Similarity(similarity), bucket_count(docs, 2)
     # a row is found again by its key, as ids may be null or repeated
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("key", row_key())
     points = written_table(rows.mapInArrow(_Points(width), "doc_id bigint, key bigint, uid bigint, n bigint, point binary"), "points")
     parcel = "hb int, data binary"
     first = rows.select("text").mapInArrow(_First(width, similar, buckets), parcel)
@@ -458,11 +469,11 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
     each = written_table(each, "sets-once")
     edges = _links(rows, written_table(groups, "members"), each, width, similar)
     reached = components(edges)
-    named = points.select("doc_id", "uid", "n").join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
-    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("class"))
+    named = points.select("doc_id", "key", "uid", "n").join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
+    named = named.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("class"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    linked = named.where("class is not null").join(least, "class").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(named.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = named.where("class is not null").join(least, "class").select("doc_id", "key", "class", "n_shingles", "component_id")
+    return linked.unionByName(named.where("class is null").select("doc_id", "key", "class", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, similar: Similarity) -> DataFrame:

@@ -85,3 +85,15 @@ def test_pipeline_takes_awkward_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Unrelated texts of one id both stay, unless the text is itself a near copy."""
+    from cases import words
+
+    one, two, three, four, five = (" ".join(words(seed, 60)) for seed in (301, 302, 303, 305, 306))
+    near = " ".join(one.split()[:56] + words(304, 4))
+    rows = [(1, one), (5, near), (5, two), (7, three), (7, three), (7, one), (8, three), (9, two), (20, four), (20, five)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], ", ".join(f"{c} {k}" for c, k in zip(corpus_pipeline.COLUMNS, ["bigint", "string", "string", "string", "bigint"])))
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, one), (5, two), (7, three), (20, four), (20, five)])
