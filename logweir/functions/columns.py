@@ -32,15 +32,25 @@ def utc_second(text: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def epoch_second(ts: Column | str) -> Column:
+    """Epoch seconds of an instant, or of a time without zone read as UTC.
+
+    ``typeof`` is known when the plan is made, so one of the branches is left.
+    """
+    ts = col_of(ts)
+    local = F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.when(F.typeof(ts) == "timestamp_ntz", local).otherwise(F.unix_seconds(ts.cast("timestamp")))
+
+
 def sheet_date(ts: Column | str) -> Column:
     """Unpadded date column of the report files, in UTC."""
-    date, *_ = utc_parts(F.unix_seconds(col_of(ts)))
+    date, *_ = utc_parts(epoch_second(ts))
     return F.concat(F.lpad(F.year(date).cast("string"), 4, "0"), F.lit("-"), F.concat_ws("-", F.month(date), F.day(date)))
 
 
 def sheet_time(ts: Column | str) -> Column:
     """Unpadded time column of the report files, in UTC."""
-    _, *clock = utc_parts(F.unix_seconds(col_of(ts)))
+    _, *clock = utc_parts(epoch_second(ts))
     return F.concat_ws(":", *clock)
 
 

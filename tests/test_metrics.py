@@ -159,6 +159,9 @@ def test_times_are_utc_in_any_session_zone(spark, zone):
             at = datetime.datetime.fromtimestamp(r.s, datetime.timezone.utc)
             assert r.iso == at.strftime("%Y-%m-%dT%H:%M:%SZ")
             assert r.d == f"{at.year:04d}-{at.month}-{at.day}" and r.t == f"{at.hour}:{at.minute}:{at.second}"
+        local = spark.createDataFrame([(datetime.datetime.fromtimestamp(s, datetime.timezone.utc).replace(tzinfo=None),) for s in seconds], "t timestamp_ntz")
+        got = sorted(tuple(r) for r in local.select(sheet_date("t"), sheet_time("t")).collect())
+        assert got == sorted((r.d, r.t) for r in rows)
         texts = spark.createDataFrame([("2016-03-13 02:30:00",), ("2016-03-13 03:30:00",), ("2016-02-30 00:00:00",)], "x string")
         got = [r[0] for r in texts.select(F.unix_seconds(utc_second(F.col("x")))).collect()]
         assert got == [1457836200, 1457839800, None]
