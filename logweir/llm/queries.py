@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import extraction, fingerprints, jaccard, licenses, mixing, negatives, neighbours, packing, substrings, toxicity, urls
+from . import bpe, extraction, fingerprints, jaccard, licenses, mixing, negatives, neighbours, packing, substrings, toxicity, urls
 from .common import table
 from .registry import query
 
@@ -208,3 +208,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seventh of the labels moved on by one, as the contract has it."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+# --------------------------------------------------------- 12: BPE encoding and decoding
+
+
+@query("op12_bpe_codec")
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = packing.word_vocabulary()
+    coded = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return bpe.decoded(coded, vocabulary).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
