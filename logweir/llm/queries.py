@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, extraction, fingerprints, jaccard, licenses, mixing, negatives, neighbours, packing, substrings, toxicity, urls
+from ..session import written_table
+from . import bpe, extraction, fingerprints, jaccard, licenses, mixing, negatives, neighbours, packing, substrings, toxicity, tries, urls
 from .common import table
 from .registry import query
 
@@ -221,3 +222,65 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+# ------------------------------------------------------------ 13: conversation prefix trie
+
+_OP13_SQL = """
+with recursive convs as (
+  select distinct conv_id from conversations where conv_id is not null
+), crc as (
+  select conv_id, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: case when x >= 0 then xor(s, x) else xor(s >> 1, 3988292384::bigint * (s & 1)) end) as s
+  from convs
+), planned as (
+  select conv_id, conv_id - conv_id % 5 as base, xor(s, 4294967295::bigint) % 9 as h from crc
+), turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as idx
+  from conversations where conv_id is not null
+), rebuilt as (
+  select p.conv_id, 0 as part, t.idx, t.role, t.text from planned p join turns t on t.conv_id = p.base and t.idx < p.h
+  union all select p.conv_id, 1, t.idx, t.role, t.text from planned p join turns t on t.conv_id = p.conv_id and t.idx >= p.h
+), placed as (
+  select conv_id, row_number() over (partition by conv_id order by part, idx) as depth, strlen(text) as bytes,
+    md5(length(role) || ':' || role || text) as turn from rebuilt
+), paths as (
+  select conv_id, depth, bytes, string_agg(turn, '') over (partition by conv_id order by depth) as path from placed
+  union all select conv_id, 0, 0, '' from convs
+), sized as (
+  select *, depth = max(depth) over (partition by conv_id) as ends from paths
+), nodes as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from sized group by depth, path
+), linked as (
+  select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes c where c.depth = n.depth + 1 and left(c.path, length(n.path)) = n.path) as n_children
+  from nodes n left join nodes p on p.depth = n.depth - 1 and p.path = left(n.path, length(p.path))
+), sums as (
+  select a.depth, a.path, sum((u.n_children = 0)::bigint) as n_leaves, sum((u.n_convs - 1) * u.bytes) as saved_tokens
+  from linked u join paths a on a.conv_id = u.conv_id and a.depth <= u.depth group by a.depth, a.path
+)
+select conv_id, n.depth::bigint as depth, parent_conv_id, n_convs, n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256
+from linked n join sums s on s.depth = n.depth and s.path = n.path
+"""
+
+
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and members of the conversations as the contract rebuilds them: the first
+    turns of the one whose id is divisible by five, then the own ones."""
+    turns = written_table(tries.ordered_turns(conversations), "ordered-turns")
+    lengths = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    first = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    own = lengths.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), first.alias("h"))
+    bases = lengths.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    plan = own.join(bases, "base", "left").withColumn("taken", F.least("h", F.coalesce("base_n", F.lit(0))))
+    heads = turns.where(F.col("idx") < 9).select(F.col("conv_id").alias("base"), "idx", "rec")
+    given = heads.join(plan, "base").where(F.col("idx") < F.col("h")).select("conv_id", "idx", "rec")
+    rest = turns.join(plan, "conv_id").where(F.col("idx") >= F.col("h")).select("conv_id", (F.col("idx") - F.col("h") + F.col("taken")).alias("idx"), "rec")
+    return given.unionByName(rest), lengths.select("conv_id")
+
+
+@query("op13_prefix_trie", _OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
