@@ -7,13 +7,13 @@ all new pieces of a slice of a partition at once:
 
 * symbols of all pieces stand in one linked row; pieces are apart in it;
 * an index maps each active rank (a pair that may be merged) to all its occurrences;
-* ranks are applied in ascending order, occurrences from left to right; a merge updates
-  the occurrence lists of the pairs at its two sides. Where that makes a pair of a rank
-  below the current one, that rank comes first, so every piece is always merged at its
-  lowest rank, leftmost first, whatever else is in the row.
+* ranks are applied in ascending order, each to all its occurrences at once (of those that
+  overlap, the leftmost); the occurrence lists of the pairs at both sides are updated. A
+  rank whose product is part of a lower rank goes one occurrence at a time, as that lower
+  rank then comes first. So every piece is always merged at its lowest rank, leftmost
+  first, whatever else is in the row.
 
-A merge costs a few list steps, so a text without white space of any length is no special
-case. Ids of words are kept between slices of one task (``KEPT`` bytes at most) and
+A merge costs a few steps, so a text without white space of any length is no special case. Ids of words are kept between slices of one task (``KEPT`` bytes at most) and
 dropped with it. Words are cut at ASCII white space only where the tokenizer drops white
 space; with another pre-tokenizer (``by_word=False``) whole texts are the unit.
 
@@ -30,6 +30,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -46,76 +47,94 @@ class PairIndex:
     """The merges of a vocabulary, applied to many pieces at once."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
-        self.ranks: dict[tuple[int, int], int] = {}
-        self.made: list[int] = []
+        ranks: dict[tuple[int, int], int] = {}
         for rank, (left, right) in enumerate(merges):
-            self.ranks[vocabulary[left], vocabulary[right]] = rank  # of a repeated pair, the last
-            self.made.append(vocabulary[left + right])
-
-    def merge(self, pieces: list[list[int]]) -> list[list[int]]:
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        for piece in pieces:
-            first, n = len(symbol), len(piece)
-            starts.append(first if n else _NONE)
-            symbol += piece
-            if n:
-                before += [_NONE, *range(first, first + n - 1)]
-                after += [*range(first + 1, first + n), _NONE]
-        rank_of, made = self.ranks.get, self.made
-        rank_at: list[int] = []
-        occurrences: dict[int, list[int]] = {}
-        for at, right in enumerate(after):
-            rank = rank_of((symbol[at], symbol[right]), _NONE) if right >= 0 else _NONE
-            rank_at.append(rank)
-            if rank >= 0:
-                occurrences.setdefault(rank, []).append(at)
-        active = list(occurrences)
+            ranks[vocabulary[left], vocabulary[right]] = rank  # of a repeated pair, the last
+        self.ranks = ranks
+        self.made = [vocabulary[left + right] for left, right in merges]
+        self.twins = {rank for (left, right), rank in ranks.items() if left == right}
+        # ranks whose product takes part in a lower rank: their merges go one at a time
+        lowest: dict[int, int] = {}
+        for pair, rank in ranks.items():
+            for part in pair:
+                lowest[part] = min(rank, lowest.get(part, rank))
+        self.early = {rank for rank in ranks.values() if lowest.get(self.made[rank], rank) < rank}
+        self.base = 1 + max(vocabulary.values(), default=0)
+        told = sorted((left * (self.base + 1) + right, rank) for (left, right), rank in ranks.items())
+        self._pairs = np.array([k for k, _ in told] + [2**62], np.int64)
+        self._ranks = np.array([r for _, r in told] + [_NONE], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * (self.base + 1) + right
+        at = self._pairs.searchsorted(pair)
+        return np.where(self._pairs[at] == pair, self._ranks[at], _NONE)
+
+    def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' symbols one after another, and each piece's number of them, in and
+        out. Place ``n`` stands beyond every piece and pairs with nothing."""
+        n = len(symbols)
+        symbol = np.append(symbols.astype(np.int64), self.base)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n] = n
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        filled = lengths > 0
+        after[ends[filled] - 1] = n
+        before[starts[filled]] = n
+        alive = np.ones(n, bool)
+        rank_at = np.append(self._rank(symbol[:n], symbol[after[:n]]), _NONE) if n else np.array([_NONE])
+        held = np.flatnonzero(rank_at >= 0)
+        held = held[np.argsort(rank_at[held], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank_at[held])) + 1
+        first: dict[int, np.ndarray] = {int(rank_at[g[0]]): g for g in np.split(held, cuts) if len(g)}
+        added: dict[int, list[int]] = {}  # occurrences that came with merges
+        active = list(first)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
-            places = occurrences.pop(rank)
-            places.sort()
-            product = made[rank]
-            for done, at in enumerate(places):
-                if rank_at[at] != rank:
-                    continue  # one of the two symbols has gone into another merge
-                gone = after[at]
-                symbol[at] = product
-                rank_at[gone] = _NONE
-                right = after[at] = after[gone]
-                left = before[at]
-                if right >= 0:
-                    before[right] = at
-                lowest = rank
-                for place, a, b in ((left, left, at), (at, at, right)):
-                    if place < 0:
-                        continue
-                    new = rank_of((symbol[a], symbol[b]), _NONE) if b >= 0 else _NONE
-                    rank_at[place] = new
-                    if new >= 0:
-                        if new in occurrences:
-                            occurrences[new].append(place)
-                        else:
-                            occurrences[new] = [place]
-                            heapq.heappush(active, new)
-                        lowest = min(lowest, new)
-                if lowest < rank:
-                    rest = places[done + 1 :]
-                    if rest:
-                        occurrences[rank] = occurrences.get(rank, []) + rest
-                        heapq.heappush(active, rank)
-                    break
-        out = []
-        for first in starts:
-            ids, at = [], first
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out.append(ids)
-        return out
+            places, more = first.pop(rank, None), added.pop(rank, None)
+            if more:
+                more = np.unique(np.array(more, np.int64))
+                places = more if places is None else np.union1d(places, more)
+            if places is None:
+                continue
+            places = places[rank_at[places] == rank]  # elsewhere a symbol has gone into another merge
+            if rank in self.twins and len(places) > 1:
+                places = _apart(places, after[places])
+            if rank in self.early and len(places) > 1:
+                added[rank] = places[1:].tolist()
+                heapq.heappush(active, rank)
+                places = places[:1]
+            if not len(places):
+                continue
+            gone = after[places]
+            right = after[gone]
+            symbol[places] = self.made[rank]
+            after[places], before[right] = right, places
+            left = before[places]  # now that occurrences next to each other are joined
+            alive[gone] = False
+            rank_at[gone] = _NONE
+            touched = np.concatenate([left, places])
+            new = self._rank(symbol[touched], symbol[after[touched]])
+            rank_at[touched] = new
+            hit = new >= 0
+            for r, at in zip(new[hit].tolist(), touched[hit].tolist()):
+                known = added.get(r)
+                if known is None:
+                    added[r] = [at]
+                    if r not in first:
+                        heapq.heappush(active, r)
+                else:
+                    known.append(at)
+        kept = np.concatenate([[0], np.cumsum(alive)])
+        return symbol[:n][alive], kept[ends] - kept[starts]
+
+
+def _apart(places: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Of occurrences in a row that share a symbol, the first, third and so on."""
+    chained = np.concatenate([[False], places[1:] == gone[:-1]])
+    number = np.arange(len(places))
+    return places[(number - np.maximum.accumulate(np.where(chained, 0, number))) % 2 == 0]
 
 
 class Codec:
@@ -140,6 +159,14 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         marks = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.marks = re.compile(f"({marks})") if marks else None
+        singles = {t: i for t, i in self.vocabulary.items() if len(t) == 1}
+        lasts = {t[0]: i for t, i in self.vocabulary.items() if len(t) == 1 + len(self.end) and t.endswith(self.end)}
+        size = 2 + max(map(ord, singles | lasts), default=0)  # the last place: any other character
+        self.inner, self.outer = np.full(size, _NONE), np.full(size, _NONE)
+        for table, known in ((self.inner, singles), (self.outer, lasts)):
+            for t, i in known.items():
+                table[ord(t)] = i
+        self.bulk = bool(self.normalizer and self.splitter) and [p for p, _ in self.splitter.pre_tokenize_str("a b")] == ["a", "b"]
         self.tokens = [""] * (1 + max([*self.vocabulary.values(), *self.special.values()], default=0))
         for token, number in (self.vocabulary | self.special).items():
             self.tokens[number] = token
@@ -155,18 +182,51 @@ class Codec:
                 out += [p for p, _ in self.splitter.pre_tokenize_str(plain)] if self.splitter else [plain]
         return out
 
-    def symbols(self, piece: str) -> list[int]:
-        """Single characters, the last with the mark of a word's end; unknown ones go."""
-        known = self.vocabulary.get
-        spelled = [*piece[:-1], piece[-1] + self.end]
-        return [i for i in map(known, spelled) if i is not None]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word; all different pieces are merged together."""
-        split = [self.pieces(w) for w in words]
+    def symbols(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Single characters of the pieces, each piece's last with the mark of a word's
+        end, and each piece's number of them; unknown ones go."""
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        inside = np.minimum(points, len(self.inner) - 1)
+        ids = self.inner[inside]
+        if len(pieces):
+            ids[ends - 1] = self.outer[inside[ends - 1]]
+        kept = np.concatenate([[0], np.cumsum(ids >= 0)])
+        return ids[ids >= 0], np.diff(kept[ends], prepend=0)
+
+    def split(self, words: list[str]) -> list[list[str | int]]:
+        """The pieces of each word. Words that are sure to stay one stretch between spaces
+        go through the library together."""
+        out: list[list[str | int] | None] = [None] * len(words)
+        together = [k for k, w in enumerate(words) if w and w.isprintable()] if self.bulk else []  # no white space of any kind
+        for at in range(0, len(together), 20_000):
+            group = together[at : at + 20_000]
+            text = " ".join([words[k] for k in group])
+            if self.marks and self.marks.search(text):
+                group = [k for k in group if not self.marks.search(words[k])]
+                text = " ".join([words[k] for k in group])
+            text = self.normalizer.normalize_str(text)
+            limits = np.cumsum([len(w) + 1 for w in text.split(" ")])
+            if len(limits) != len(group):
+                continue  # one by one, below
+            pieces = self.splitter.pre_tokenize_str(text)
+            for k in group:
+                out[k] = []
+            owners = limits.searchsorted([span[0] for _, span in pieces], side="right")
+            for owner, (piece, _) in zip(owners.tolist(), pieces):
+                out[group[owner]].append(piece)
+        return [self.pieces(w) if p is None else p for w, p in zip(words, out)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed; all different pieces are merged together."""
+        split = self.split(words)
         different = list({p: None for ps in split for p in ps if isinstance(p, str) and p})
-        merged = dict(zip(different, self.index.merge([self.symbols(p) for p in different])))
-        return [[i for p in ps for i in ([p] if isinstance(p, int) else merged.get(p, ()))] for ps in split]
+        ids, lengths = self.index.merge(*self.symbols(different))
+        packed, limits = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(lengths)])).tolist()
+        merged: dict[str | int, bytes] = {p: packed[a:b] for p, a, b in zip(different, limits, limits[1:])}
+        merged |= {number: number.to_bytes(4, "little") for number in self.special.values()}
+        merged[""] = b""
+        return [merged[ps[0]] if len(ps) == 1 else b"".join([merged[p] for p in ps]) for ps in split]
 
 
 class WordIds:
@@ -179,13 +239,12 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() if self.by_word else ([t] if t else []) for t in texts]
-        new = list(set().union(*split) - self.ids.keys())
         if self.size > self.most:
             self.ids, self.size = {}, 0
-            new = list(set().union(*split))
+        new = list(set().union(*split) - self.ids.keys())
         for word, ids in zip(new, self.codec.encode_words([w.decode("utf-8", "replace") for w in new])):
-            packed = self.ids[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-            self.size += len(word) + len(packed) + _WORD_COST
+            self.ids[word] = ids
+            self.size += len(word) + len(ids) + _WORD_COST
         known = self.ids.__getitem__
         for words in split:
             yield b"".join(map(known, words))
@@ -200,7 +259,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
-        for batch in in_slices(batches, last):
+        for batch in in_slices(batches, last, 8 << 20):
             words = words or WordIds(Codec(vocabulary), by_word)
             packed = list(words.of(as_bytes(batch.column(last))))
             limits = [0]

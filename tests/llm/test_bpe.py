@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from cases import SCHEMA, documents
 from hypothesis import given, settings, strategies as st
@@ -57,7 +58,10 @@ def test_any_order_of_merges(seed):
     vocabulary = {t: k for k, t in enumerate(dict.fromkeys([*"abcd", *tokens]))}
     index = PairIndex(vocabulary, merges)
     pieces = [[vocabulary[r.choice("abcd")] for _ in range(r.choice([0, 1, 2, 7, 40]))] for _ in range(30)]
-    assert index.merge(pieces) == [one_by_one(p, index.ranks, index.made) for p in pieces]
+    ids, lengths = index.merge(np.array([s for p in pieces for s in p], int), np.array([len(p) for p in pieces]))
+    ends = lengths.cumsum()
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == [one_by_one(p, index.ranks, index.made) for p in pieces]
+    assert index.merge(np.zeros(0, int), np.zeros(0, int))[0].tolist() == []
 
 
 @settings(max_examples=150, deadline=None)
