@@ -65,6 +65,24 @@ def stream_dedup(spark, sf_dir):
     return parse_payload(collected(spark, firsts, "dedup"), "value").select("msg")
 
 
+@query("stream_dedup_bloom", f"""{PLAIN} SELECT count(DISTINCT {group(2, R3)}) AS n_exact, 0 AS n_repeats, true AS within
+FROM l WHERE regexp_matches(line, '{R3}')""")
+def stream_dedup_bloom(spark, sf_dir):
+    """No repeat passes, and fewer first arrivals are lost than the filter's rate says."""
+    from logweir.operators.bloom import BloomTable
+    from logweir.operators.parsing import parse_payload
+
+    folder, rate = fresh_folder(spark, "bloom"), 0.01
+    exact = parse_payload(L.events(spark, sf_dir), anchored=True).agg(F.count_distinct("msg").alias("n")).first()["n"]
+    table = BloomTable(spark, f"{folder}/filter", max(1, exact), rate)
+    sink = st.bloom_dedup_sink(table, f"{folder}/out", ["event_id"], "payload_only")
+    st.each_batch(L.streamed_events(spark, sf_dir), sink, f"{folder}/checkpoint").awaitTermination()
+    passed = parse_payload(spark.read.parquet(f"{folder}/out"), "value").agg(F.count("*").alias("n"), F.count_distinct("msg").alias("d"))
+    return passed.select(
+        F.lit(exact).alias("n_exact"), (F.col("n") - F.col("d")).cast("int").alias("n_repeats"), (exact - F.col("d") <= rate * exact).alias("within"),
+    )
+
+
 @query("stream_time_match", f"""{PLAIN} SELECT DISTINCT {group(1, R2)}::BIGINT // 10 * 10 AS start_s, md5(line) AS key,
  {VALUE} AS value FROM l WHERE regexp_matches(line, '{R2}') AND contains({group(5, R2)}, 'IRQ')""")
 def stream_time_match(spark, sf_dir):

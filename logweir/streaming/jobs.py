@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import message_key, event_value
 from ..functions.patterns import MATCH_LITERAL
 from ..operators import counting, links
+from ..operators.bloom import BloomTable
 from ..operators.parsing import matching, parse_date, parse_dated, parse_payload
 from ..operators.windows import MICROS, micros, time_slot
 from ..plans.jobs import now_text
@@ -54,6 +55,22 @@ def dedup(
     )
 
 
+def bloom_dedup_sink(
+    table: BloomTable, out: str, order: list[str], mode: str = "entire_msg", line: str = "line",
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: approximate ``dedup`` whose state is a Bloom filter of a fixed
+    size. Messages that pass (key, value) go to a folder of ``out`` for each micro-batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_payload(batch.select(*order, line), line, anchored=True)
+        text = {"entire_msg": line, "payload_only": "msg"}[mode]
+        passed = table.admit(parsed, batch_id, text, order, ["epoch_s", line])
+        message = passed.select((F.col("epoch_s") * 1000).cast("string").alias("key"), F.col(line).alias("value"))
+        message.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
+
+
 def per_batch(write: Callable[[DataFrame, int], None], cols: list[str]) -> Callable:
     """For ``foreachBatch``: hands on the distinct rows of each micro-batch."""
     return lambda batch, batch_id: write(batch.select(*cols).dropDuplicates(cols), batch_id)
