@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweir.operators import panes as P, windows as W
-from logweir.operators.counting import within_bound
-from logweir.operators.parsing import parse_dated
+from logweir.operators import panes as P, sketch_tree as T, windows as W
+from logweir.operators.counting import with_unit, within_bound
+from logweir.operators.parsing import parse_date, parse_dated
+from logweir.session import written_table
 
 from . import lines as L
 from .registry import query
-from .window_queries import TIMED, sliding, sliding_rows_floor, start_s
+from .window_queries import PLACED_MSG, TIMED, sliding, sliding_rows_floor, start_s
 
 INDEXED = """WITH i AS (SELECT event_id, user_id, "value", event_type, row_number() OVER (ORDER BY event_id) - 1 AS i,
  count(*) OVER () AS n FROM events)"""
@@ -66,3 +67,23 @@ def time_window_panes_sketch(spark, sf_dir):
     exact = W.distinct_in_time_windows(rows, "ts", 86400, 3600, "msg").withColumnRenamed("n_distinct", "n_exact")
     both = start_s(about).join(start_s(exact), "start_s")
     return both.select("start_s", "n_exact", "n_rows", within_bound(F.col("about"), F.col("n_exact"), 5).alias("within"))
+
+
+@query("time_count_sketch", f"""{TIMED}, {sliding(86400, 3600, 'p', 'count(DISTINCT msg) AS n_exact, true AS within')}""")
+def time_count_sketch(spark, sf_dir):
+    """A day at every hour, from a tree of sketches, beside the exact counts."""
+    rows = parse_dated(L.events(spark, sf_dir))
+    about = start_s(T.sketched_in_time_windows(rows, "ts", 86400, 3600, "msg"))
+    exact = start_s(W.distinct_in_time_windows(rows, "ts", 86400, 3600, "msg")).withColumnRenamed("n_distinct", "n_exact")
+    both = exact.join(about, "start_s", "full")
+    return both.select("start_s", "n_exact", F.coalesce(within_bound(F.col("approx_distinct"), F.col("n_exact"), 3), F.lit(False)).alias("within"))
+
+
+@query("bucket_count_sketch", f"{PLACED_MSG}, {sliding_rows_floor(1000, 100, 'm', 'count(DISTINCT unit) AS n_exact, true AS within')}")
+def bucket_count_sketch(spark, sf_dir):
+    placed = with_unit(parse_date(W.indexed(L.events(spark, sf_dir), ["event_id"])), "payload")
+    placed = written_table(placed.select("row_idx", "row_total", "unit"), "placed-payloads")
+    about = T.sketched_in_count_windows(placed, 1000, 100)
+    exact = W.distinct_in_count_windows(placed, 1000, 100).withColumnRenamed("n_distinct", "n_exact")
+    both = exact.join(about, "window_id", "full")
+    return both.select("window_id", "n_exact", F.coalesce(within_bound(F.col("approx_distinct"), F.col("n_exact"), 3), F.lit(False)).alias("within"))
