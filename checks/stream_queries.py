@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweir.functions.columns import tokens
-from logweir.operators.counting import with_unit
+from logweir.operators.counting import dated_units, with_unit
 from logweir.operators.parsing import parse_date
 from logweir.plans import jobs
 from logweir.session import fresh_folder
 from logweir.sinks.keyed import KeyedTable
 from logweir.streaming import jobs as st
 from logweir.streaming.count_windows import DistinctPerCountWindow, MatchesPerCountWindow
+from logweir.streaming.distinct_bitmaps import DistinctBitmaps
 
 from . import lines as L
 from .parsing_queries import PLAIN, PROCESSED, R2, R3, VALUE, group
@@ -44,6 +45,21 @@ def stream_count(spark, sf_dir):
     return st.counts_of_first_seen(collected(spark, firsts, "count"))
 
 
+_MONTHS = "cast(year(make_timestamp(s*1000000)) AS INT) AS year, cast(month(make_timestamp(s*1000000)) AS INT) AS month"
+
+
+@query("stream_count_bitmaps", f"""{TOKENS}, u AS (SELECT {_MONTHS}, unit FROM t)
+SELECT year, month, count(DISTINCT unit) AS n_distinct FROM u GROUP BY ALL
+UNION ALL SELECT year, NULL, count(DISTINCT unit) FROM u GROUP BY ALL""")
+def stream_count_bitmaps(spark, sf_dir):
+    """Per month, and per year from the same bitmaps."""
+    folder = fresh_folder(spark, "bitmaps")
+    table = DistinctBitmaps(spark, f"{folder}/state", {"year": "int", "month": "int"}, lambda b: dated_units(b, "token"))
+    st.each_batch(L.streamed_events(spark, sf_dir), table, f"{folder}/checkpoint").awaitTermination()
+    years = table.counts(["year"]).withColumn("month", F.lit(None).cast("int"))
+    return table.counts().unionByName(years)
+
+
 @query("stream_distinct", f"""{PLAIN} SELECT count(*) AS attempted, count(*) AS parsed, true AS within FROM l""")
 def stream_distinct(spark, sf_dir):
     """Sketch per micro-batch, merged; compared with the exact count."""

@@ -9,9 +9,8 @@ batch or a later one, and a first arrival is dropped with a probability below ``
 at most ``n`` keys are held. A block of a filter for n keys holds about n / blocks of them,
 whatever their order or skew.
 
-Every batch writes the blocks it changed as a generation, named by the batch id and
-overwritten by a replay; a block's bits are those of its newest generation before the
-batch. After ``FOLD`` generations one holds all blocks, and what no replay reads goes.
+Every batch writes the blocks it changed as a generation; a block's bits are those of its
+newest generation before the batch. Now and then a generation holds all blocks.
 """
 
 from __future__ import annotations
@@ -23,11 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import drop_paths
+from ..sinks.generations import Generations
 from .dedup import first_by
 
 BLOCK_BITS = 1 << 20
-FOLD = 16
 #: Blocks are not filled evenly; this share of bits more keeps the fullest below ``p``.
 _MARGIN = 1.02
 
@@ -56,22 +54,11 @@ class BloomTable:
             raise ValueError("a block is whole bytes")
         self.spark, self.path, self.block_bits = spark, path, block_bits
         self.blocks, self.probes = bloom_size(n, p, block_bits)
-
-    _schema = "block bigint, bits binary, generation bigint"
+        self.state = Generations(spark, f"{path}/bits", "block bigint, bits binary, generation bigint")
 
     def bits(self, before: int) -> DataFrame:
         """block, bits of the filter as it was before batch ``before``."""
-        folders = self._kept(before)
-        if not folders:
-            return self.spark.createDataFrame([], self._schema).select("block", "bits")
-        held = self.spark.read.schema(self._schema).parquet(*folders)
-        return held.groupBy("block").agg(F.max_by("bits", "generation").alias("bits"))
-
-    def _kept(self, before: int) -> list[str]:
-        """The newest whole generation before a batch, and the changes since."""
-        whole, part = self._generations("whole"), self._generations("changed")
-        base = max((g for g in whole if g < before), default=-1)
-        return [self._folder("whole", base)] * (base >= 0) + [self._folder("changed", g) for g in part if base < g < before]
+        return self.state.read(before).groupBy("block").agg(F.max_by("bits", "generation").alias("bits"))
 
     def admit(self, rows: DataFrame, batch_id: int, key: Column | str, order: list[str], keep: list[str] = ()) -> DataFrame:
         """``order`` and ``keep`` of the first row of each key that the filter does not know
@@ -85,13 +72,11 @@ class BloomTable:
         told.write.mode("overwrite").parquet(path)
         stored = self.spark.read.schema(told.schema).parquet(path)
         changed = stored.where("bits is not null").select("block", "bits", F.lit(batch_id).cast("bigint").alias("generation"))
-        if len(self._kept(batch_id)) >= FOLD:
+        whole = self.state.due(batch_id)
+        if whole:
             old = self.bits(batch_id).join(changed.select("block"), "block", "left_anti")
-            old = old.withColumn("generation", F.lit(batch_id).cast("bigint"))
-            changed.unionByName(old).write.mode("overwrite").parquet(self._folder("whole", batch_id))
-            self._forget(batch_id)
-        else:
-            changed.write.mode("overwrite").parquet(self._folder("changed", batch_id))
+            changed = changed.unionByName(old.withColumn("generation", F.lit(batch_id).cast("bigint")))
+        self.state.put(changed, batch_id, whole)
         return stored.where("bits is null").select(*names)
 
     def _told(self, asked: DataFrame) -> str:
@@ -138,18 +123,3 @@ class BloomTable:
                 yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(share, pa.float64())], names=["block", "share"])
 
         return self.bits(before).mapInArrow(shares, "block bigint, share double")
-
-    def _folder(self, kind: str, generation: int) -> str:
-        return f"{self.path}/{kind}/generation-{generation}"
-
-    def _generations(self, kind: str) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n.partition("-")[2]) for n in names if n.startswith("generation-"))
-
-    def _forget(self, whole: int) -> None:
-        """Generations that a replay of the batch that wrote this one does not read."""
-        needed = set(self._kept(whole))
-        old = [self._folder(k, g) for k in ("whole", "changed") for g in self._generations(k) if g < whole]
-        drop_paths(self.spark, [f for f in old if f not in needed])

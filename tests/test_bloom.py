@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from logweir.operators import bloom
 from logweir.operators.bloom import BloomTable, bloom_size, key_bits
+from logweir.sinks import generations
 
 SCHEMA = "at bigint, text string, extra string"
 
@@ -41,7 +41,7 @@ def test_no_repeat_passes_and_few_firsts_are_lost(spark, tmp_path, p, block_bits
 
 
 def test_generations_are_folded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(bloom, "FOLD", 3)
+    monkeypatch.setattr(generations, "FOLD", 3)
     table = BloomTable(spark, str(tmp_path), 500, 0.001, 1 << 10)
     passed = []
     for k in [0, 1, 2, 5, 6, 7, 40, 41]:  # ids need not follow each other
@@ -50,8 +50,8 @@ def test_generations_are_folded(spark, tmp_path, monkeypatch):
             out = table.admit(spark.createDataFrame(rows, SCHEMA), k, "text", ["at"], ["text"]).collect()
         passed += [r["text"] for r in out]
     assert len(passed) == len(set(passed)) >= 59
-    assert len(table._generations("changed")) + len(table._generations("whole")) <= 2 * 3 + 2
-    assert len(table._kept(100)) <= 4
+    assert len(table.state.numbers("changed")) + len(table.state.numbers("whole")) <= 2 * 3 + 2
+    assert len(table.state.kept(100)) <= 4
 
 
 def test_null_texts_and_empty_batches(spark, tmp_path):
