@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 
 from logweir.functions.columns import tokens
 from logweir.operators.counting import dated_units, with_unit
-from logweir.operators.parsing import parse_date
+from logweir.operators.ordering import with_row_index
+from logweir.operators.parsing import parse_date, parse_dated
 from logweir.plans import jobs
 from logweir.session import fresh_folder
 from logweir.sinks.keyed import KeyedTable
 from logweir.streaming import jobs as st
 from logweir.streaming.count_windows import DistinctPerCountWindow, MatchesPerCountWindow
 from logweir.streaming.distinct_bitmaps import DistinctBitmaps
+from logweir.streaming.watermarked import DenseTimeWindows, TimeOrdered
 
 from . import lines as L
 from .parsing_queries import PLAIN, PROCESSED, R2, R3, VALUE, group
 from .registry import ORACLES, query
-from .window_queries import PLACED_MSG, PLACED_TIMED, TOKENS, sliding_rows_floor, start_s
+from .window_queries import PLACED_MSG, PLACED_TIMED, TIMED, TOKENS, sliding_rows_floor, start_s
 
 
 def collected(spark, stream, label, mode="append"):
@@ -162,6 +164,31 @@ def stream_bucket_match_sliding(spark, sf_dir):
     return sink.results().select("window_id", "key", "value")
 
 
+@query("stream_time_count_dense", f"""{TIMED}, c AS (SELECT s // 60 * 60 AS start_s, count(*) AS n FROM p GROUP BY 1)
+SELECT k.start_s, coalesce(n, 0) AS n FROM (SELECT unnest(range(min(start_s), (SELECT max(s) FROM p) - 3600 - 59, 60)) AS start_s FROM c) k
+ LEFT JOIN c USING (start_s)""")
+def stream_time_count_dense(spark, sf_dir):
+    """Rows per minute, minutes without rows too, up to an hour behind the newest."""
+    folder = fresh_folder(spark, "dense")
+    sink = DenseTimeWindows(spark, f"{folder}/windows", "ts", 60, delay=3600)
+    rows = parse_dated(L.streamed_events(spark, sf_dir)).select("ts")
+    st.each_batch(rows, sink, f"{folder}/checkpoint").awaitTermination()
+    return start_s(sink.results())
+
+
+@query("stream_time_ordered", f"""{PLAIN}, o AS (SELECT event_id, epoch_us(ts) // 1000000 + (user_id % 97 - 48) * 3600 AS t FROM events)
+SELECT event_id, t, row_number() OVER (ORDER BY t, event_id) - 1 AS place FROM o""")
+def stream_time_ordered(spark, sf_dir):
+    """Events up to two days early or late, in the order of their times over all batches."""
+    folder = fresh_folder(spark, "ordered")
+    shifted = F.unix_seconds(F.col("ts").cast("timestamp")) + (F.col("user_id") % 97 - 48) * 3600
+    rows = L.in_batches(spark, sf_dir, "events", "event_id").select("event_id", shifted.alias("t"))
+    sink = TimeOrdered(spark, f"{folder}/ordered", "event_id bigint, t bigint", lambda: F.col("t") * 1_000_000, ["event_id"], 4 * 86_400)
+    st.each_batch(rows, sink, f"{folder}/checkpoint").awaitTermination()
+    sink.finish()
+    return with_row_index(sink.results(), ["batch_id", "place"], index="at").select("event_id", "t", F.col("at").alias("place"))
+
+
 @query("stream_time_gap_count", f"""{TOKENS} SELECT s // 86400 * 86400 AS start_s, count(DISTINCT unit) AS n_distinct
 FROM t WHERE s % 86400 < 43200 AND s // 86400 * 86400 + 86400 <= (SELECT max(s) - 3600 FROM t) GROUP BY 1""")
 def stream_time_gap_count(spark, sf_dir):

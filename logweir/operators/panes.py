@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .counting import SKETCH_BITS
 from .windows import _complete, floor_div, indexed, micros
 
-_PANE, _BLOCK, _ID = "__pane", "__block", "__window_id"
+_PANE, _BLOCK = "__pane", "__block"
 
 
 @dataclass(frozen=True)
@@ -90,34 +90,12 @@ def over_panes(
     every window that holds a row. ``carried``: columns that are equal in all rows of a
     key, for ``keep``, a condition over window_id and them."""
     aggs = aggs | {name: Mergeable((F.max(c),), (F.max,)) for name, c in (carried or {}).items()}
-    names = {name: [f"__{k}_{i}" for i in range(len(agg.parts))] for k, (name, agg) in enumerate(aggs.items())}
-    parts = [p.alias(n) for name, agg in aggs.items() for p, n in zip(agg.parts, names[name])]
-    merges = [(m, n) for name, agg in aggs.items() for m, n in zip(agg.merges, names[name])]
     if slide >= length:  # a row lies in at most one window
         inside = rows.withColumn(_PANE, pane).where(F.pmod(F.col(_PANE), F.lit(slide)) < length)
-        merged = inside.groupBy(*keys, floor_div(F.col(_PANE), slide).alias(_ID)).agg(*parts)
+        merged = inside.groupBy(*keys, floor_div(F.col(_PANE), slide).alias("window_id")).agg(*_parts(aggs))
     else:
-        panes = rows.groupBy(*keys, pane.alias(_PANE)).agg(*parts).withColumn(_BLOCK, floor_div(F.col(_PANE), length))
-        block = Window.partitionBy(*keys, _BLOCK)
-        up, down = block.orderBy(F.asc(_PANE)), block.orderBy(F.desc(_PANE))
-        so_far = (Window.unboundedPreceding, Window.currentRow)
-        at, first = F.col(_PANE), F.col(_BLOCK) * length
-        both = panes.select(
-            *keys, _PANE, _BLOCK,
-            F.struct(*[m(n).over(up.rowsBetween(*so_far)).alias(n) for m, n in merges]).alias("__prefix"),
-            F.struct(*[m(n).over(down.rowsBetween(*so_far)).alias(n) for m, n in merges]).alias("__suffix"),
-            F.coalesce(F.lead(_PANE).over(up), first + length).alias("__next"), F.coalesce(F.lag(_PANE).over(up), first - 1).alias("__before"),
-        )
-        # windows that start after the pane before this one, and at this one at the latest
-        starts = _multiples(F.col("__before") + 1, at, slide)
-        # windows that end at this pane or later, before the next one, and start in the block before
-        ends = _multiples(F.greatest(at, first) - (length - 1), F.least(F.col("__next") - 1, first + length - 2) - (length - 1), slide)
-        served = both.select(*keys, F.explode(F.array(F.struct(starts.alias("ids"), F.col("__suffix").alias("part")), F.struct(ends.alias("ids"), F.col("__prefix").alias("part")))).alias("s"))
-        unrolled = served.select(*keys, F.explode("s.ids").alias(_ID), "s.part.*")
-        merged = unrolled.groupBy(*keys, _ID).agg(*[m(n).alias(n) for m, n in merges])
-    out = merged.withColumnRenamed(_ID, "window_id").select(
-        "window_id", *keys, *[agg.finish(*[F.col(n) for n in names[name]]).alias(name) for name, agg in aggs.items()]
-    )
+        merged = merged_panes(pane_parts(rows, pane, aggs, keys), length, slide, aggs, keys)
+    out = finished(merged, aggs, ["window_id", *keys])
     if first_id is not None:
         out = out.where(F.col("window_id") >= first_id)
     if keep is not None:
@@ -125,6 +103,61 @@ def over_panes(
     return out.drop(*(carried or {}))
 
 
+def _names(aggs: dict[str, Mergeable]) -> dict[str, list[str]]:
+    return {name: [f"__{k}_{i}" for i in range(len(agg.parts))] for k, (name, agg) in enumerate(aggs.items())}
+
+
+def _parts(aggs: dict[str, Mergeable]) -> list[Column]:
+    names = _names(aggs)
+    return [p.alias(n) for name, agg in aggs.items() for p, n in zip(agg.parts, names[name])]
+
+
+def _merges(aggs: dict[str, Mergeable]) -> list[tuple[Callable[[str], Column], str]]:
+    names = _names(aggs)
+    return [(m, n) for name, agg in aggs.items() for m, n in zip(agg.merges, names[name])]
+
+
+def pane_parts(rows: DataFrame, pane: Column, aggs: dict[str, Mergeable], keys: list[str] = ()) -> DataFrame:
+    """keys, __pane and the parts of every pane that holds a row."""
+    return rows.groupBy(*keys, pane.alias(_PANE)).agg(*_parts(aggs))
+
+
+def same_panes_merged(panes: DataFrame, aggs: dict[str, Mergeable], keys: list[str] = ()) -> DataFrame:
+    """One row per pane, of parts that several batches told of it."""
+    return panes.groupBy(*keys, _PANE).agg(*[m(n).alias(n) for m, n in _merges(aggs)])
+
+
+def finished(merged: DataFrame, aggs: dict[str, Mergeable], kept: list[str]) -> DataFrame:
+    names = _names(aggs)
+    return merged.select(*kept, *[agg.finish(*[F.col(n) for n in names[name]]).alias(name) for name, agg in aggs.items()])
+
+
+def merged_panes(panes: DataFrame, length: int, slide: int, aggs: dict[str, Mergeable], keys: list[str] = ()) -> DataFrame:
+    """window_id, keys and merged parts of every window that holds one of the panes."""
+    merges = _merges(aggs)
+    if slide >= length:
+        inside = panes.where(F.pmod(F.col(_PANE), F.lit(slide)) < length)
+        return inside.groupBy(*keys, floor_div(F.col(_PANE), slide).alias("window_id")).agg(*[m(n).alias(n) for m, n in merges])
+    panes = panes.withColumn(_BLOCK, floor_div(F.col(_PANE), length))
+    block = Window.partitionBy(*keys, _BLOCK)
+    up, down = block.orderBy(F.asc(_PANE)), block.orderBy(F.desc(_PANE))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    at, first = F.col(_PANE), F.col(_BLOCK) * length
+    both = panes.select(
+        *keys, _PANE, _BLOCK,
+        F.struct(*[m(n).over(up.rowsBetween(*so_far)).alias(n) for m, n in merges]).alias("__prefix"),
+        F.struct(*[m(n).over(down.rowsBetween(*so_far)).alias(n) for m, n in merges]).alias("__suffix"),
+        F.coalesce(F.lead(_PANE).over(up), first + length).alias("__next"), F.coalesce(F.lag(_PANE).over(up), first - 1).alias("__before"),
+    )
+    # windows that start after the pane before this one, and at this one at the latest
+    starts = _multiples(F.col("__before") + 1, at, slide)
+    # windows that end at this pane or later, before the next one, and start in the block before
+    ends = _multiples(at - (length - 1), F.least(F.col("__next") - 1, first + length - 2) - (length - 1), slide)
+    served = F.array(F.struct(starts.alias("ids"), F.col("__suffix").alias("part")), F.struct(ends.alias("ids"), F.col("__prefix").alias("part")))
+    unrolled = both.select(*keys, F.explode(served).alias("s")).select(*keys, F.explode("s.ids").alias("window_id"), "s.part.*")
+    return unrolled.groupBy(*keys, "window_id").agg(*[m(n).alias(n) for m, n in merges])
+
+
 def _multiples(low: Column, high: Column, by: int) -> Column:
     """The numbers k with low <= k * by <= high."""
     a, b = -floor_div(-low, by), floor_div(high, by)
