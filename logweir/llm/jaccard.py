@@ -13,10 +13,12 @@ points first meet by shingles: of the sets' shingles in hash order, the first
 eighth of ``n``). A document stays only if that many of its first shingles occur
 elsewhere; the rest, few, are grouped by shared shingles, and each group is an R-tree.
 
-A group first proposes to each point only its ``NEAREST`` points by bound, so a group of
+At first a set takes part in one group only, its largest, then its rarest, and a group
+proposes to each point its ``NEAREST`` points of other components by bound, so a group of
 near copies gives a few pairs for each, not all. What verification links is joined into
-components, and the groups propose the pairs that survive between different components,
-in rounds with doubled quota, until none is left. So every link between different sets decides, whatever the
+components. Then all groups propose the pairs that survive between different components,
+each pair in the first of the groups that both are in, until none is left (in rounds with
+doubled quota). So every link between different sets decides, whatever the
 sizes of groups. Equal sets are one point from the start. A group above ``GROUP_MOST`` is
 cut into blocks, and each pair of blocks is a unit of work.
 
@@ -48,6 +50,10 @@ WIDTH = 5
 SIMILARITY = (75, 100)
 GROUP_MOST = 4096
 NEAREST = 3
+#: Groups of a set that its rows carry, the smallest ids first.
+GROUPS_TOLD = 64
+#: Ids that a task remembers, so as not to tell them again; beyond that it starts anew.
+_REMEMBERED = 100_000
 _ENTRY = ["<u8", "<i8", "<u4"]
 #: An entry with the number of sets that have its shingle among their first.
 _COUNTED = [*_ENTRY, "<u4"]
@@ -145,7 +151,7 @@ class _First(_Sets):
             for _, s in self.each(batch):
                 if not len(s) or (u := identity(s)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > _REMEMBERED:
                     seen.clear()
                 seen.add(u)
                 first = s[: self.similar.first(len(s))]
@@ -169,7 +175,7 @@ class _Packed(_Sets):
             texts, rows = as_bytes(batch.column("text")), {}
             for i, s in self.each(batch):
                 if len(s) and (u := identity(s)) not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > _REMEMBERED:
                         seen.clear()
                     seen.add(u)
                     rows[u] = squeeze.compress(texts[i].lower())
@@ -263,7 +269,7 @@ class _Groups:
             gid = mix64(sums.astype(np.uint64)).view(np.int64) if len(new) else new
             for g, i, j in zip(gid.tolist(), new.tolist(), ends.tolist()):
                 if j - i > 1 and g not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > _REMEMBERED:
                         seen.clear()
                     seen.add(g)
                     gids.append(np.full(j - i, g, np.int64))
@@ -321,10 +327,18 @@ def _folded(vector: bytes, groups: int) -> np.ndarray:
     return v.astype(np.uint16) if len(v) == groups else v.reshape(-1, groups).sum(0, dtype=np.uint16)
 
 
-def proposals(uids: np.ndarray, sizes: np.ndarray, points: list[bytes], parts: np.ndarray, similar: Similarity, quota: int | None, sides: np.ndarray | None = None):
+def proposals(
+    uids: np.ndarray, sizes: np.ndarray, points: list[bytes], parts: np.ndarray, similar: Similarity, quota: int | None,
+    sides: np.ndarray | None = None, before: list[frozenset[int]] | None = None,
+):
     """(pairs, whether there are more): of points in different ``parts`` whose bound holds.
-    Without a quota those of each point and its nearest."""
+    Without a quota those of each point and its nearest. ``before``: each point's groups
+    that come before this one; points that share one of those are its pair to tell."""
+    if before is not None and not any(before):
+        before = None
     if len(uids) == 2:
+        if before is not None and not before[0].isdisjoint(before[1]):
+            return [], False
         g = min(len(points[0]), len(points[1]))
         a, b = _folded(points[0], g), _folded(points[1], g)
         small, large = sorted(sizes.tolist())
@@ -344,6 +358,9 @@ def proposals(uids: np.ndarray, sizes: np.ndarray, points: list[bytes], parts: n
             if sides is not None:
                 keep &= sides[found] != sides[i]
             found, near = found[keep], near[keep]
+            if before is not None and len(found):
+                keep = np.fromiter((before[i].isdisjoint(before[j]) for j in found), bool, len(found))
+                found, near = found[keep], near[keep]
             if quota is None:
                 found = found[np.lexsort((uids[found], -near))[:NEAREST]]
             elif len(pairs) + len(found) > quota:
@@ -370,13 +387,15 @@ class _Propose:
             if (parts == parts[0]).all():
                 continue
             points = table.column("point").to_pylist()
+            gid, gids = table.column("gid")[0].as_py(), table.column("gids").to_pylist()
+            before = [frozenset(g for g in gids[i] if g < gid) for i in first]
             side = table.column("side").to_numpy(zero_copy_only=False)[first]
             pairs, more = proposals(
                 uids, table.column("n").to_numpy()[first], [points[i] for i in first], parts, self.similar,
-                None if self.quota is None else self.quota * len(uids), side if (side != side[0]).any() else None,
+                None if self.quota is None else self.quota * len(uids), side if (side != side[0]).any() else None, before,
             )
             pairs = [p for p in pairs if p not in done]
-            if len(done) > 300_000:
+            if len(done) > _REMEMBERED:
                 done.clear()
             done.update(pairs)
             if pairs or more:
@@ -439,7 +458,7 @@ def _units(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((F.least(own, j) * blocks + F.greatest(own, j)).alias("unit"), F.when(j == own, 0).otherwise((own > j).cast("int")).alias("side")))
     return rows.select("*", F.explode(F.when(blocks > 1, every).otherwise(F.array(F.struct(F.lit(0).alias("unit"), F.lit(0).alias("side"))))).alias("__u")).select(
-        "gid", "uid", "n", "point", "part", F.col("__u.unit").alias("unit"), F.col("__u.side").alias("side")
+        "gid", "uid", "n", "point", "part", "gids", F.col("__u.unit").alias("unit"), F.col("__u.side").alias("side")
     )
 
 
@@ -479,9 +498,26 @@ def keyed_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, in
 def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, similar: Similarity) -> DataFrame:
     """Verified links (a, b) between sets, enough for the components. ``members``: the
     sets of every group; ``each``: a row's key, size and point of every set."""
-    quota, tried, links, sets = None, None, None, None
-    state = members.withColumn("part", F.col("uid"))
+    sized = members.join(members.groupBy("gid").agg(F.count("*").alias("m")), "gid")
+    place = F.struct("m", "gid")
+    own = written_table(sized.groupBy("uid").agg(
+        F.max(place).alias("largest"), F.min(place).alias("rarest"), F.slice(F.sort_array(F.collect_set("gid")), 1, GROUPS_TOLD).alias("gids")
+    ), "own-groups")
+    no_gids = F.array().cast("array<bigint>").alias("gids")
+    rounds = [own.select("uid", F.col(f"{g}.gid").alias("gid"), no_gids) for g in ("largest", "rarest")]
+    tried, sets, reached, turn, quota = None, None, None, 0, None
     while True:
+        if turn < len(rounds):
+            state = rounds[turn]
+        else:
+            state, quota = members.join(own.select("uid", "gids"), "uid"), 32 if quota is None else 2 * quota
+        if reached is None:
+            state = state.withColumn("part", F.col("uid"))
+        else:
+            joined = state.join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
+            joined = joined.withColumn("part", F.coalesce("component", "uid")).drop("component")
+            apart = joined.groupBy("gid").agg((F.min("part") != F.max("part")).alias("__apart")).where("__apart").select("gid")
+            state = joined.join(apart, "gid", "left_semi")
         proposed = _units(state.join(each.select("uid", "n", "point"), "uid")).repartition("gid", "unit").sortWithinPartitions("gid", "unit").mapInArrow(
             _Propose(similar, quota), "a bigint, b bigint, more boolean"
         )
@@ -500,11 +536,7 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
         if not more:
             return links
         reached = components(links)
-        quota = 32 if quota is None else 2 * quota
-        joined = members.join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
-        joined = joined.withColumn("part", F.coalesce("component", "uid")).drop("component")
-        apart = joined.groupBy("gid").agg((F.min("part") != F.max("part")).alias("__apart")).where("__apart").select("gid")
-        state = joined.join(apart, "gid", "left_semi")
+        turn += 1
 
 
 def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
