@@ -30,9 +30,9 @@ from ..session import written_table
 from .common import as_bytes, digits_for, in_slices, ranked_within
 
 SEQUENCE = 2048
-#: Words whose ids a worker keeps; beyond that it starts anew.
-_KEPT_WORDS = 400_000
-_KEPT_PIECES = 600_000
+#: Words and pieces whose ids a task keeps (some tens of MB); beyond that it starts anew.
+_KEPT_WORDS = 200_000
+_KEPT_PIECES = 200_000
 #: Words whose normal form is their lower case: printable ASCII and the letters of Latin-1
 #: and Latin Extended-A (without the dotted capital I, whose lower case is two characters).
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
@@ -102,6 +102,10 @@ class WordIds(dict):
         for (w, _), e in zip(rest, coded):
             self[w] = array("I", e.ids).tobytes()
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
         split = [t.split() for t in texts]
@@ -135,15 +139,18 @@ def tokenized_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(vocabulary)
-        for batch in in_slices(batches, "text"):
-            rows: list[tuple] = []
-            for d, ids in zip(batch.column("doc_id").to_pylist(), known.of(as_bytes(batch.column("text")))):
-                ids += end
-                for k in range(0, len(ids) // 4, sequence):
-                    part = ids[4 * k : 4 * (k + sequence)]
-                    row = (d, k // sequence, k, len(part) // 4, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        try:
+            for batch in in_slices(batches, "text"):
+                rows: list[tuple] = []
+                for d, ids in zip(batch.column("doc_id").to_pylist(), known.of(as_bytes(batch.column("text")))):
+                    ids += end
+                    for k in range(0, len(ids) // 4, sequence):
+                        part = ids[4 * k : 4 * (k + sequence)]
+                        row = (d, k // sequence, k, len(part) // 4, zlib.crc32(part))
+                        rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        finally:
+            known.forget()  # workers outlive tasks
 
     return kept.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ids_type)
 

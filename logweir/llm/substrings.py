@@ -230,8 +230,9 @@ def without_repeats(
         raise ValueError("a window has one word or more")
     period, buckets, owners = period_for(length), bucket_count(docs), bucket_count(docs, 2)
     more = [f"more{i}" for i in range(len(keep))]
+    # rows are known by id and text, as ids may be null or repeated
     rows = docs.select(
-        F.coalesce(F.col(doc_id), F.lit(-1)).cast("bigint").alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
+        F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text)).alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
         *[F.col(c).alias(m) for c, m in zip(keep, more)],
     )
     others = "".join(f", {m} {rows.schema[m].dataType.simpleString()}" for m in more)

@@ -44,7 +44,7 @@ FOLDS = 5
 FEW = 20
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7)
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from cases import SCHEMA, documents
+from cases import SCHEMA, documents, words
 from logweir.llm.substrings import COVERS, without_repeats
 
 
@@ -59,3 +59,29 @@ def test_few_words_many_repeats(spark, texts):
     expected = sorted((d, n, g, hashlib.sha256(k).hexdigest()) for d, n, g, k in brute(docs, 13))
     got = without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), 13, digest=True).collect()
     assert sorted(map(tuple, got)) == expected
+
+
+def test_rows_that_share_an_id_and_a_checksum(spark):
+    """Words of one are not taken for words of the other."""
+    from zlib import crc32
+
+    passage = words(50, 40)
+    held, other = " ".join(words(51, 5) + passage), " ".join(words(52, 45))
+    ends = {crc32(f"{held} x{k}".encode()): k for k in range(300_000)}
+    k, j = next((k, j) for j in range(300_000) if (k := ends.get(crc32(f"{other} y{j}".encode()))) is not None)
+    for shared in (7, None):
+        rows = [(shared, f"{held} x{k}"), (shared, f"{other} y{j}"), (9, " ".join(passage))]
+        got = without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_words", "n_removed").collect()
+        want = [(str(d), n, m) for d, n, m in brute_counts(rows)]
+        assert sorted((str(r[0]), r[1], r[2]) for r in got) == sorted(want) and sorted(m for *_, m in want) == [0, 40, 40]
+
+
+def brute_counts(rows, length=35):
+    split = [(d, t.split()) for d, t in rows]
+    times = {}
+    for _, w in split:
+        for i in range(len(w) - length + 1):
+            times[tuple(w[i : i + length])] = times.get(tuple(w[i : i + length]), 0) + 1
+    for d, w in split:
+        gone = {i + j for i in range(len(w) - length + 1) if times[tuple(w[i : i + length])] > 1 for j in range(length)}
+        yield d, len(w), len(gone)
