@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -67,10 +68,12 @@ def test_rows_that_share_an_id_and_a_checksum(spark):
 
     passage = words(50, 40)
     held, other = " ".join(words(51, 5) + passage), " ".join(words(52, 45))
-    ends = {crc32(f"{held} x{k}".encode()): k for k in range(300_000)}
-    k, j = next((k, j) for j in range(300_000) if (k := ends.get(crc32(f"{other} y{j}".encode()))) is not None)
+    r = random.Random(1)
+    tails = ["".join(r.choices("abcdefghijklmnop", k=10)) for _ in range(600_000)]
+    ends = {crc32(f"{held} {t}".encode()): t for t in tails[:300_000]}
+    j, k = next((t, known) for t in tails[300_000:] if (known := ends.get(crc32(f"{other} {t}".encode()))) is not None)
     for shared in (7, None):
-        rows = [(shared, f"{held} x{k}"), (shared, f"{other} y{j}"), (9, " ".join(passage))]
+        rows = [(shared, f"{held} {k}"), (shared, f"{other} {j}"), (9, " ".join(passage))]
         got = without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_words", "n_removed").collect()
         want = [(str(d), n, m) for d, n, m in brute_counts(rows)]
         assert sorted((str(r[0]), r[1], r[2]) for r in got) == sorted(want) and sorted(m for *_, m in want) == [0, 40, 40]
