@@ -185,19 +185,23 @@ class Codec:
     def symbols(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Single characters of the pieces, each piece's last with the mark of a word's
         end, and each piece's number of them; unknown ones go."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         points = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
         inside = np.minimum(points, len(self.inner) - 1)
         ids = self.inner[inside]
-        if len(pieces):
-            ids[ends - 1] = self.outer[inside[ends - 1]]
+        ids[ends - 1] = self.outer[inside[ends - 1]]
         kept = np.concatenate([[0], np.cumsum(ids >= 0)])
         return ids[ids >= 0], np.diff(kept[ends], prepend=0)
 
-    def split(self, words: list[str]) -> list[list[str | int]]:
-        """The pieces of each word. Words that are sure to stay one stretch between spaces
-        go through the library together."""
-        out: list[list[str | int] | None] = [None] * len(words)
+    def split(self, words: list[str]) -> tuple[list[int], list[str | int], list[int]]:
+        """The words in some order (their places), all their pieces in that order, and each
+        one's number of pieces. Words that are sure to stay one stretch between spaces go
+        through the library together."""
+        order: list[int] = []
+        flat: list[str | int] = []
+        counts: list[int] = []
         together = [k for k, w in enumerate(words) if w and w.isprintable()] if self.bulk else []  # no white space of any kind
         for at in range(0, len(together), 20_000):
             group = together[at : at + 20_000]
@@ -210,23 +214,29 @@ class Codec:
             if len(limits) != len(group):
                 continue  # one by one, below
             pieces = self.splitter.pre_tokenize_str(text)
-            for k in group:
-                out[k] = []
             owners = limits.searchsorted([span[0] for _, span in pieces], side="right")
-            for owner, (piece, _) in zip(owners.tolist(), pieces):
-                out[group[owner]].append(piece)
-        return [self.pieces(w) if p is None else p for w, p in zip(words, out)]
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, packed; all different pieces are merged together."""
-        split = self.split(words)
-        different = list({p: None for ps in split for p in ps if isinstance(p, str) and p})
+            order += group
+            flat += [piece for piece, _ in pieces]
+            counts += np.bincount(owners, minlength=len(group)).tolist()
+        for k in sorted(set(range(len(words))).difference(order)):
+            own = self.pieces(words[k])
+            order.append(k)
+            flat += own
+            counts.append(len(own))
+        return order, flat, counts
+
+    def encode_words(self, words: list[str]) -> tuple[list[int], list[bytes]]:
+        """The words in some order (their places) and the ids of each, packed; all different
+        pieces are merged together."""
+        order, flat, counts = self.split(words)
+        different = [p for p in dict.fromkeys(flat) if isinstance(p, str)]
         ids, lengths = self.index.merge(*self.symbols(different))
         packed, limits = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(lengths)])).tolist()
         merged: dict[str | int, bytes] = {p: packed[a:b] for p, a, b in zip(different, limits, limits[1:])}
         merged |= {number: number.to_bytes(4, "little") for number in self.special.values()}
-        merged[""] = b""
-        return [merged[ps[0]] if len(ps) == 1 else b"".join([merged[p] for p in ps]) for ps in split]
+        told = list(map(merged.__getitem__, flat))
+        ends = np.cumsum(counts, dtype=np.int64).tolist()
+        return order, [told[e - 1] if n == 1 else b"".join(told[e - n : e]) for e, n in zip(ends, counts)]
 
 
 class WordIds:
@@ -242,9 +252,9 @@ class WordIds:
         if self.size > self.most:
             self.ids, self.size = {}, 0
         new = list(set().union(*split) - self.ids.keys())
-        for word, ids in zip(new, self.codec.encode_words([w.decode("utf-8", "replace") for w in new])):
-            self.ids[word] = ids
-            self.size += len(word) + len(ids) + _WORD_COST
+        order, ids = self.codec.encode_words([w.decode("utf-8", "replace") for w in new])
+        self.ids.update(zip([new[k] for k in order], ids))
+        self.size += sum(map(len, new)) + sum(map(len, ids)) + _WORD_COST * len(new)
         known = self.ids.__getitem__
         for words in split:
             yield b"".join(map(known, words))
