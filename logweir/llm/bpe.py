@@ -29,6 +29,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -239,6 +240,12 @@ class Codec:
         return order, [told[e - 1] if n == 1 else b"".join(told[e - n : e]) for e, n in zip(ends, counts)]
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec for each worker process: its size is the file's, whatever the data."""
+    return Codec(path)
+
+
 class WordIds:
     """Ids of words as packed 32-bit numbers, kept up to a number of bytes."""
 
@@ -270,7 +277,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
         for batch in in_slices(batches, last, 8 << 20):
-            words = words or WordIds(Codec(vocabulary), by_word)
+            words = words or WordIds(codec_of(vocabulary), by_word)
             packed = list(words.of(as_bytes(batch.column(last))))
             limits = [0]
             for p in packed:
@@ -311,7 +318,7 @@ def decoded(coded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "te
         tokens = known = None
         for batch in batches:
             if tokens is None:
-                codec = Codec(vocabulary)
+                codec = codec_of(vocabulary)
                 tokens = pa.array(codec.tokens)
                 known = pa.array([t in codec.vocabulary or t in codec.special for t in codec.tokens])
             for part in _in_parts(batch, batch.column(at)):
