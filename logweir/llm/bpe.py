@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import as_bytes, in_slices
 
 #: Bytes of word ids that a task keeps.
-KEPT = 24 << 20
+KEPT = 16 << 20
 _WORD_COST = 200
 _NONE = -1
 
@@ -276,7 +276,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
-        for batch in in_slices(batches, last, 8 << 20):
+        for batch in in_slices(batches, last, 4 << 20):
             words = words or WordIds(codec_of(vocabulary), by_word)
             packed = list(words.of(as_bytes(batch.column(last))))
             limits = [0]
