@@ -67,23 +67,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
 ]
-#: Names of the hosts whose pages are listed: pill, casino, betting, spam and tracking sites.
-SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track)\."
+#: Pages are listed whose host joins words by a hyphen, as names bought for their search
+#: words do. Parts that start with xn-- are coded names, not joined words.
+CODED_PART = r"(^|\.)xn--[^.]*"
+JOINED_WORDS = "[^.:-]-[^.:-]"
 
 _OP1_SQL = r"""
 with split as (
-  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest,
+    case when instr(url, '://') > 0 then lower(substr(url, 1, instr(url, '://') - 1)) else '' end as scheme from pages
 ), parts as (
-  select page_id,
+  select page_id, scheme,
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
   from split
 ), named as (
-  select *, case when host <> '' then regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '\.$', '')
+  select *, case when host <> '' then regexp_replace(regexp_replace(host,
+        case scheme when 'http' then ':(80)?$' when 'https' then ':(443)?$' else ':$' end, ''), '\.$', '')
       || regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/$', '') end as canon
   from parts
 ), listed as (
-  select distinct canon from named where regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track)\.')
+  select distinct canon from named where regexp_matches(regexp_replace(host, '(^|\.)xn--[^.]*', '', 'g'), '[^.:-]-[^.:-]')
 ), judged as (
   select *, case
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
@@ -102,9 +106,10 @@ from judged j
 
 @query("op1_url_filter", _OP1_SQL)
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: addresses of pages on hosts named as spam."""
+    """The list: addresses of pages on hosts whose names join words."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(urls.host_of(F.col("url")).rlike(SPAM_HOST)).select("url")
+    parts = F.regexp_replace(urls.host_of(F.col("url")), CODED_PART, "")
+    listed = pages.where(parts.rlike(JOINED_WORDS)).select("url")
     return urls.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 

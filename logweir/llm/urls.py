@@ -11,7 +11,8 @@ Canonical form: host (A-Z lower-cased, without the port that its scheme has anyw
 dot at its end) and path; scheme, query, fragment, repeated slashes and one at the end
 are left off. A null address, or one without ``://``, has an empty host and path, fits no
 rule and is not listed. Repeated rows are judged one by one; ties between equally long
-rules go to the first. All columns of the input stay, but for those named like a result.
+rules go to the first. All columns of the input stay, but for those named like a result;
+names that start with two underscores are this module's own.
 """
 
 from __future__ import annotations
@@ -42,8 +43,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)?$", ""), r"\.$", "")
+def canonical(url: Column) -> Column:
+    host, path = host_of(url), path_of(url)
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    own_port = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", ""))
+    host = F.regexp_replace(own_port.otherwise(F.regexp_replace(host, ":$", "")), r"\.$", "")
     path = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "/$", "")
     return F.when(host != "", F.concat(host, path))
 
@@ -75,17 +79,17 @@ def _bit(h: Column, word: int) -> Column:
 
 
 def blocked_bloom(listed: DataFrame, key: str, bits: int) -> DataFrame:
-    """block and its eight words, for the blocks that are not empty: at most 2**bits rows,
+    """__block and its eight words, for the blocks that are not empty: at most 2**bits rows,
     combined before the shuffle by ``bit_or``."""
     h = F.xxhash64(key)
     one = F.lit(1).cast("bigint")
-    words = [F.bit_or(F.call_function("shiftleft", one, _bit(F.col("__h"), w))).alias(f"w{w}") for w in range(8)]
-    return listed.select(h.alias("__h")).select("__h", _block(F.col("__h"), bits).alias("block")).groupBy("block").agg(*words)
+    words = [F.bit_or(F.call_function("shiftleft", one, _bit(F.col("__h"), w))).alias(f"__w{w}") for w in range(8)]
+    return listed.select(h.alias("__h")).select("__h", _block(F.col("__h"), bits).alias("__block")).groupBy("__block").agg(*words)
 
 
 def might_hold(h: Column) -> Column:
     """Whether the words joined to a row have all bits of its hash."""
-    tests = [F.getbit(F.col(f"w{w}"), _bit(h, w)) == 1 for w in range(8)]
+    tests = [F.getbit(F.col(f"__w{w}"), _bit(h, w)) == 1 for w in range(8)]
     held = tests[0]
     for t in tests[1:]:
         held = held & t
@@ -110,21 +114,21 @@ def judge(
     keep = [c for c in pages.columns if c not in added]
     target = F.col(listed_url)
     names = written_table(
-        listed.select(canonical(host_of(target), path_of(target)).alias("__canon")).where("__canon is not null").distinct(), "listed-urls"
+        listed.select(canonical(target).alias("__canon")).where("__canon is not null").distinct(), "listed-urls"
     )
     bits = block_bits(names.count()) if bits is None else min(bits, MOST_BLOCK_BITS)
     bloom = blocked_bloom(names, "__canon", bits)
 
-    rows = pages.select(*keep).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    rows = pages.select(*keep, F.col(url).alias("__url")).withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     rule, said = rule_column(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "__said": said, "__canon": canonical(F.col("host"), F.col("path"))})
-    rows = rows.withColumn("__h", F.xxhash64("__canon")).withColumn("block", _block(F.col("__h"), bits))
+    rows = rows.withColumns({"rule": rule, "__said": said, "__canon": canonical(F.col("__url"))})
+    rows = rows.withColumn("__h", F.xxhash64("__canon")).withColumn("__block", _block(F.col("__h"), bits))
     # bound: 2**MOST_BLOCK_BITS rows of eight words
-    rows = rows.join(F.broadcast(bloom), "block", "left").withColumn("__maybe", might_hold(F.col("__h")) & F.col("__said").isNull())
+    rows = rows.join(F.broadcast(bloom), "__block", "left").withColumn("__maybe", might_hold(F.col("__h")) & F.col("__said").isNull())
     plain = [*keep, "host", "path", "rule"]
     settled = rows.where(~F.col("__maybe")).select(*plain, F.lit(False).alias("listed"), F.coalesce("__said", F.lit("allow")).alias("verdict"))
-    sure = names.withColumn("listed", F.lit(True))
+    sure = names.withColumn("__sure", F.lit(True))
     looked_up = rows.where("__maybe").join(sure, "__canon", "left").select(
-        *plain, F.coalesce("listed", F.lit(False)).alias("listed"), F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"),
+        *plain, F.coalesce("__sure", F.lit(False)).alias("listed"), F.when(F.col("__sure"), "block").otherwise("allow").alias("verdict"),
     )
     return settled.unionByName(looked_up)
