@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import hash_words, in_slices, mix64
 
@@ -199,6 +199,17 @@ def in_order(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFr
     return rows, sorted({int(c) for c in cuts})
 
 
+def range_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the cuts lie below an id, by halving: one literal however many there
+    are. A null id is in the first range."""
+    if not cuts:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    below = lambda at, step: F.get(held, at + step - 1) < doc_id  # noqa: E731  (null beyond the last)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at)).cast("int")
+
+
 def versions(docs: DataFrame, edit=None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every document with its fingerprint, its edited text's, and how alike it is to the
     edited text and to the next document.
@@ -207,29 +218,22 @@ def versions(docs: DataFrame, edit=None, text: str = "text", doc_id: str = "doc_
     code points is replaced by as many, or all, of the start of the next document."""
     edit = edit or replaced_tail
     rows, cuts = in_order(docs, text, doc_id)
-    # bound: one cut per shuffle partition
-    part = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        part = F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))
-        part = F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(part), F.lit(0))
-    dealt = rows.withColumn("part", part.cast("int"))
+    dealt = rows.withColumn("part", range_of(F.col("doc_id"), cuts))
     lead = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id")
-    firsts = {r["part"]: r["lead"]["doc_id"] for r in dealt.groupBy("part").agg(F.min(lead).alias("lead")).collect()}
+    # bound: one row per range
+    firsts = sorted((r["part"], r["lead"]["doc_id"]) for r in dealt.groupBy("part").agg(F.min(lead).alias("lead")).collect())
     if not firsts:
         return spark_empty(docs.sparkSession)
-    order = sorted(firsts)
     # the first document of a range is also sent to the range before, and the first of all to the last
-    previous = {p: order[k - 1] for k, p in enumerate(order)}
-    to = F.create_map(*[x for p, q in previous.items() for x in (F.lit(p), F.lit(q))])[F.col("part")]
-    is_first = F.lit(False)
-    for p, d in firsts.items():
-        is_first = is_first | ((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(d).cast("bigint")))
+    heading = [(part, lead_id, firsts[k - 1][0]) for k, (part, lead_id) in enumerate(firsts)]
+    heading = docs.sparkSession.createDataFrame(heading, "part int, lead_id bigint, to int")
+    # bound: one row per range
+    leading = dealt.join(F.broadcast(heading), "part").where(F.col("doc_id").eqNullSafe(F.col("lead_id")))
     digest = F.md5("text")
-    least = dealt.where(is_first).groupBy("part").agg(F.min(digest).alias("__least"))
-    heads = dealt.where(is_first).join(F.broadcast(least), "part").where(digest == F.col("__least"))  # bound: one row per range
-    heads = heads.groupBy("part").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    ahead = heads.select("doc_id", "text", to.cast("int").alias("part"), F.lit(1).alias("ahead"))
+    least = leading.groupBy("part").agg(F.min(digest).alias("__least"))
+    heads = leading.join(F.broadcast(least), "part").where(digest == F.col("__least"))  # bound: one row per range
+    heads = heads.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    ahead = heads.select("doc_id", "text", F.col("to").alias("part"), F.lit(1).alias("ahead"))
     both = dealt.select("doc_id", "text", "part", F.lit(0).alias("ahead")).unionByName(ahead)
     ranged = both.repartition("part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), digest)
     return ranged.mapInArrow(_Pairs(edit), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cases import SCHEMA, documents, words
-from logweir.llm.fingerprints import BASE_CELLS, differences, likenesses, paragraph_digests, peel, sketches, versions
+from logweir.llm.fingerprints import BASE_CELLS, differences, likenesses, paragraph_digests, peel, range_of, sketches, versions
 
 
 def test_rows_against_a_walk(spark):
@@ -62,3 +64,40 @@ def test_one_edit_changes_few_paragraphs(spark):
     digests, at = paragraph_digests([" ".join(base).encode(), " ".join(changed).encode(), b"", b"\n \n"])
     assert likenesses(digests, at, [(0, 1), (0, 2), (2, 2), (2, 3)])[0] > 0.9
     assert likenesses(digests, at, [(0, 2), (2, 2), (2, 3)]) == [0.0, 1.0, 0.0]
+
+
+def test_ranges_however_many_partitions(spark):
+    docs = spark.createDataFrame([*documents(), *[(None, f"no id {k % 7}", None, None, 1, "x") for k in range(40)]], SCHEMA)
+    few = sorted(map(tuple, versions(docs).collect()), key=repr)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        many = sorted(map(tuple, versions(docs.coalesce(2)).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert many == few and len(few) == docs.count()
+
+
+def test_range_of_an_id(spark):
+    for cuts in ([], [5], [-3, 0, 9], list(range(0, 5000, 7))):
+        rows = spark.range(-20, 5100, 3).select("id", range_of(F.col("id"), cuts).alias("part")).collect()
+        assert all(r["part"] == bisect.bisect_left(cuts, r["id"]) for r in rows)
+    null = F.lit(None).cast("bigint")
+    assert spark.range(1).select(range_of(null, [1, 2]).alias("p")).first()["p"] == 0
+
+
+def test_likeness_is_that_of_the_paragraph_sets(spark):
+    docs = [(d[0], d[1] or "") for d in documents()[:14]]
+    got = {r["doc_id"]: r for r in versions(spark.createDataFrame(documents()[:14], SCHEMA)).collect()}
+
+    def like(a, b):
+        digests, at = paragraph_digests([a.encode(), b.encode()])
+        left, right = set(digests[at[0] : at[1]].tolist()), set(digests[at[1] : at[2]].tolist())
+        return 2.0 * len(left & right) / (len(left) + len(right)) if left or right else 1.0
+
+    for k, (i, text) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        q = len(text) // 4
+        edited = text[: len(text) - q] + following[:q] if q else text
+        assert abs(got[i]["near_edited"] - like(text, edited)) < 1e-12
+        assert abs(got[i]["near_next"] - like(text, following)) < 1e-12
