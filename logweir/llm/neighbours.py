@@ -11,13 +11,16 @@ The index: a kd-tree over a bounded sample (``SAMPLE`` vectors by hash of their
 most ``MOST_CELLS`` cells) cuts the projected space into cells, and every vector of the
 table goes to its cell; a cell with more than ``BLOCK`` vectors is dealt into blocks by
 hash, so vectors that lie together are no hot spot. Each block holds a kd-tree of its own.
+More than ``QUERY_BLOCK`` queries are dealt into blocks too, each of which meets the index.
 Queries first search one block of their own cell for a bound, then all blocks whose cell
 the bound's projected radius reaches; the best of all blocks are merged.
 
 Vectors that are null, zero or hold null or non-finite components, that have a null id,
 or another length than most, take no part. Distances are Euclidean, in double precision;
-ties go to the smaller id. Rows that share the query's id are its own. An empty table
-gives no rows; extra columns are not read.
+ties go to the smaller id. Rows that share the query's id are its own. Rows equal in id
+and vector are one row; rows that share an id with different vectors are rows of their
+own, and a pair of ids at one distance is returned once. An empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ SURE = 0.98
 SAMPLE = 16_384
 MOST_CELLS = 512
 BLOCK = 8_192
+QUERY_BLOCK = 8_192
 LEAF = 256
 
 
@@ -188,11 +192,11 @@ def search(
                     names=["vec_id", "v", "cell"],
                 )
 
-    index = written_table(rows.mapInArrow(place, "vec_id bigint, v binary, cell int"), "vector-cells")
+    index = written_table(rows.mapInArrow(place, "vec_id bigint, v binary, cell int").distinct(), "vector-cells")
     # bound: one count per cell
     blocks = {r["cell"]: -(-r["n"] // BLOCK) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     per_cell = F.create_map(*[x for c, n in blocks.items() for x in (F.lit(c), F.lit(n))]) if blocks else F.create_map().cast("map<int,int>")
-    block = F.pmod(F.xxhash64("vec_id"), F.element_at(per_cell, F.col("cell"))).cast("int")
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(per_cell, F.col("cell"))).cast("int")
     indexed = index.withColumn("block", block).groupBy("cell", "block")
     queries = written_table(index.where(is_query), "queries")  # a table of its own: cogroup cannot tell two uses of one apart
 
@@ -236,7 +240,10 @@ def search(
                 )
 
     asked = bounded.mapInArrow(spread, "vec_id bigint, v binary, bound double, cell int, block int")
-    everywhere = indexed.cogroup(asked.groupBy("cell", "block")).applyInArrow(lambda t, a: found(t, a), result)
+    shares = max(1, -(-queries.count() // QUERY_BLOCK))
+    repeated = index.withColumn("block", block).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    asked = asked.withColumn("share", F.pmod(F.xxhash64("v", "vec_id"), F.lit(shares)).cast("int")).groupBy("cell", "block", "share")
+    everywhere = repeated.groupBy("cell", "block", "share").cogroup(asked).applyInArrow(lambda t, a: found(t, a), result)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = everywhere.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -60,3 +60,20 @@ def test_rows_that_take_no_part(spark):
 def test_chi_square():
     assert abs(chi_square_cdf(18.307, 10) - 0.95) < 1e-4
     assert abs(chi_square_point(0.95, 10) - 18.307) < 1e-2
+
+
+def test_repeated_rows_take_no_places(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
+    rows = vectors(300, 8)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    hot = plain.where("vec_id in (1, 2, 3, 10)").withColumn("__n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("__n")
+    expected = sorted((r[0], r[1], r[2]) for r in search(plain, F.col("vec_id") % 10 == 0).collect())
+    got = sorted((r[0], r[1], r[2]) for r in search(plain.unionByName(hot), F.col("vec_id") % 10 == 0).collect())
+    assert got == expected and len(got) == 300
+
+
+def test_one_id_with_many_vectors(spark):
+    rows = [(0, [0.0, 1.0], 0, 1), *[(1, [float(k), 2.0], 0, 1) for k in range(4)], (2, [0.0, 9.0], 0, 1)]
+    got = search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
