@@ -64,13 +64,17 @@ def ranked_within(
 
 
 def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """``rows`` rows (all, if fewer) by a hash of ``key``, for fitting. A share of the
-    hashes goes ahead of the ordering, so that what reaches one place is bounded however
-    many tasks there are."""
-    h, n = F.xxhash64(key), df.count()
+    """One row of each of ``rows`` keys (of all, if fewer) by a hash of ``key``, for
+    fitting; of rows that share a key, the least. The share of hashes that goes ahead of
+    the ordering follows from the number of keys, not of rows, so repeated keys neither
+    empty nor fill the sample, and what reaches one place is bounded however many tasks
+    there are."""
+    h = F.xxhash64(key)
+    n = df.agg(F.approx_count_distinct(h)).first()[0]
     share = (2 * rows + 1000) / max(1, n)
     kept = df if share >= 1 else df.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
-    return kept.orderBy(h, key).limit(rows)
+    each = kept.distinct().groupBy(h.alias("__h")).agg(F.min(F.struct(*df.columns)).alias("__row"))
+    return each.orderBy("__h").limit(rows).select("__row.*")
 
 
 # ------------------------------------------------------------------------- word hashes

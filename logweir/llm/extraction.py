@@ -336,7 +336,7 @@ def extract(pages: DataFrame, html: str = "html", training: DataFrame | None = N
     source = pages if training is None else training
     # equal pages count once
     short = source.where(F.length(html).between(1, SAMPLE_CHARS)).select(F.col(html).alias("html"))
-    sample = hash_sample(short, F.col("html"), 4 * SAMPLE_PAGES).distinct().orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    sample = hash_sample(short, F.col("html"), SAMPLE_PAGES).orderBy(F.xxhash64("html"), "html").collect()
     model = fit([r["html"] for r in sample])
     keep = [c for c in pages.columns if c not in (html, result, "n_chars")]
     schema = pages.select(*keep).schema

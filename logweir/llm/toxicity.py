@@ -14,13 +14,14 @@ each, or the whole combination if it has fewer (what it leaves goes to the other
 rare labels are all read. Log odds are corrected for the uneven shares.
 
 The threshold of a category is where its out-of-fold predictions, weighted back to all
-labels, make the fewest errors, counting both kinds alike (F1). Where fewer than ``FEW``
-labels of the whole table are positive it is at least even odds among the training rows. Where
-labels have one side only, nothing can be told apart, and it is out of reach.
+labels, make the fewest errors, counting both kinds alike (F1), drawn towards even odds
+among the training rows where it lies below them: as if ``FEW`` more positive labels of the
+whole table said so. The pull fades as positive labels grow in number. Where labels have
+one side only, nothing can be told apart, and it is out of reach.
 
 Null and empty texts have no features. Rows are scored one by one; repeated rows score
-alike, extra columns stay. Labels of one document that disagree count as rows of their
-own. Without labelled rows, or with one side only, nothing is toxic.
+alike, extra columns stay. Repeated labels count once; labels of one document that
+disagree count as rows of their own. Of texts that share a labelled id, one trains. Without labelled rows, or with one side only, nothing is toxic.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from .common import hash_sample, in_slices
 TRAIN_ROWS = 6_000
 FEATURES = 2_048
 FOLDS = 5
-#: With fewer positive labels than this a category's threshold is at least even odds.
-FEW = 20
+#: Positive labels that the pull of thresholds towards even odds weighs as much as.
+FEW = 20.0
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7)
 _KEPT_WORDS = 100_000
@@ -201,7 +202,8 @@ class Chain:
         self.folds_f1.append(float(f1[k]))
         low = ranked[k + 1] if k + 1 < len(y) else ranked[k] - 1
         limit = float((ranked[k] + low) / 2)
-        return limit if positive >= FEW else max(limit, shift)
+        # the fewer positives, the nearer to even odds at least
+        return float((positive * limit + FEW * max(limit, shift)) / (positive + FEW))
 
     def scores(self, words: _Words, texts: Sequence[str | None]) -> np.ndarray:
         """Log odds of each text and category, down the chain."""
@@ -217,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     ``labels`` for each category, in the order of the chain."""
     marked = labels.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("__id"), *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(categories.values())]
-    )
+    ).distinct()
     names = [f"c{i}" for i in range(len(categories))]
     classes = sorted(tuple(r) for r in marked.groupBy(*names).count().collect())  # bound: combinations of labels
     parts = shares([c[-1] for c in classes], rows)
@@ -235,15 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
             found = [np.array(sorted(words.of(t or "")), np.uint32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), *(batch.column(c) for c in names), pa.array(found, pa.binary())], names=["__id", *names, "f"])
 
-    got = joined.mapInArrow(hashed, "__id bigint, " + "".join(f"{c} boolean, " for c in names) + "f binary").collect()
+    got = joined.mapInArrow(hashed, "__id bigint, " + "".join(f"{c} boolean, " for c in names) + "f binary")
+    got = got.groupBy("__id", *names).agg(F.min("f").alias("f")).collect()  # bound: the rows chosen; of documents that repeat an id, one
     got = sorted(got, key=lambda r: (r["__id"], r["f"], *[r[c] for c in names]))
-    read, kept = dict.fromkeys(most, 0), []
-    for r in got:  # rows of documents that repeat an id count within their combination's part
-        c = tuple(r[name] for name in names)
-        read[c] += 1
-        if read[c] <= most[c][0]:
-            kept.append(r)
-    got = kept
     weights = np.array([most[tuple(r[c] for c in names)][1] for r in got], float)
     folds = np.array([zlib.crc32(str(r["__id"]).encode()) % FOLDS for r in got], np.int64)
     y = np.array([[r[c] for c in names] for r in got], bool).reshape(len(got), len(names))

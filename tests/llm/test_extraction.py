@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logweir.llm.boosting import BoostedTrees
+from logweir.llm.common import hash_sample
 from logweir.llm.extraction import decode, extract, features, fit, main_text, parse, rewritten, weak_labels
 from cases import words
 
@@ -86,3 +88,21 @@ def test_query_form(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert sum(texts[k]["text"] == page(k)[1] for k in range(30)) >= 28
     assert extract(pages.where("page_id < 0")).collect() == []
+
+
+def test_pages_that_repeat_leave_a_sample(spark):
+    rows = [(k, f"u{k}", page(k)[0]) for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    many = pages.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000))))
+    held = hash_sample(many.select("html"), F.col("html"), 150).collect()
+    assert sorted(r["html"] for r in held) == sorted(r[2] for r in rows)
+    texts = lambda df: {(r["page_id"], r["text"]) for r in df.select("page_id", "text").collect()}
+    assert texts(extract(many.where("n <= 20"), training=many)) == texts(extract(pages))
+
+
+def test_a_sample_holds_each_key_once(spark):
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("k"), (F.col("id") % 3).alias("x"))
+    held = hash_sample(rows, F.col("k"), 500).collect()
+    again = hash_sample(rows.repartition(13), F.col("k"), 500).collect()
+    assert len(held) == len({r["k"] for r in held}) == 500 and held == again
+    assert hash_sample(rows.where("k < 0"), F.col("k"), 500).collect() == []
