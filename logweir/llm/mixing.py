@@ -8,6 +8,7 @@ shard is decided first, on counts alone: starting from all shards with all quota
 is halved, and the left half's part of each source is drawn from the multivariate
 hypergeometric distribution, until nodes are single shards. Each shard then draws its own
 stretch of each source's permuted blocks, so shards are disjoint, and shuffles it locally.
+``taken`` and ``shuffled`` say where each draw lands: its shard and its place there.
 
 Everything is DataFrame functions. Permutations and draws come from hashes of the seed,
 so reruns agree. Nulls: a null text has no words, a null source is a source of its own
@@ -69,8 +70,13 @@ def source_targets(sized: DataFrame, weights: Sequence[float], epochs: float, mo
 
 
 def _uniform(*parts: Column) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
+    """A number in (0, 1) from a hash that other engines have too."""
+    digits = F.substring(_hash(*parts), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _hash(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
 
 
 def _let(value: Column, body) -> Column:
@@ -232,15 +238,20 @@ class Mixture:
         return joined.select(ROW, "block", "source_no", "shard", "draw", "pass", words.alias("words"))
 
     def taken(self) -> DataFrame:
-        """Every row with the words that the mixture takes of it, repeats counted."""
-        each = self.draws.groupBy(ROW).agg(F.sum("words").alias("__taken"))
+        """Every row with the words that the mixture takes of it, repeats counted, and
+        ``places``: shard and place of each of its draws, in that order."""
+        each = self.shuffled().groupBy(ROW).agg(
+            F.sum("words").alias("__taken"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("__places")
+        )
         return self.sized.join(each.hint("merge"), ROW, "left").select(
             "doc_id", "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0).cast("bigint")).alias("taken"),
+            F.coalesce("__places", F.array().cast("array<struct<shard:int,place:int>>")).alias("places"),
         )
 
     def shuffled(self) -> DataFrame:
         """The draws with their place in their shard, an even shuffle of each shard."""
-        order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(self.seed), "shard", "source_no", "draw"), "source_no", "draw")
+        mixed = _hash(F.lit(self.seed), F.col("shard"), F.col("source_no"), F.col("draw"))
+        order = Window.partitionBy("shard").orderBy(mixed, "source_no", "draw")
         return self.draws.withColumn("place", F.row_number().over(order) - 1)
 
     def documents(self, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

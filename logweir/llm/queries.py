@@ -12,7 +12,7 @@ from .registry import query
 # ---------------------------------------------------------------- 4: mixing of sources
 
 _OP4_SQL = r"""
-with sized as (
+with recursive sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
 ), src as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as no
@@ -34,24 +34,78 @@ with sized as (
     least(256, s.size - 256 * b.block)::bigint as words, md5('7/' || s.doc_id || '/' || b.block) as key
   from sized s join targets t on s.source is not distinct from t.source,
     lateral (select unnest(range(0, (s.size + 255) // 256)) as block) b
-), placed as (
+), ranked as (
   select *, coalesce(sum(words) over (partition by no order by key, size rows between unbounded preceding and 1 preceding), 0) as before,
-    round(target)::bigint as goal
+    row_number() over (partition by no order by key, size) - 1 as rank, round(target)::bigint // source_size as passes,
+    round(target)::bigint % source_size as over_passes
   from blocks
+), placed as (
+  select *, greatest(0, least(words, over_passes - before))::bigint as part from ranked
+), quotas as (
+  select no, count(*) as n_blocks, sum(passes + (part > 0)::bigint)::bigint as quota from placed group by no
+), whole as (
+  select list(no order by no) as nos, list(quota order by no) as held, sum(quota)::bigint as total,
+    greatest(1, (sum(quota)::bigint + 4095) // 4096) as shards from quotas
+), tree as (
+  select 0::bigint as lo, shards as hi, held, []::bigint[] as lefts, nos, total, shards from whole
+  union all
+  select case when not split then lo when side = 0 then lo else mid end, case when not split then hi when side = 0 then mid else hi end,
+    case when not split then held when side = 0 then lefts else list_transform(list_zip(held, lefts), lambda x: x[1] - x[2]) end,
+    case when split then []::bigint[] else list_append(lefts, low + case when q = 0 then 0 else
+      len(list_filter(range(1, len(p) + 1), lambda i: list_sum(p[1:i]) < u * list_sum(p))) end) end, nos, total, shards
+  from (
+    select *, list_transform(lp, lambda x: exp(x - list_max(lp))) as p
+    from (
+      select *, list_transform(range(low, greatest(low, high) + 1), lambda k:
+        -lgamma(k + 1) - lgamma(q - k + 1) - lgamma(d - k + 1) - lgamma(n - q - d + k + 1)) as lp
+      from (
+        select *, case when split or q = 0 then 0 else greatest(0, d + q - n, floor(mean - width)::bigint) end as low,
+          case when split or q = 0 then -1 else least(q, d, ceil(mean + width)::bigint) end as high
+        from (
+          select *, d * (q / n) as mean, 12 * sqrt(d * (q / n) * (1 - q / n) * greatest(n - d, 0) / greatest(n - 1, 1)) + 2 as width
+          from (
+            select *, (lo + hi) // 2 as mid, len(lefts) = len(held) as split, held[len(lefts) + 1] as q, greatest(1, list_sum(held[len(lefts) + 1:]))::bigint as n,
+              (((lo + hi) // 2 * total) // shards - (lo * total) // shards - coalesce(list_sum(lefts), 0))::bigint as d,
+              (('0x' || substr(md5('7/' || lo || '/' || hi || '/' || nos[len(lefts) + 1]), 1, 13))::bigint + 0.5) / 4503599627370496.0::double as u
+            from tree where hi - lo > 1
+          )
+        )
+      )
+    )
+  ), (values (0), (1)) sides(side)
+  where split or side = 0
+), leaves as (
+  select lo as shard, unnest(nos) as no, unnest(held) as n from tree where hi - lo = 1
+), dealt as (
+  select *, coalesce(sum(n) over (partition by no order by shard rows between unbounded preceding and 1 preceding), 0) as first from leaves
 ), drawn as (
-  select doc_id, sum((goal // source_size) * words
-    + greatest(0, least(words, goal - (goal // source_size) * source_size - before)))::bigint as taken
-  from placed group by doc_id
+  select p.doc_id, p.no, case when d.pass < p.passes then p.words else p.part end as words, d.pass * q.n_blocks + p.rank as draw
+  from placed p join quotas q using (no), lateral (select unnest(range(0, p.passes + (p.part > 0)::bigint)) as pass) d
+), landed as (
+  select w.*, l.shard, row_number() over (partition by l.shard order by md5('7/' || l.shard || '/' || w.no || '/' || w.draw), w.no, w.draw) - 1 as place
+  from drawn w join dealt l on l.no = w.no and w.draw >= l.first and w.draw < l.first + l.n
+), taken as (
+  select doc_id, sum(words)::bigint as taken, count(*) as n_draws, string_agg(shard || ':' || place, ',' order by shard, place) as places
+  from landed group by doc_id
 )
-select s.doc_id, s.size, t.source_size, t.target, coalesce(d.taken, 0)::bigint as taken
-from sized s join targets t on s.source is not distinct from t.source left join drawn d on d.doc_id = s.doc_id
+select s.doc_id, s.size, t.source_size, t.target, coalesce(k.taken, 0)::bigint as taken, coalesce(k.n_draws, 0)::bigint as n_draws,
+  sha256(coalesce(k.places, '')) as places_sha256
+from sized s join targets t on s.source is not distinct from t.source left join taken k on k.doc_id = s.doc_id
 """
 
 
 @query("op4_mixing", _OP4_SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.Mixture(table(spark, sf_dir, "documents"))
-    return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
+    """With the number of draws and a digest of where the shards hold them."""
+    return mixing_report(mixing.Mixture(table(spark, sf_dir, "documents")))
+
+
+def mixing_report(mixture: mixing.Mixture) -> DataFrame:
+    places = F.transform("places", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["place"].cast("string")))
+    return mixture.taken().select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("places").cast("bigint").alias("n_draws"),
+        F.sha2(F.array_join(places, ","), 256).alias("places_sha256"),
+    )
 
 
 # ------------------------------------------------------------------ 3: best-fit packing

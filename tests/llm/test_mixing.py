@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cases import SCHEMA, documents
+from logweir.llm import queries
 from logweir.llm.mixing import Mixture, hypergeometric, shard_quotas
 
 
@@ -93,6 +95,27 @@ def test_draws_are_disjoint_and_fill_the_shards(mixed):
     assert all(sorted(v) == list(range(len(v))) for v in shards.values())
 
 
+def test_many_shards_against_sql(spark):
+    """The registered SQL with smaller shards, so that the tree has many levels."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    sql = queries._OP4_SQL.replace("4095", "15").replace("4096", "16")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}'")
+    columns = ["doc_id", "size", "source_size", "target", "taken", "n_draws", "places_sha256"]
+    expected = con.sql(f"select {', '.join(columns)} from ({sql}) order by doc_id").fetchall()
+    mixture = Mixture(spark.read.parquet(path), shard_draws=16)
+    assert mixture.shards > 8
+    rows = queries.mixing_report(mixture).select(*columns).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == expected
+
+
+def test_shards_change_the_result(mixed):
+    docs, mixture = mixed
+    one = Mixture(docs, block_words=16, shard_draws=1 << 20)
+    digest = lambda m: sorted((str(r["doc_id"]), r["taken"], r["places_sha256"]) for r in queries.mixing_report(m).collect())
+    assert one.shards == 1 and digest(one) != digest(mixture)
+
+
 def test_hypergeometric_is_the_distribution(spark):
     n = 20_000
     got = spark.range(n).select(hypergeometric(F.lit(30), F.lit(100), F.lit(12), (F.col("id") + 0.5) / n).alias("k")).groupBy("k").count().collect()
