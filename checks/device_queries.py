@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logweir.functions.columns import member_name
 from logweir.operators import dedup as dd, devices as dv, links as lk
 from logweir.session import fresh_folder
 from logweir.sinks.keyed import KeyedTable
+from logweir.plans import jobs
+from logweir.sources.archive_members import read_members
 from logweir.sources.archives import unpack_records
 from logweir.sources.files import read_table
 
 from . import lines as L
-from .archives import pack_records
+from .archives import pack_records, write_archives
 from .registry import query
 
 PATTERN = "/[A-Za-z]"
@@ -47,12 +50,10 @@ def first_seen_urls(spark, sf_dir):
 SELECT md5(link) AS link_key, link, min(page_id) AS page_id FROM s WHERE NOT old
  AND link NOT IN (SELECT link FROM s WHERE old) GROUP BY link""")
 def new_urls(spark, sf_dir):
-    from logweir.plans.jobs import device_links
-
     pages = read_table(spark, sf_dir, "pages")
     old = F.col("url").startswith("http:")
     seen = lk.first_seen_links(lk.page_links(pages.where(old), pattern=PATTERN, keep=["page_id"]), ["page_id"])
-    return device_links(pages.where(~old), seen, ["page_id"], PATTERN)
+    return jobs.device_links(pages.where(~old), seen, ["page_id"], PATTERN)
 
 
 @query("member_names", """SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '')||'.txt' AS member
@@ -102,6 +103,46 @@ def device_archive(spark, sf_dir):
     return dv.device_documents(unpack_records(zips), F.lit(INDEXED_AT).cast("bigint"))
 
 
+# archives of 500 keys with a member for each nation, written to files and read by ranges
+@query("device_members", f"""WITH d AS ({DUCK_DEVICES}) SELECT 'devices-'||(c_custkey // 500)||'.zip' AS archive,
+ 'nation-'||c_nationkey||'.txt' AS member, row_number() OVER (PARTITION BY c_custkey // 500, c_nationkey ORDER BY c_custkey) AS record_no,
+ id, company, product FROM d JOIN customer ON id = 'K'||c_custkey""")
+def device_members(spark, sf_dir):
+    folder = fresh_folder(spark, "archives")
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    lines = device_lines(spark, sf_dir).join(customers, "c_custkey").select(
+        "c_custkey", "line", F.format_string("devices-%d.zip", F.expr("c_custkey div 500")).alias("archive"),
+        F.format_string("nation-%d.txt", "c_nationkey").alias("member"),
+    )
+    write_archives(lines, folder, "archive", "member", "c_custkey", "|".join(dv.COLUMNS))
+    records = read_members(spark, folder, members="nation-*.txt")
+    docs = dv.device_documents(records, F.lit(INDEXED_AT).cast("bigint"), keep=["path", "member", "record_no"])
+    return docs.select(F.regexp_extract("path", "[^/]*$", 0).alias("archive"), "member", "record_no", "id", "company", "product")
+
+
+@query("device_runs", f"""WITH d AS ({DUCK_DEVICES}), n AS (SELECT d.*, c_custkey % 10 AS k FROM d JOIN customer ON id = 'K'||c_custkey)
+SELECT id, {INDEXED_AT} + CASE WHEN k >= 4 THEN 1 ELSE 0 END AS index_date, company, k >= 7 AS created_late,
+ k >= 4 AND k < 7 AS replaced FROM n""")
+def device_runs(spark, sf_dir):
+    """The device job over two runs: archives as files, documents, an index. The second
+    run's archives hold some of the first one's records again, read at a later time."""
+    table = KeyedTable(spark, fresh_folder(spark, "documents"), StructType.fromDDL("key string, value string"), "key")
+    digit = F.col("c_custkey") % 10
+    lines = device_lines(spark, sf_dir).withColumn("archive", F.format_string("devices-%d.zip", F.expr("c_custkey div 500")))
+    lines = lines.withColumn("member", F.regexp_replace("archive", "zip$", "txt"))
+    made = []
+    for run, part in enumerate([digit < 7, digit >= 4]):
+        folder = fresh_folder(spark, "archives")
+        write_archives(lines.where(part), folder, "archive", "member", "c_custkey", "|".join(dv.COLUMNS))
+        made.append(jobs.index_devices(read_members(spark, folder), table, run, F.lit(INDEXED_AT + run).cast("bigint")))
+    late = made[1].select("key", "created")
+    return table.current().join(late, "key", "left").select(
+        F.col("key").alias("id"), F.get_json_object("value", "$.index_date").cast("bigint").alias("index_date"),
+        F.get_json_object("value", "$.company").alias("company"), F.coalesce("created", F.lit(False)).alias("created_late"),
+        F.coalesce(~F.col("created"), F.lit(False)).alias("replaced"),
+    )
+
+
 @query("doc_index", f"""WITH d AS ({DUCK_DEVICES}), n AS (SELECT d.*, c_nationkey FROM d JOIN customer ON id = 'K'||c_custkey)
 SELECT id, CASE WHEN c_nationkey >= 10 THEN 'REVISED' ELSE status END AS status,
  c_nationkey BETWEEN 10 AND 14 AS replaced FROM n""")

@@ -180,8 +180,10 @@ def device_links(pages: DataFrame, seen: DataFrame | None, order: list[str], pat
 
 
 def device_index(archives: DataFrame, index_date: Column | None = None) -> DataFrame:
-    """Archives (path, content) to documents with id key and JSON value."""
-    return devices.as_json(devices.device_documents(unpack_records(archives), index_date))
+    """Archives (path, content), or their records read by ranges (``read_members``), to
+    documents with id key and JSON value."""
+    records = archives if "fields" in archives.columns else unpack_records(archives)
+    return devices.as_json(devices.device_documents(records, index_date))
 
 
 def index_devices(
