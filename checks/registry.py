@@ -29,4 +29,4 @@ def load() -> None:
     """Import the modules that register queries."""
     from . import parsing_queries, counting_queries, window_queries  # noqa: F401
     from . import metric_queries, metric_files, device_queries, stream_queries  # noqa: F401
-    from . import pane_queries  # noqa: F401
+    from . import pane_queries, counter_queries  # noqa: F401
