@@ -9,6 +9,7 @@ from logweir.operators.parsing import parse_date, parse_event, parse_payload
 from logweir.plans import jobs
 from logweir.session import fresh_folder
 from logweir.sinks.keyed import KeyedTable
+from logweir.sinks.leveled import LeveledTable
 from logweir.sources.files import read_table
 
 from . import lines as L
@@ -195,6 +196,25 @@ def kv_upsert(spark, sf_dir):
     return table.current()
 
 
+LEVELED = 6
+
+
+@query("kv_upsert_levels", f"""WITH b AS (SELECT *, (event_id - min(event_id) OVER ()) //
+ ((max(event_id) OVER () - min(event_id) OVER ()) // {LEVELED} + 1) AS batch FROM events)
+SELECT user_id AS key, arg_max(event_type, event_id) AS value, min(batch) = {LEVELED - 1} AS created FROM b GROUP BY 1""")
+def kv_upsert_levels(spark, sf_dir):
+    """Six batches into sorted levels; the last one's new keys are told by what was there before."""
+    events = read_table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("value"))
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = (high - low) // LEVELED + 1
+    table = LeveledTable(spark, fresh_folder(spark, "leveled"), events.select("key", "value").schema, "key", ranges=8, fanout=2)
+    for batch in range(LEVELED):
+        rows = events.where(F.col("event_id").between(low + batch * step, low + (batch + 1) * step - 1))
+        table.upsert(rows, batch, ["event_id"])
+    told = table.with_created(rows.select("key").distinct(), before=LEVELED - 1)
+    return table.current().join(told, "key", "left").select("key", "value", F.coalesce("created", F.lit(False)).alias("created"))
+
+
 @query("last_write_map", f"""{PLAIN} SELECT cast(epoch_us(ts)//86400000000 AS BIGINT) AS day, {group(2, R2)} AS username,
  arg_max({group(5, R2)}, event_id) AS value, count(*) AS total FROM l JOIN events USING (event_id) GROUP BY 1, 2""")
 def last_write_map(spark, sf_dir):
