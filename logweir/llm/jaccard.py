@@ -553,7 +553,7 @@ def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame |
     bits = block_bits(n)
     bloom = blocked_bloom(wanted, "key", bits)
     h = F.xxhash64("key")
-    near = rows.withColumn("block", _block(h, bits)).join(F.broadcast(bloom), "block").where(might_hold(h)).select("text")
+    near = rows.withColumn("__block", _block(h, bits)).join(F.broadcast(bloom), "__block").where(might_hold(h)).select("text")
     found = near.mapInArrow(_Packed(width), "uid bigint, packed binary").join(wanted.select("uid"), "uid", "left_semi")
     fresh = written_table(found.dropDuplicates(["uid"]), "sets")  # equal rows have equal keys
     return fresh if known is None else known.unionByName(fresh)
