@@ -236,7 +236,7 @@ def mined(
     forest = written_table(blocked.mapInArrow(planted, f"tree bigint, {packed}, place array<bigint>, parent array<bigint>, edge array<double>"), "anchor-trees")
     trees = -(-count // ANCHORS)
     # every block of candidates meets every tree
-    left = candidates.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(max(1, trees) - 1)))).groupBy("block", "tree")
+    left = _to_each(candidates, "tree", trees)
 
     def met(table: pa.Table) -> tuple[CandidateBlock, np.ndarray]:
         held = [table.column(c)[0].as_py() for c in ("vec_id", "label", "v", "kind")]
@@ -271,7 +271,7 @@ def mined(
             block.walk(tree, points, score_at)
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["row", "anchor_id", "positive_id", "positive_score"])
 
-    around = left.cogroup(_to_blocks(forest, blocks)).applyInArrow(lambda t, a: alike(t, a), "row bigint, anchor_id bigint, positive_id bigint, positive_score bigint")
+    around = left.cogroup(_to_each(forest, "block", blocks)).applyInArrow(lambda t, a: alike(t, a), "row bigint, anchor_id bigint, positive_id bigint, positive_score bigint")
     order = Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id")
     found = around.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= positives)
     found = written_table(found, "positives")
@@ -309,8 +309,7 @@ def mined(
             block.walk(tree, points, score_at)
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["row", "positive_score", "negative_id", "negative_score"])
 
-    again = candidates.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(max(1, trees) - 1)))).groupBy("block", "tree")
-    hard = again.cogroup(_to_blocks(asked, blocks)).applyInArrow(lambda t, a: between(t, a), "row bigint, positive_score bigint, negative_id bigint, negative_score bigint")
+    hard = _to_each(candidates, "tree", trees).cogroup(_to_each(asked, "block", blocks)).applyInArrow(lambda t, a: between(t, a), "row bigint, positive_score bigint, negative_id bigint, negative_score bigint")
     inside = Window.partitionBy("row", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
     ranked = hard.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= negatives)
     return found.join(ranked, ["row", "positive_score"]).select(
@@ -318,7 +317,9 @@ def mined(
     )
 
 
-def _to_blocks(trees: DataFrame, blocks: int):
-    """Each tree of anchors, sent to every block of candidates."""
-    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, blocks) - 1).cast("bigint")))
-    return trees.withColumn("block", spread).groupBy("block", "tree")
+def _to_each(rows: DataFrame, other: str, count: int):
+    """Blocks sent to every tree, or trees to every block. Keys are longs on either side:
+    cogroup does not align types, and an int is dealt to another partition than its long."""
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, count) - 1).cast("bigint")))
+    keys = [F.col(c).cast("bigint") for c in ("block", "tree")]
+    return rows.withColumn(other, spread).groupBy(*keys)

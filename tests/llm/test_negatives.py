@@ -56,6 +56,20 @@ def test_against_brute_force_over_several_blocks(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_blocks_meet_trees_over_several_partitions(spark, monkeypatch):
+    from logweir.llm import negatives
+
+    monkeypatch.setattr(negatives, "CANDIDATES", 90)
+    monkeypatch.setattr(negatives, "ANCHORS", 16)
+    rows = vectors(400, 8, 2)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small tables are joined to one partition
+    try:
+        assert found(spark, rows) == brute(rows) != []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
 @pytest.mark.parametrize("rows", [[], [(10, [1.0, 2.0], 1, "x", "y", 1)], [(10, None, None, None, None, None)], [(k, [0.0], 1, "x", "y", 1) for k in range(12)]])
 def test_small_tables(spark, rows):
     assert found(spark, rows) == brute(rows) == []
