@@ -36,7 +36,8 @@ def split_records(lines: DataFrame, line: str = "line") -> DataFrame:
     kept = [c for c in lines.columns if c != line]
     # a missing value reads as null and an empty one was written as nothing: both are ""
     fields = F.array(*[F.coalesce(F.col("__row")[c], F.lit("")) for c in COLUMNS])
-    return lines.select(*kept, row.alias("__row")).select(
+    # one row each: filters on the fields stay above it, else they parse the line for every column
+    return lines.select(*kept, F.explode(F.array(row)).alias("__row")).select(
         *kept, F.when(F.col("__row")["__bad"].isNull(), fields).alias("fields")
     )
 

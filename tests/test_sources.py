@@ -90,6 +90,14 @@ def test_record_lines(spark):
     assert (out[3].fields[1], out[3].fields[5], out[3].fields[6], out[3].fields[21]) == ("x|y", "", "", "c21")
 
 
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([(cells(22, _0="K1"),), (cells(21),), (None,)], "line string")
+    docs = dv.device_documents(dv.split_records(lines), F.lit(0).cast("bigint"))
+    assert [r.key for r in dv.as_json(docs).orderBy("key").collect()] == ["", "K1"]
+    plan = dv.as_json(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1  # not again in the filter, for each of its columns
+
+
 def test_large_archive_is_whole(spark, tmp_path):
     n = 25_000
     body = "\n".join(["|".join(dv.COLUMNS), *[cells(22, _0=f"K{i}") for i in range(n)]])
