@@ -87,14 +87,26 @@ BATCHES = 4
 
 
 def in_batches(spark: SparkSession, sf_dir: str, name: str, key: str, batches: int = BATCHES) -> DataFrame:
-    """A whole table as a stream of several micro-batches, one range of ``key`` after the other."""
+    """A whole table as a stream of several micro-batches, one range of ``key`` after the other.
+    Each range has as many files as the session has cores, which are one micro-batch together."""
     table, folder = read_table(spark, sf_dir, name), fresh_folder(spark, f"{name}-in-batches")
     low, high = table.agg(F.min(key), F.max(key)).first()
-    step = (high - low) // batches + 1
+    step, files = (high - low) // batches + 1, max(1, spark.sparkContext.defaultParallelism)
+    nothing = spark.createDataFrame([], table.schema)
+    written = 0
     for k in range(batches):  # a file source takes files in the order of their writing
         part = table.where(F.col(key).between(low + k * step, low + (k + 1) * step - 1))
-        part.write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.repartition(files).write.option("maxRecordsPerFile", 0).mode("append").parquet(folder)
+        written += files
+        for _ in range(written - _files(spark, folder)):  # a range of few rows leaves files out
+            nothing.write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def _files(spark: SparkSession, folder: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sum(not s.getPath().getName().startswith(("_", ".")) for s in listed)
 
 
 def streamed_events(spark: SparkSession, sf_dir: str, text: str = EVENT_TEXT) -> DataFrame:
