@@ -256,9 +256,11 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() if self.by_word else ([t] if t else []) for t in texts]
-        if self.size > self.most:
-            self.ids, self.size = {}, 0
-        new = list(set().union(*split) - self.ids.keys())
+        used = set().union(*split)
+        if self.size > self.most:  # only what these texts need stays
+            self.ids = {w: self.ids[w] for w in used & self.ids.keys()}
+            self.size = sum(map(len, self.ids)) + sum(map(len, self.ids.values())) + _WORD_COST * len(self.ids)
+        new = list(used - self.ids.keys())
         order, ids = self.codec.encode_words([w.decode("utf-8", "replace") for w in new])
         self.ids.update(zip([new[k] for k in order], ids))
         self.size += sum(map(len, new)) + sum(map(len, ids)) + _WORD_COST * len(new)

@@ -111,3 +111,18 @@ def test_query(spark, library):
         told = library.decode(ids, skip_special_tokens=False)
         want.append((doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(told.encode()).hexdigest()))
     assert got == sorted(want)
+
+
+def test_full_store_keeps_the_words_still_in_use():
+    codec, asked = Codec(PATH), []
+
+    class Told:
+        def encode_words(self, words):
+            asked.append(sorted(words))
+            return codec.encode_words(words)
+
+    words = WordIds(Told(), True, kept=1)
+    first = list(words.of([b"a few words", b"a"]))
+    again = list(words.of([b"a few more"]))
+    assert asked == [["a", "few", "words"], ["more"]] and sorted(words.ids) == [b"a", b"few", b"more"]
+    assert again == [words.ids[b"a"] + words.ids[b"few"] + words.ids[b"more"]] and first[1] == words.ids[b"a"]
