@@ -11,7 +11,9 @@ One tree over a corpus would not prune: nodes over many documents have large max
 points first meet by shingles: of the sets' shingles in hash order, the first
 ``n - ceil(s * n) + l`` of two similar sets have at least ``l`` in common (``l`` about an
 eighth of ``n``). A document stays only if that many of its first shingles occur
-elsewhere; the rest, few, are grouped by shared shingles, and each group is an R-tree.
+elsewhere; the rest, few, are grouped by shared shingles. Near copies of a long text share
+their shingles in hundreds of combinations, so groups with the same smallest member become
+one where that means no more comparisons than the groups apart. Each group is an R-tree.
 
 At first a set takes part in one group only, its largest, then its rarest, and a group
 proposes to each point its ``NEAREST`` points of other components by bound, so a group of
@@ -255,12 +257,13 @@ class _Enough:
 
 
 class _Groups:
-    """(gid, uid) of every group of sets that share a shingle. Groups with the same
-    members have the same gid, so most are found many times and kept once."""
+    """(gid, least, uid) of every group of sets that share a shingle, ``least`` being its
+    smallest member. Groups with the same members have the same gid, so most are found many
+    times and kept once."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        gids, uids = [], []
+        gids, leasts, uids = [], [], []
         size = 0
         for _, data in by_bucket(batches, "hb"):
             rows, new = _members(all_opened(data, _ENTRY))
@@ -273,17 +276,18 @@ class _Groups:
                         seen.clear()
                     seen.add(g)
                     gids.append(np.full(j - i, g, np.int64))
+                    leasts.append(np.full(j - i, rows[1][i], np.int64))  # a group's rows are in order
                     uids.append(rows[1][i:j])
                     size += j - i
             if size > 100_000:
-                yield self.sent(gids, uids)
-                gids, uids, size = [], [], 0
+                yield self.sent(gids, leasts, uids)
+                gids, leasts, uids, size = [], [], [], 0
         if size:
-            yield self.sent(gids, uids)
+            yield self.sent(gids, leasts, uids)
 
     @staticmethod
-    def sent(gids, uids) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids)), pa.array(np.concatenate(uids))], names=["gid", "uid"])
+    def sent(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["gid", "least", "uid"])
 
 
 # ---------------------------------------------------------------------------- the R-tree
@@ -449,6 +453,18 @@ class _Verify:
 # ------------------------------------------------------------------------------- the join
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """(gid, uid) of the groups (gid, least, uid), those with the same least member as one
+    where its pairs are no more than theirs together. All pairs of a group stay in one."""
+    sizes = groups.groupBy("gid").agg(F.first("least").alias("least"), F.count("*").alias("__m"))
+    apart = sizes.groupBy("least").agg(F.sum(F.col("__m") * F.col("__m")).alias("__apart"))
+    one = groups.select("least", "uid").distinct().groupBy("least").agg(F.count("*").alias("__n"))
+    fewer = one.join(apart, "least").where("__n * __n <= __apart").select("least", F.lit(True).alias("__one"))
+    # members are dealt by group, as one set can be the least of very many
+    named = sizes.join(fewer, "least", "left").select("gid", F.when(F.col("__one"), F.col("least")).otherwise(F.col("gid")).alias("__name"))
+    return groups.join(named, "gid").select(F.col("__name").alias("gid"), "uid").distinct()
+
+
 def _units(members: DataFrame) -> DataFrame:
     """Members with their unit of work: the group, or for a group above the limit every
     pair of its blocks (``side`` tells the two blocks apart)."""
@@ -458,7 +474,7 @@ def _units(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((F.least(own, j) * blocks + F.greatest(own, j)).alias("unit"), F.when(j == own, 0).otherwise((own > j).cast("int")).alias("side")))
     return rows.select("*", F.explode(F.when(blocks > 1, every).otherwise(F.array(F.struct(F.lit(0).alias("unit"), F.lit(0).alias("side"))))).alias("__u")).select(
-        "gid", "uid", "n", "point", "part", "gids", F.col("__u.unit").alias("unit"), F.col("__u.side").alias("side")
+        "gid", "uid", "part", F.col("__u.unit").alias("unit"), F.col("__u.side").alias("side")
     )
 
 
@@ -483,10 +499,8 @@ def keyed_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, in
     first = rows.select("text").mapInArrow(_First(width, similar, buckets), parcel)
     shared = in_buckets(first, "hb").mapInArrow(_Shared(buckets), parcel)
     enough = in_buckets(shared, "hb").mapInArrow(_Enough(similar, buckets), parcel)
-    groups = in_buckets(enough, "hb").mapInArrow(_Groups(), "gid bigint, uid bigint").distinct()
-    each = points.where("uid is not null").groupBy("uid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("point").alias("point"))
-    each = written_table(each, "sets-once")
-    edges = _links(rows, written_table(groups, "members"), each, width, similar)
+    groups = written_table(in_buckets(enough, "hb").mapInArrow(_Groups(), "gid bigint, least bigint, uid bigint").distinct(), "groups")
+    edges = _links(rows, written_table(_merged(groups), "members"), points, width, similar)
     reached = components(edges)
     named = points.select("doc_id", "key", "uid", "n").join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
     named = named.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("class"))
@@ -495,22 +509,23 @@ def keyed_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, in
     return linked.unionByName(named.where("class is null").select("doc_id", "key", "class", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, similar: Similarity) -> DataFrame:
+def _links(rows: DataFrame, members: DataFrame, points: DataFrame, width: int, similar: Similarity) -> DataFrame:
     """Verified links (a, b) between sets, enough for the components. ``members``: the
-    sets of every group; ``each``: a row's key, size and point of every set."""
+    sets of every group; ``points``: key, set, size and point of every row. Points join the
+    members last, so that they are dealt out once a round."""
     sized = members.join(members.groupBy("gid").agg(F.count("*").alias("m")), "gid")
     place = F.struct("m", "gid")
-    own = written_table(sized.groupBy("uid").agg(
+    own = sized.groupBy("uid").agg(
         F.max(place).alias("largest"), F.min(place).alias("rarest"), F.slice(F.sort_array(F.collect_set("gid")), 1, GROUPS_TOLD).alias("gids")
-    ), "own-groups")
-    no_gids = F.array().cast("array<bigint>").alias("gids")
-    rounds = [own.select("uid", F.col(f"{g}.gid").alias("gid"), no_gids) for g in ("largest", "rarest")]
+    )
+    own = written_table(own.join(points.select("uid", "key", "n", "point"), "uid").dropDuplicates(["uid"]), "own-groups")
+    rounds = [own.select("uid", F.col(f"{g}.gid").alias("gid")) for g in ("largest", "rarest")]
     tried, sets, reached, turn, quota = None, None, None, 0, None
     while True:
         if turn < len(rounds):
-            state = rounds[turn]
+            state, gids = rounds[turn], F.array().cast("array<bigint>")
         else:
-            state, quota = members.join(own.select("uid", "gids"), "uid"), 32 if quota is None else 2 * quota
+            state, gids, quota = members, F.col("gids"), 32 if quota is None else 2 * quota
         if reached is None:
             state = state.withColumn("part", F.col("uid"))
         else:
@@ -518,7 +533,8 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
             joined = joined.withColumn("part", F.coalesce("component", "uid")).drop("component")
             apart = joined.groupBy("gid").agg((F.min("part") != F.max("part")).alias("__apart")).where("__apart").select("gid")
             state = joined.join(apart, "gid", "left_semi")
-        proposed = _units(state.join(each.select("uid", "n", "point"), "uid")).repartition("gid", "unit").sortWithinPartitions("gid", "unit").mapInArrow(
+        units = _units(state).join(own.select("uid", "n", "point", gids.alias("gids")), "uid")
+        proposed = units.repartition("gid", "unit").sortWithinPartitions("gid", "unit").mapInArrow(
             _Propose(similar, quota), "a bigint, b bigint, more boolean"
         )
         proposed = written_table(proposed, "proposed")
@@ -527,7 +543,7 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "pairs")
-        sets = _sets(rows, each, pairs, sets, width)
+        sets = _sets(rows, own, pairs, sets, width)
         with_a = pairs.join(sets.select(F.col("uid").alias("a"), F.col("packed").alias("packed_a")), "a")
         both = with_a.join(sets.select(F.col("uid").alias("b"), F.col("packed").alias("packed_b")), "b")
         checked = written_table(both.select("a", "b", "packed_a", "packed_b").mapInArrow(_Verify(width, similar), "a bigint, b bigint, links boolean"), "checked")
@@ -539,14 +555,14 @@ def _links(rows: DataFrame, members: DataFrame, each: DataFrame, width: int, sim
         turn += 1
 
 
-def _sets(rows: DataFrame, each: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
+def _sets(rows: DataFrame, own: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
     """uid and packed text of the sets in any pair, besides those that are known. Rows pass
     a Bloom filter of the wanted keys (of bounded size) before their texts are packed and
     shuffled to the exact join."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     if known is not None:
         wanted = wanted.join(known.select("uid"), "uid", "left_anti")
-    wanted = written_table(each.select("key", "uid").join(wanted, "uid"), "wanted-sets")
+    wanted = written_table(own.select("key", "uid").join(wanted, "uid"), "wanted-sets")
     n = wanted.count()
     if known is not None and not n:
         return known

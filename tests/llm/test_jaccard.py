@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -74,6 +76,33 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert found(spark, chain()) == brute(chain())
 
 
+def test_members_of_near_copies_grow_with_sets_not_with_shared_shingles(spark, monkeypatch):
+    """Near copies of a long text share their shingles in hundreds of combinations; each
+    combination is not to carry its members' points again."""
+    base, r, rows = words(70, 900), random.Random(3), []
+    docs = [(50, " ".join(words(71, 40)))]
+    for k in range(16):
+        w = list(base)
+        for j in r.sample(range(900), 30 if k % 4 else 130):
+            w[j] = f"z{k}"
+        docs.append((k, " ".join(w)))
+    units = jaccard._units
+    monkeypatch.setattr(jaccard, "_units", lambda m: rows.append(m.count()) or units(m))
+    assert found(spark, docs) == brute(docs)
+    assert len(rows) > 2 and max(rows) <= 16 * 16
+
+
+def test_merged_groups_keep_pairs_and_cost_no_more(spark):
+    groups = [[1, 2, 3], [1, 3, 4], [1, 2, 3, 4], [2, 4], *[[0, k] for k in range(20, 40)]]
+    rows = [(100 + g, min(m), u) for g, m in enumerate(groups) for u in m]
+    got = {}
+    for row in jaccard._merged(spark.createDataFrame(rows, "gid bigint, least bigint, uid bigint")).collect():
+        got.setdefault(row["gid"], []).append(row["uid"])
+    pairs = lambda sets: {(a, b) for m in sets for a in m for b in m if a < b}
+    assert pairs(got.values()) == pairs(groups)
+    assert sorted(got[1]) == [1, 2, 3, 4] and len(got) == 22  # the set 0 stays in its twenty pairs
+
+
 def test_tree_leaves_out_no_pair(spark):
     r = np.random.default_rng(2)
     similar = Similarity((75, 100))
