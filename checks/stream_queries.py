@@ -219,12 +219,14 @@ def stream_upsert(spark, sf_dir):
 
 @query("stream_word_count", "WITH w AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word")
 def stream_word_count(spark, sf_dir):
-    """Running counts in update mode, upserted by word."""
+    """Running counts in update mode, upserted by word. Words grow with the table, so their
+    state is on disk, not on the heap."""
     folder = fresh_folder(spark, "words")
     words = L.in_batches(spark, sf_dir, "documents", "doc_id").select(F.explode(tokens("text")).alias("word"))
     counts = st.word_count(words)
     table = KeyedTable(spark, f"{folder}/table", counts.schema, "word")
-    st.each_batch(counts, table.sink(), f"{folder}/checkpoint", mode="update").awaitTermination()
+    with st.on_rocksdb(spark):
+        st.each_batch(counts, table.sink(), f"{folder}/checkpoint", mode="update").awaitTermination()
     return table.current()
 
 

@@ -8,7 +8,8 @@ state takes ``within``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,13 +24,28 @@ from ..operators.windows import MICROS, micros, time_slot
 from ..plans.jobs import now_text
 
 
+_ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep streaming state on disk with incremental checkpoints, not on the heap."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    for name, value in _ROCKSDB.items():
+        spark.conf.set(name, value)
+
+
+@contextmanager
+def on_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """``use_rocksdb`` for the streams started inside; the session's settings come back."""
+    before = {name: spark.conf.get(name, None) for name in _ROCKSDB}
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def dedup(
