@@ -221,8 +221,9 @@ def _lengths(column: pa.Array) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node reaches by the edges.
 
-    Alternates the large-star and small-star steps; every round is a few grouped
-    passes over the edges, cut by a written table. Nothing is gathered in one place.
+    Alternates the large-star and small-star steps until only stars are left; every round
+    is a few grouped passes over the edges, cut by a written table. Nothing is gathered in
+    one place. Edges that are stars already take no round.
     """
     both = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
     least, most = F.least("u", "v"), F.greatest("u", "v")
@@ -231,8 +232,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return e.select(F.explode(both).alias("e")).select("e.u", "e.v")
 
     now = written_table(edges.where(F.col(a) != F.col(b)).select(least_of(a, b).alias(a), most_of(a, b).alias(b)).distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(now, a, b):
         around = turned(now)
         low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = around.join(low, "u").where("v > u and v != m").select(F.col("m").alias("u"), "v")
@@ -242,13 +242,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.explode(F.array(F.struct(F.col("m").alias("x"), F.col(b).alias("y")), F.struct(F.col("m").alias("x"), F.col(a).alias("y")))).alias("e")
         ).select(F.col("e.x").alias(a), F.col("e.y").alias(b)).where(f"{a} != {b}").distinct()
         now = written_table(small, "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64(a, b).cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
     return now.select(F.col(b).alias("node"), F.col(a).alias("component"))
 
 
+def _stars(edges: DataFrame, a: str, b: str) -> bool:
+    """Whether distinct edges, each from its smaller node ``a``, are stars around the
+    smallest node of each component: every ``b`` has one edge and is no other's ``a``."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col(a).alias("u"), F.lit(0).alias("n")), F.struct(F.col(b).alias("u"), F.lit(1).alias("n")))).alias("e"))
+    met = ends.groupBy("e.u").agg(F.count("*").alias("all"), F.sum("e.n").alias("n"))
+    return met.where("n > 0 and all > 1").isEmpty()
+
+
 def least_of(a: str, b: str) -> Column:
     return F.least(F.col(a), F.col(b))
 

@@ -500,8 +500,7 @@ def keyed_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, in
     shared = in_buckets(first, "hb").mapInArrow(_Shared(buckets), parcel)
     enough = in_buckets(shared, "hb").mapInArrow(_Enough(similar, buckets), parcel)
     groups = written_table(in_buckets(enough, "hb").mapInArrow(_Groups(), "gid bigint, least bigint, uid bigint").distinct(), "groups")
-    edges = _links(rows, written_table(_merged(groups), "members"), points, width, similar)
-    reached = components(edges)
+    reached = _reached(rows, written_table(_merged(groups), "members"), points, width, similar)
     named = points.select("doc_id", "key", "uid", "n").join(reached.select(F.col("node").alias("uid"), "component"), "uid", "left")
     named = named.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("class"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
@@ -509,10 +508,11 @@ def keyed_classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, in
     return linked.unionByName(named.where("class is null").select("doc_id", "key", "class", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _links(rows: DataFrame, members: DataFrame, points: DataFrame, width: int, similar: Similarity) -> DataFrame:
-    """Verified links (a, b) between sets, enough for the components. ``members``: the
-    sets of every group; ``points``: key, set, size and point of every row. Points join the
-    members last, so that they are dealt out once a round."""
+def _reached(rows: DataFrame, members: DataFrame, points: DataFrame, width: int, similar: Similarity) -> DataFrame:
+    """(node, component) of sets by verified links. ``members``: the sets of every group;
+    ``points``: key, set, size and point of every row. Points join the members last, so
+    that they are dealt out once a round. What a round links is added to the components
+    of the rounds before; without new links they stay, as every job costs the driver memory."""
     sized = members.join(members.groupBy("gid").agg(F.count("*").alias("m")), "gid")
     place = F.struct("m", "gid")
     own = sized.groupBy("uid").agg(
@@ -548,10 +548,13 @@ def _links(rows: DataFrame, members: DataFrame, points: DataFrame, width: int, s
         both = with_a.join(sets.select(F.col("uid").alias("b"), F.col("packed").alias("packed_b")), "b")
         checked = written_table(both.select("a", "b", "packed_a", "packed_b").mapInArrow(_Verify(width, similar), "a bigint, b bigint, links boolean"), "checked")
         tried = checked if tried is None else tried.unionByName(checked)
-        links = tried.where("links").select("a", "b")
+        links = checked.where("links").select("a", "b")
+        if reached is None:
+            reached = components(links)
+        elif not links.isEmpty():
+            reached = components(reached.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
         if not more:
-            return links
-        reached = components(links)
+            return reached
         turn += 1
 
 

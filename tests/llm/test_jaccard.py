@@ -142,3 +142,28 @@ def test_rows_without_an_id_link(spark):
     expected = brute(docs)
     assert (2, 36, 1) in expected and (None, 36, 1) in expected and (None, 36, None) in expected
     assert found(spark, docs) == expected
+
+
+def test_components_without_needless_rounds(spark, monkeypatch):
+    """Stars are components already; each round of a longer one is a job for the driver."""
+    from logweir.llm import common
+    from logweir.session import written_table
+
+    tables = []
+    monkeypatch.setattr(common, "written_table", lambda df, label: tables.append(label) or written_table(df, label))
+    stars = [(1, 5), (7, 1), (1, 9), (2, 4), (4, 2), (3, 3)]
+    got = {tuple(r) for r in components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {(5, 1), (7, 1), (9, 1), (4, 2)} and len(tables) == 1
+    path = [(i, i + 1) for i in range(1, 40)] + [(60, 50), (50, 70), (70, 65)]
+    got = {tuple(r) for r in components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
+    assert got == {(i, 1) for i in range(2, 41)} | {(60, 50), (65, 50), (70, 50)}
+
+
+def test_later_rounds_link_on_from_earlier_ones(spark, monkeypatch):
+    """Rounds add their links to the components so far, and those without links cost none."""
+    given = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: given.append(edges.count()) or components(edges))
+    docs = [(d, t) for d, t, *_ in documents()]
+    out = classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted({(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()}) == sorted(set(brute(docs)))
+    assert len(given) == 1 and given[0]  # links of the first round; the others find none

@@ -101,3 +101,16 @@ def test_rare_labels_are_all_read(spark):
         assert all(r["toxic"] for r in got if r["doc_id"] >= 4000)
         assert sum(r["toxic"] for r in got if r["doc_id"] < 4000 and r["doc_id"] % 500 != 3) <= 20
     assert shares([9000, 8, 500, 9000], 6000) == [2746, 8, 500, 2746] and shares([3, 4], 100) == [3, 4]
+
+
+def test_training_rows_stay_off_the_driver(spark, monkeypatch):
+    """The driver gets the fitted chain, not the features of the rows that train it."""
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, p_toxic string, truth boolean")
+    given = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    kind, got = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: got.append(collect(self)) or got[-1])
+    chain = train(docs, given, categories())
+    assert max(map(len, got)) <= 4  # combinations of labels
+    assert chain.wanted and len(chain.models) == 3 and sum(w.any() for w in (m.weights for m in chain.models)) == 2
